@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from corpusloom.llm import sql
 from corpusloom.llm.quality_rules import op1_quality_rules
+from corpusloom.llm.rule_classifier import op5_quality_classifier
+from corpusloom.llm.topk_search import op3_topk_search
+from corpusloom.llm.toxic_segments import op7_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_topk_search": op3_topk_search,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op7_toxicity": op7_toxicity,
 }
 
 ORACLES = {
     "op1_quality_rules": sql.OP1,
+    "op3_topk_search": sql.OP3,
 }

@@ -47,5 +47,5 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * C
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER r AS INTEGER) AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER r <= 5 WINDOW r AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+WINDOW r AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER r <= 5
 """
