@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from corpusloom.llm import sql
+from corpusloom.llm.lp_packing import op9_lp_packing
+from corpusloom.llm.packed_ids import op8_packed_ids
 from corpusloom.llm.quality_rules import op1_quality_rules
 from corpusloom.llm.rule_classifier import op5_quality_classifier
 from corpusloom.llm.topk_search import op3_topk_search
@@ -13,6 +15,8 @@ QUERIES = {
     "op3_topk_search": op3_topk_search,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_toxicity": op7_toxicity,
+    "op8_packed_ids": op8_packed_ids,
+    "op9_lp_packing": op9_lp_packing,
 }
 
 ORACLES = {
