@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.llm import sql
+from corpusloom.llm.jaccard_join import op10_jaccard_join
 from corpusloom.llm.lp_packing import op9_lp_packing
 from corpusloom.llm.packed_ids import op8_packed_ids
 from corpusloom.llm.quality_rules import op1_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_packed_ids": op8_packed_ids,
     "op9_lp_packing": op9_lp_packing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES = {
