@@ -128,7 +128,7 @@ def flt08_page_select_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jon01_native_recovered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recovered text of every third page takes the place of the native one; counts must agree."""
     p = _pages(spark, sf_dir)
-    r = p.where("number % 3 = 0").select(F.col("doc_id").alias("d"), F.col("number").alias("k"), F.upper("text").alias("recovered"))
+    r = p.where("number % 3 = 0").select(F.col("doc_id").alias("d"), F.col("number").alias("k"), F.concat(F.reverse("text"), F.lit("!")).alias("recovered"))
     j = p.join(r, (F.col("doc_id") == F.col("d")) & (F.col("number") == F.col("k")), "left")
     return j.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.count("recovered").alias("n_recovered"), F.sum(F.length(F.coalesce("recovered", "text"))).alias("n_chars"), (F.max("number") == F.count(F.lit(1))).alias("complete"))
 
@@ -222,7 +222,7 @@ ORACLES = {
     "val03_map_verify_documents": f"{_PAGES} SELECT doc_id, number, 'text' AS problems FROM (SELECT *, max(number) OVER (PARTITION BY doc_id) AS last FROM p) WHERE doc_id % 11 = 0 AND number < last",
     "win01_ordinals_documents": f"{_PAGES} SELECT doc_id, max(number) - 1 AS n, max(number) AS last FROM p WHERE doc_id % 13 = 0 GROUP BY 1 HAVING max(number) > 1",
     "flt08_page_select_documents": f"{_PAGES} SELECT doc_id, number, (length(text) % 100) / 100.0::DOUBLE AS coverage FROM p WHERE trim(text) = '' OR (length(text) % 100) / 100.0::DOUBLE >= 0.5",
-    "jon01_native_recovered_documents": f"{_PAGES} SELECT doc_id, count(*) AS n_pages, count(*) FILTER (number % 3 = 0) AS n_recovered, CAST(sum(length(CASE WHEN number % 3 = 0 THEN upper(text) ELSE text END)) AS BIGINT) AS n_chars, true AS complete FROM p GROUP BY 1",
+    "jon01_native_recovered_documents": f"{_PAGES} SELECT doc_id, count(*) AS n_pages, count(*) FILTER (number % 3 = 0) AS n_recovered, CAST(sum(length(text || CASE WHEN number % 3 = 0 THEN '!' ELSE '' END)) AS BIGINT) AS n_chars, true AS complete FROM p GROUP BY 1",
     "flt09_native_pages_documents": f"{_PAGES} SELECT doc_id, count(*) AS n_native FROM p WHERE number % 3 <> 0 GROUP BY 1",
     "jon21_verify_documents": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'missing-source' ELSE 'hash,size' END AS problems FROM documents WHERE doc_id % 10 = 0 OR doc_id % 9 = 0",
     "snk03_names_documents": "SELECT source || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.txt.md' END AS target, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",

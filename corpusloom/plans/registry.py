@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import mirror_queries, span_queries
+from corpusloom.plans import mirror_queries, span_queries, text_queries
 
-_MODULES = (mirror_queries, span_queries)
+_MODULES = (mirror_queries, span_queries, text_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: fixed values: elements that end a line, and those whose text isn't shown
 BLOCKS = frozenset("p div br tr li h1 h2 h3 h4 h5 h6 blockquote table ul ol hr".split())
@@ -48,7 +49,7 @@ def visible_text(html: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _html_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         yield pa.array([visible_text(x.as_py()) for x in batch], pa.string())
