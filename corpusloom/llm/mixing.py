@@ -33,7 +33,8 @@ def topic_of(words: Column) -> Column:
 def targets(cells: DataFrame, dim: str) -> DataFrame:
     """(dim, goal): the share of all tokens that each value is to have."""
     by = cells.groupBy(dim).agg(F.sum("tokens").alias("t")).withColumn("p", F.pow(F.col("t").cast("double"), F.lit(FLATTEN)))
-    return by.crossJoin(F.broadcast(by.agg(F.sum("p").alias("all")))).select(F.col(dim).alias(f"goal_{dim}"), (F.col("p") / F.col("all")).alias("goal"))  # one row
+    total = by.agg(F.sum("p")).first()[0] or 1.0
+    return by.select(F.col(dim).alias(f"goal_{dim}"), (F.col("p") / total).alias("goal"))
 
 
 def rake(cells: DataFrame, goals: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:

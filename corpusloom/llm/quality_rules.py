@@ -75,11 +75,11 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> Da
     """
     fine = settle(sketches(measured.withColumnsRenamed({lang: "q_lang", source: "q_source"}), ["q_lang", "q_source"]))
     by_lang = merged(fine, ["q_lang"])
-    whole = fences(merged(fine, []), [], "all")
+    whole = fences(merged(fine, []), [], "all").first()
     limits = fences(fine, ["q_lang", "q_source"], "group").join(
         fences(by_lang, [F.col("q_lang").alias("p_lang")], "lang"), F.col("q_lang").eqNullSafe(F.col("p_lang"))
-    ).join(F.broadcast(whole))  # one row
-    pick = lambda end: F.when(F.col("group_rows") >= MIN_ROWS, F.col(f"group_{end}")).when(F.col("lang_rows") >= MIN_ROWS, F.col(f"lang_{end}")).otherwise(F.col(f"all_{end}"))
+    )
+    pick = lambda end: F.when(F.col("group_rows") >= MIN_ROWS, F.col(f"group_{end}")).when(F.col("lang_rows") >= MIN_ROWS, F.col(f"lang_{end}")).otherwise(F.lit(whole[f"all_{end}"]))
     ends = [f"{name}_hi" for name in METRICS] + [f"{name}_lo" for name, m in METRICS.items() if m[3]]
     limits = limits.select("q_lang", "q_source", *(pick(end).alias(f"fence_{end}") for end in ends))
     inside = F.lit(True)

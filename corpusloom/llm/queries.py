@@ -29,5 +29,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality_rules": sql.OP1,
+    "op2_quote_links": sql.OP2,
     "op3_topk_search": sql.OP3,
 }

@@ -49,3 +49,26 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 SELECT query_id, CAST(row_number() OVER r AS INTEGER) AS rank, vec_id, score FROM s
 WINDOW r AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER r <= 5
 """
+
+#: one text as the operator normalises it
+_NORM = r"trim(regexp_replace(lower({0}), '[ \t-\r]+', ' ', 'g'))"
+OP2 = rf"""
+WITH RECURSIVE c AS (SELECT *, row_number() OVER () AS rid FROM conversations),
+l AS (SELECT rid, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM c WHERE text IS NOT NULL),
+m AS (SELECT *, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)[ \t]?', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^((?:[ \t]*>)+)[ \t]?', '') AS said FROM l),
+n AS (SELECT *, lag(level) OVER (PARTITION BY rid ORDER BY i) AS before FROM m),
+r AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> level THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM n),
+p AS (SELECT rid, conv_id, turn, run, min(level) AS level, string_agg(said, chr(10) ORDER BY i) AS t FROM r GROUP BY rid, conv_id, turn, run),
+b AS (SELECT c.rid, c.conv_id, c.turn, c.role, coalesce(trim(string_agg(t, chr(10) ORDER BY run) FILTER (level = 0), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '') AS body,
+    CAST(count(t) FILTER (level > 0) AS INTEGER) AS n_quotes, CAST(coalesce(max(level), 0) AS INTEGER) AS quote_depth FROM c LEFT JOIN p ON p.rid = c.rid GROUP BY c.rid, c.conv_id, c.turn, c.role),
+s AS (SELECT conv_id, turn, unnest(list_concat([body], list_concat(string_split_regex(body, '\n[ \t]*\n'), string_split(body, chr(10))))) AS t FROM b),
+x AS (SELECT conv_id, {_NORM.format("t")} AS h, min(turn) AS origin FROM s WHERE {_NORM.format("t")} <> '' AND turn IS NOT NULL GROUP BY 1, 2),
+q AS (SELECT conv_id, turn, level, 0 AS part, {_NORM.format("t")} AS h FROM p WHERE level > 0 UNION
+  SELECT conv_id, turn, level, 1 AS part, {_NORM.format("t")} AS h FROM (SELECT conv_id, turn, level, unnest(string_split(t, chr(10))) AS t FROM p WHERE level > 0)),
+k AS (SELECT q.conv_id, q.turn, origin, row_number() OVER (PARTITION BY q.conv_id, q.turn ORDER BY level, part, origin DESC) AS place FROM q JOIN x ON x.conv_id = q.conv_id AND x.h = q.h AND origin < q.turn WHERE q.h <> ''),
+up AS (SELECT conv_id, turn, origin AS parent FROM k WHERE place = 1),
+w AS (SELECT conv_id, turn, parent, parent AS thread, CAST(1 AS BIGINT) AS depth FROM up UNION ALL SELECT w.conv_id, w.turn, w.parent, up.parent, w.depth + 1 FROM w JOIN up ON up.conv_id = w.conv_id AND up.turn = w.thread),
+z AS (SELECT conv_id, turn, parent, arg_max(thread, depth) AS thread, max(depth) AS depth FROM w GROUP BY conv_id, turn, parent)
+SELECT b.conv_id, b.turn, role, n_quotes, quote_depth, parent AS parent_turn, coalesce(thread, b.turn) AS thread_turn, coalesce(depth, 0) AS depth, body
+FROM b LEFT JOIN z ON z.conv_id = b.conv_id AND z.turn = b.turn
+"""

@@ -14,7 +14,7 @@ def test_same_as_sql(spark, small, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet')")
     got = QUERIES[name](spark, small)
     columns = sorted(got.columns)

@@ -154,6 +154,22 @@ def test_quotes_link_to_what_was_said(spark):
     assert quote_links.reply_ordered(df.limit(0)).count() == 0
 
 
+def test_quotes_like_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from corpusloom.llm.sql import OP2
+
+    rows = TALK + [(5, i, "user", f"said {i}" if not i else f"> said {i - 1}\n>> x\nsaid {i}\n\n> no") for i in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    conversations = pd.DataFrame({"conv_id": pd.array([r[0] for r in rows], "Int64"), "turn": [r[1] for r in rows], "role": [r[2] for r in rows], "text": [r[3] for r in rows]})
+    got = quote_links.reply_ordered(df)
+    c = duckdb.connect()
+    c.register("conversations", conversations)
+    want = c.sql(OP2).project(", ".join(got.columns)).fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_long_reply_chain(spark):
     rows = [(5, i, "user", f"said {i}" if not i else f"> said {i - 1}\nsaid {i}") for i in range(70)]
     got = {r.turn: (r.thread_turn, r.depth) for r in quote_links.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
