@@ -44,9 +44,11 @@ def exclusive(spans: DataFrame, key: str, category: str, start: str = "st", end:
     segments = points.withColumn("z", F.lead("a").over(W.partitionBy(key).orderBy("a"))).where("z IS NOT NULL")
     s = spans.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(depth).alias("_d"), F.col(tie).alias("_i"), F.col(category).alias(category))
     # a time bin besides the key keeps the join near its result: a span has a row for each bin that it touches
-    width = s.agg(F.greatest(F.percentile_approx(F.col("_e") - F.col("_s"), 0.9), F.lit(1)).alias("w"))
-    binned = s.crossJoin(F.broadcast(width)).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / F.col("w")), F.floor(F.col("_e") / F.col("w"))))).drop("w")
-    cells = segments.crossJoin(F.broadcast(width)).withColumn("_b", F.floor(F.col("a") / F.col("w"))).drop("w")
+    length = F.col("_e") - F.col("_s")
+    usual, longest = s.agg(F.percentile_approx(length, 0.9), F.max(length)).first()
+    width = max(usual or 1, (longest or 1) // 64, 1)  # so a span has 66 rows at most
+    binned = s.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width))))
+    cells = segments.withColumn("_b", F.floor(F.col("a") / width))
     held = cells.join(binned, (F.col(key) == F.col("_k")) & (cells["_b"] == binned["_b"]) & (F.col("_s") <= F.col("a")) & (F.col("_e") >= F.col("z")))
     best = held.groupBy(key, "a", "z").agg(F.max(F.struct("_d", (F.col("_s") - F.col("_e")).alias("short"), "_i", category)).alias("w"))
     return best.groupBy(key, F.col(f"w.{category}").alias(category)).agg(F.sum(F.col("z") - F.col("a")).cast("long").alias("exclusive"))

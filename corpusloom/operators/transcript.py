@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from corpusloom.functions import text as T
 
@@ -62,6 +67,17 @@ def spelling_refused(written: Column, proposed: Column, text: Column) -> Column:
     return F.when(~text.contains(written), "not-in-turn").when(F.length(proposed) > SPELLING_CHARS, "too-long").when(F.size(T.split_words(proposed)) > SPELLING_WORDS, "too-many-words").when(proposed.rlike(r"[|`\n{}]"), "characters")
 
 
+@F.arrow_udf(DoubleType())
+def _ratio(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for a, b in batches:
+        yield pa.array([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp ratio of two short texts, which no built-in function gives; null if either is."""
+    return _ratio(a, b)
+
+
 def speakers(turns: DataFrame, keys: list[str], who: str) -> DataFrame:
     """keys, who: turns, words, seconds and first start, from ``timed`` turns."""
     return turns.groupBy(*keys, who).agg(F.count(F.lit(1)).alias("turns"), F.sum("n_words").alias("words"), F.round(F.sum(F.col("end_ms") - F.col("start_ms")) / 1000, 3).alias("seconds"), F.min("start_ms").alias("first_start"))

@@ -146,6 +146,27 @@ def mail_text(content: bytes) -> str:
     return "\n\n".join(x for x in (f"## Headers\n\n{table}", f"## Body\n\n{body}", "## Attachments\n\n" + "\n".join(f"- {cell(f)}" for f in files) if files else "") if x)
 
 
+def word97_plain(text: str) -> str:
+    """Main text of a binary Word file: fields keep their results only, cell marks are tabs, paragraph marks line ends."""
+    out, shown = [], []  # for each open field whether its result has begun
+    for c in text:
+        if c == "\x13":
+            shown.append(False)
+        elif c == "\x14":
+            if not shown or shown[-1]:
+                raise Refused("unbalanced-field")
+            shown[-1] = True
+        elif c == "\x15":
+            if not shown:
+                raise Refused("unbalanced-field")
+            shown.pop()
+        elif all(shown):
+            out.append({"\x07": "\t", "\r": "\n"}.get(c, c))
+    if shown:
+        raise Refused("unbalanced-field")
+    return "".join(out)
+
+
 def image_size(content: bytes) -> tuple[int, int]:
     """Width and height of a PNG, GIF or JPEG from its header."""
     if content[:8] == b"\x89PNG\r\n\x1a\n":
@@ -167,6 +188,7 @@ READERS = {
     "xlsx": lambda c: "\n".join("\t".join(map(str, x)) for x in xlsx_cells(c)),
     "pptx": lambda c: "\n\n".join(f"## Slide {n}\n\n{t}" for n, t in pptx_slides(c)),
     "eml": mail_text,
+    "word97-text": lambda c: word97_plain(c.decode("utf-16-le")),
     "image": lambda c: "{} x {}".format(*image_size(c)),
 }
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("code", T.StringType())])

@@ -84,3 +84,13 @@ def test_streams(spark, tmp_path):
     assert [r.park_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["p"]
     ledgers.append(ledgers.first_seen(stream, "park_id", "at"), str(tmp_path / "out2"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out2")).count() == 2
+
+
+def test_fields_of_binary_word_text():
+    assert office.word97_plain("Memo\rA\x07B\x07n \x13 REF \x13x\x14y\x15 \x14 42\x15 due\r") == "Memo\nA\tB\tn  42 due\n"
+    for bad in ("\x13a", "\x15", "a\x14b", "\x13a\x14b\x14c\x15"):
+        try:
+            office.word97_plain(bad)
+        except office.Refused:
+            continue
+        raise AssertionError(bad)

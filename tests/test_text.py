@@ -68,3 +68,13 @@ def test_windows_are_greedy(spark):
     df = spark.createDataFrame([(1, i, n) for i, n in enumerate([5, 5, 20, 1, 9, 10])], "k int, t int, n int")
     got = {r.t: r.window for r in C.windows(df, "k", "t", "n", 10).collect()}
     assert got == {0: 1, 1: 1, 2: 2, 3: 3, 4: 3, 5: 4}
+
+
+def test_similarity(spark):
+    df = spark.createDataFrame([("abcd", "abcd"), ("abcd", "bcde"), (None, "x")], "a string, b string")
+    assert [r[0] for r in df.select(C.similarity(F.col("a"), F.col("b"))).collect()] == [1.0, 0.75, None]
+
+
+def test_boundaries_and_spellings(spark):
+    got = spark.range(1).select(C.boundary_refused(F.lit(13), F.lit(50), F.lit("a"), F.lit("b")), C.boundary_refused(F.lit(2), F.lit(50), F.lit("a"), F.lit("a")), C.boundary_refused(F.lit(2), F.lit(50), F.lit("a"), F.lit("b")), C.spelling_refused(F.lit("x"), F.lit("y|"), F.lit("a x"))).first()
+    assert list(got) == ["too-many-words", "same-speaker", None, "characters"]
