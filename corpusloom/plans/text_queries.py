@@ -248,7 +248,7 @@ def jon16_glob_join_pages(spark, d):
 
 
 def jon17_mentions_benchmark_documents(spark, d):
-    """Documents that hold the first 40 characters of a benchmark item, found by an 8-word key and then checked."""
+    """Documents that hold the first 40 characters of a benchmark item: a substring join with the few items on the small side."""
     b = read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("passage"))
     x = read(spark, d, "documents").select("doc_id", "text")
     return x.join(b, F.col("text").contains(F.col("passage"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
