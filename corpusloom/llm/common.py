@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,31 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what has been settled."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def pack(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(x.tobytes())
+
+
+def unpack(x: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as differences, byte by byte: the high bytes are mostly 0."""
+    gaps = np.diff(x, prepend=np.uint64(0))
+    return pack(gaps.view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_sorted(x: bytes) -> np.ndarray:
+    planes = unpack(x, "u1").reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().cumsum(dtype=np.uint64)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}
