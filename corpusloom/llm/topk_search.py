@@ -4,11 +4,15 @@ Every task builds cover trees over blocks of its own rows; the vectors never lea
 in blocks of bounded size, each indexed by a cover tree too and broadcast. A pair of a query node and a data node is
 dropped when no product below it can reach the worst k-th score of the query node's group. Each partition's best k
 merge by a sort within the query.
+
+Vectors whose products fit a long meet that way. The few pairs with a larger vector are filtered by their rounded
+products and a bound on the error, and what is left is multiplied in integers of any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +30,10 @@ QUERY_BLOCK = 4_096
 LEAF = 48
 #: queries in a leaf: small groups have tighter bounds
 QUERY_LEAF = 8
-#: components beyond this size would let a product pass 2**63; such vectors take no part
-LARGEST = 2.0**27
-#: longest vector for which 2**27 components can't overflow a long
-MAX_DIM = 256
+#: components that a data block and a block of queries hold at most, if one vector isn't longer
+DATA_CELLS, QUERY_CELLS = 2**22, 2**20
+#: vectors with n * max * max below this have products with each other that fit a long; the others are wide
+LONG = 2.0**62
 
 
 class CoverTree:
@@ -112,6 +116,7 @@ def dual_search(qt: CoverTree, q: np.ndarray, q_ids: np.ndarray, dt: CoverTree,
     """
     done = 0
     small = q.shape[1] * float(np.abs(q).max()) * float(np.abs(d).max()) < 2**52
+    rounding = max(1e-9, q.shape[1] * 2.0**-50)
     members: dict[int, np.ndarray] = {}
     for a in range(len(qt.rows) - 1, -1, -1):  # children stand behind their parents
         members[a] = qt.rows[a] if qt.rows[a] is not None else np.concatenate([members[c] for c in qt.children[a]])
@@ -119,7 +124,7 @@ def dual_search(qt: CoverTree, q: np.ndarray, q_ids: np.ndarray, dt: CoverTree,
     def bound(a: int, nodes: np.ndarray) -> np.ndarray:
         """No product of a vector below query node a and one below each data node is larger."""
         qn, qr, dn, dr = qt.norms[a], qt.radii[a], dt.norms[nodes], dt.radii[nodes]
-        return dt.centres[nodes] @ qt.centres[a] + qn * dr + dn * qr + qr * dr + 1e-9 * (qn + qr) * (dn + dr)
+        return dt.centres[nodes] @ qt.centres[a] + qn * dr + dn * qr + qr * dr + rounding * (qn + qr) * (dn + dr)
 
     def worst(a: int) -> float:
         return float(best.score[members[a], -1].min())
@@ -180,57 +185,123 @@ def _fewest_copies(ids: np.ndarray, v: np.ndarray, keep: int) -> tuple[np.ndarra
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id long, e array<bigint>): floor(scale * x) of each component.
+    """(vec_id long, e array<double>, unit long): e * unit is floor(scale * x) of each component.
 
-    Leaves out null ids, null or empty vectors and vectors that hold a null or non-finite component, or one beyond
-    LARGEST or more than MAX_DIM components, whose products needn't fit a long.
+    unit is 1 but for vectors in which scale * x leaves the doubles. Leaves out null ids, null or empty vectors and
+    vectors that hold a null or non-finite component.
     """
     x = F.col(embedding)
-    whole = F.transform(x, lambda c: F.floor(c.cast("double") * scale))
-    fit = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) * scale <= LARGEST))
-    return vectors.where(F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0) & (F.size(x) <= MAX_DIM) & F.coalesce(fit, F.lit(False))).select(
-        F.col(vec_id).cast("long").alias("vec_id"), whole.alias("e")
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
+    huge = F.exists(x, lambda c: F.abs(c.cast("double") * scale) == float("inf"))
+
+    def whole(y):  # doubles from 2**52 on are whole
+        return F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+
+    e = F.transform(x, lambda c: whole(c.cast("double") * scale))
+    part = F.transform(x, lambda c: F.when(F.abs(c.cast("double")) < 2.0**52, whole(c.cast("double") * scale) / scale).otherwise(c.cast("double")))
+    return vectors.where(F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(finite, F.lit(False))).select(
+        F.col(vec_id).cast("long").alias("vec_id"), F.when(huge, part).otherwise(e).alias("e"), F.when(huge, scale).otherwise(1).cast("long").alias("unit")
     )
 
 
-def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length of the vectors: their places and a matrix."""
+def _matrix(column: pa.Array, unit: np.ndarray) -> dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]:
+    """By length of the vectors and whether they are wide: their places and a matrix, of Python's integers for wide ones."""
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
     out = {}
     for n in np.unique(sizes):
         rows = np.flatnonzero(sizes == n)
-        part = column.take(pa.array(rows))
-        out[int(n)] = rows, part.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), int(n)).astype(np.int64)
+        part = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), int(n))
+        wide = (np.abs(part.astype(np.float64)).max(1) >= (LONG / n) ** 0.5) | (unit[rows] != 1)
+        if not wide.all():
+            out[int(n), False] = rows[~wide], part[~wide].astype(np.int64)
+        if wide.any():
+            m = np.empty((int(wide.sum()), int(n)), object)
+            for i, (v, u) in enumerate(zip(part[wide].tolist(), unit[rows[wide]].tolist(), strict=True)):
+                m[i] = [round(Fraction(c) * u) for c in v]
+            out[int(n), True] = rows[wide], m
     return out
 
 
-def _searcher(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
-    """mapInArrow function over (vec_id, e): the best k of a partition for each query."""
-
-    trees = {n: CoverTree(q, QUERY_LEAF) for n, (_, q) in queries.items()}
+def _rounded(v: np.ndarray) -> np.ndarray:
+    """The vectors as doubles of size up to 1, times a power of two."""
+    if v.dtype != object:
+        return v * 2.0**-62
+    unit = 1 << max(abs(c).bit_length() for c in v.flat)
+    return np.array([[c / unit for c in row] for row in v.tolist()])
+
+
+def wide_search(q: np.ndarray, q_ids: np.ndarray, d: np.ndarray, d_ids: np.ndarray, best: dict[int, set], k: int) -> None:
+    """Puts into best, by query id, the best k (-score, vec_id) with vectors of any size."""
+    qf, df = _rounded(q), _rounded(d)
+    names, of = np.unique(d_ids, return_inverse=True)
+    # times 4: norms and sums are rounded too; the last term is for what falls below the smallest doubles
+    error = 4 * (q.shape[1] + 4) * 2.0**-53
+    dn = np.sqrt((df**2).sum(1))
+    for i, own in enumerate(q_ids.tolist()):
+        near = df @ qf[i]
+        slack = error * np.sqrt((qf[i] ** 2).sum()) * dn + q.shape[1] * 2.0**-500
+        other = d_ids != own
+        low = np.full(len(names), -np.inf)
+        np.maximum.at(low, of[other], (near - slack)[other])
+        least = np.partition(low, -k)[-k] if len(low) > k else -np.inf  # k other ids reach it
+        mine = [int(c) for c in q[i]]
+        found = best.setdefault(own, set())
+        for j in np.flatnonzero(other & (near + slack >= least)).tolist():
+            found.add((-sum(a * int(b) for a, b in zip(mine, d[j], strict=True)), int(d_ids[j])))
+        best[own] = set(sorted(found)[:k])  # repeated rows of an id are one
+
+
+def _sortable(score: int) -> bytes | None:
+    """None for a long; else bytes that stand in the order of the scores, from 0x80 on for positive ones."""
+    if -(2**63) <= score < 2**63:
+        return None
+    size = (abs(score).bit_length() + 7) // 8
+    out = (0x8000 + size).to_bytes(2) + abs(score).to_bytes(size)
+    return out if score > 0 else bytes(255 - b for b in out)
+
+
+def _searcher(queries: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]], k: int):
+    """mapInArrow function over (vec_id, e, unit): the best k of a partition for each query."""
+
+    trees = {key: CoverTree(q, QUERY_LEAF) for key, (_, q) in queries.items() if not key[1]}
+    lengths = {n for n, _ in queries}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {n: Best(len(ids), k) for n, (ids, _) in queries.items()}
-        held: dict[int, list] = {n: [] for n in queries}
-
-        def search(n: int) -> None:
-            ids, v = (np.concatenate(x) for x in zip(*held[n], strict=True))
-            ids, v = _fewest_copies(ids, v, k + 1)
-            dual_search(trees[n], queries[n][1], queries[n][0], CoverTree(v), v, ids, best[n])
-            held[n] = []
+        best = {key: Best(len(queries[key][0]), k) for key in trees}
+        far: dict[int, set] = {}
+        held: dict[tuple[int, bool], list] = {}
+
+        def search(key: tuple[int, bool]) -> None:
+            n, wide = key
+            ids, v = (np.concatenate(x) for x in zip(*held.pop(key), strict=True))
+            for other in (False, True):
+                if (n, other) in queries:
+                    q_ids, q = queries[n, other]
+                    if wide or other:
+                        wide_search(q, q_ids, v, ids, far, k)
+                    else:
+                        few, w = _fewest_copies(ids, v, k + 1)
+                        dual_search(trees[key], q, q_ids, CoverTree(w), w, few, best[key])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for n, (rows, v) in _matrix(batch.column(1)).items():
-                if n in queries:
-                    held[n].append((ids[rows], v))
-                    if sum(len(x) for x, _ in held[n]) >= DATA_BLOCK:
-                        search(n)
-        for n, (q_ids, _) in queries.items():
-            if held[n]:
-                search(n)
-            row, place = np.nonzero(best[n].id != LAST)
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(best[n].id[row, place]), pa.array(best[n].score[row, place])], ["query_id", "vec_id", "score"])
+            ids, unit = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for key, (rows, v) in _matrix(batch.column(1), unit).items():
+                n, wide = key
+                if n in lengths:
+                    held.setdefault(key, []).append((ids[rows], v))
+                    cells = DATA_CELLS // 8 if wide else DATA_CELLS
+                    if sum(len(x) for x, _ in held[key]) >= min(DATA_BLOCK, max(1, cells // n)):
+                        search(key)
+        for key in list(held):
+            search(key)
+        for key, b in best.items():
+            row, place = np.nonzero(b.id != LAST)
+            cells = [pa.array(queries[key][0][row]), pa.array(b.id[row, place]), pa.array(b.score[row, place]), pa.nulls(len(row), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, ["query_id", "vec_id", "score", "beyond"])
+        rows = [(i, c, None if _sortable(-s) else -s, _sortable(-s)) for i, found in far.items() for s, c in found]
+        if rows:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["query_id", "vec_id", "score", "beyond"])
 
     return run
 
@@ -238,27 +309,31 @@ def _searcher(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest inner products of each query with other ids' vectors.
 
-    Both tables have (vec_id long, e array<bigint>), as ``quantised`` makes them. Ties go to the smaller vec_id. A
+    Both tables have (vec_id long, e array of whole numbers), as ``quantised`` makes them, and may have its unit. Ranks
+    are exact for products of any size; score is null for one that no long holds. Ties go to the smaller vec_id. A
     query with fewer than k candidates gets them all, one without candidates no row; vectors meet only vectors of
     their own length. Repeated equal rows of an id count as one; an empty table gives no rows. Queries are taken in blocks by a hash of their id, so the
     driver holds one block at a time.
     """
     spark = vectors.sparkSession
+    vectors, queries = (t.select("vec_id", "e", F.col("unit") if "unit" in t.columns else F.lit(1).cast("long").alias("unit")) for t in (vectors, queries))
     queries = queries.dropDuplicates(["vec_id"])
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("e")), F.lit(0)).alias("cells")).first()
+    blocks = max(1, -(-size.n // QUERY_BLOCK), -(-size.cells // QUERY_CELLS))
     found = []
     for b in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
         if part.num_rows:
-            ids, column = part.column("vec_id").to_numpy(), part.column("e").combine_chunks()
-            of = {n: (ids[rows], v) for n, (rows, v) in _matrix(column).items()}
-            found.append(vectors.select("vec_id", "e").mapInArrow(_searcher(of, k), "query_id long, vec_id long, score long"))
+            ids, column, unit = part.column("vec_id").to_numpy(), part.column("e").combine_chunks(), part.column("unit").to_numpy()
+            of = {key: (ids[rows], v) for key, (rows, v) in _matrix(column, unit).items()}
+            found.append(vectors.mapInArrow(_searcher(of, k), "query_id long, vec_id long, score long, beyond binary"))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    side = F.when(F.col("beyond").isNull(), 0).when(F.col("beyond") >= F.unhex(F.lit("80")), 1).otherwise(-1)
+    best = W.partitionBy("query_id").orderBy(side.desc(), F.desc("beyond"), F.desc("score"), "vec_id")
     return out.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -31,6 +32,28 @@ def test_top_k_like_brute_force(spark):
     assert topk_search.top_k(q.limit(0), q.limit(0)).count() == 0
 
 
+def test_top_k_of_long_and_large_vectors(spark):
+    """Vectors of 768 components, and of sizes up to the largest double, as queries and as candidates."""
+    rng = np.random.default_rng(6)
+    unit = rng.normal(0, 1, (60, 768))
+    unit /= np.sqrt((unit**2).sum(1))[:, None]
+    size = 10.0 ** np.r_[np.zeros(20), rng.uniform(6, 12, 20), rng.uniform(12, 300, 16), 308, 308, 308, 308]
+    large = rng.uniform(-1, 1, (60, 3)) * size[:, None]
+    large[20:24] = large[20]
+    vectors = [*unit, *large, *large[[20, 21, 40]]]
+    ids = [*range(120), 80, 81, 100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>").repartition(3)
+    q = topk_search.quantised(df)
+    got = {}
+    for r in topk_search.top_k(q, q.where("vec_id % 5 = 0"), 5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    e = {i: [math.floor(256 * Fraction(x)) for x in v.tolist()] for i, v in zip(ids, vectors)}
+    assert set(got) == set(range(0, 120, 5))
+    for i in got:
+        scores = sorted((-sum(a * b for a, b in zip(e[i], e[j])), j) for j in e if j != i and len(e[i]) == len(e[j]))[:5]
+        assert [got[i][k] for k in range(1, 6)] == [(j, -s if -(2**63) <= -s < 2**63 else None) for s, j in scores]
+
+
 def test_pruning_skips_products():
     rng = np.random.default_rng(0)
     c = rng.normal(0, 300, (20, 8))
