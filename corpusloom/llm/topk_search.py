@@ -173,14 +173,16 @@ def dual_search(qt: CoverTree, q: np.ndarray, q_ids: np.ndarray, dt: CoverTree,
 
 
 def _fewest_copies(ids: np.ndarray, v: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal vectors the ones with the smallest ids: others have the same scores and lose every tie."""
-    order = np.lexsort((ids,))
-    ids, v = ids[order], v[order]
+    """Of equal vectors the ones with the smallest ids, each once: others have the same scores and lose every tie."""
     _, group = np.unique(v, axis=0, return_inverse=True)
-    by = np.argsort(group.ravel(), kind="stable")
-    starts = np.r_[0, np.flatnonzero(np.diff(group.ravel()[by])) + 1]
+    by = np.lexsort((ids, group.ravel()))
+    g, i = group.ravel()[by], ids[by]
+    own = np.r_[True, (g[1:] != g[:-1]) | (i[1:] != i[:-1])]  # repeated rows of an id take one place
+    by, g = by[own], g[own]
+    starts = np.r_[0, np.flatnonzero(np.diff(g)) + 1]
     place = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
-    kept = np.sort(by[place < keep])
+    kept = by[place < keep]
+    kept = kept[np.argsort(ids[kept], kind="stable")]
     return ids[kept], v[kept]
 
 

@@ -32,6 +32,13 @@ def test_top_k_like_brute_force(spark):
     assert topk_search.top_k(q.limit(0), q.limit(0)).count() == 0
 
 
+def test_repeated_rows_leave_room_for_other_ids(spark):
+    rows = [(i, [1.0, 2.0]) for i in [1] * 10 + [2, 3, 4, 5, 6, 7]] + [(50, [1.0, 1.0])] * 10
+    q = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1))
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in topk_search.top_k(q, q.where("vec_id in (1, 50)"), 5).collect())
+    assert got == [(1, k, k + 1) for k in range(1, 6)] + [(50, k, k) for k in range(1, 6)]
+
+
 def test_top_k_of_long_and_large_vectors(spark):
     """Vectors of 768 components, and of sizes up to the largest double, as queries and as candidates."""
     rng = np.random.default_rng(6)
