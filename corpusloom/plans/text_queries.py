@@ -291,7 +291,7 @@ def flt13_aged_events(spark, d):
 
 
 def srt04_semantic_order_part(spark, d):
-    p = read(spark, d, "part").where("p_partkey <= 150").select(F.concat_ws(".", (F.col("p_partkey") % 12).cast("string"), (F.col("p_size")).cast("string"), F.col("p_partkey").cast("string")).alias("phase"))
+    p = read(spark, d, "part").select(F.concat_ws(".", (F.col("p_partkey") % 12).cast("string"), (F.col("p_size")).cast("string"), F.col("p_partkey").cast("string")).alias("phase"))
     return p.select("phase", F.row_number().over(W.partitionBy(F.substring_index("phase", ".", 1)).orderBy(L.semantic_key(F.col("phase")))).alias("place"))
 
 
