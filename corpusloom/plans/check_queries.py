@@ -86,7 +86,7 @@ def str14_targets_pages(spark, d):
 
 
 def str18_bare_documents(spark, d):
-    x = read(spark, d, "documents").select("doc_id", F.explode(F.slice(T.split_words(F.col("text")), 1, 20)).alias("w"))
+    x = read(spark, d, "documents").select("doc_id", F.explode(T.split_words(F.col("text"))).alias("w"))
     return x.select("doc_id", T.bare(F.col("w")).alias("b")).groupBy("doc_id").agg(F.count_distinct("b").alias("n"), F.sum(F.length("b")).alias("chars"))
 
 

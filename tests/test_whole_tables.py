@@ -12,3 +12,11 @@ def test_every_part_has_a_place(spark, tmp_path):
         own = sorted((size, key) for key, size in rows if key % 12 == family)
         want |= {f"{family}.{size}.{key}": place for place, (size, key) in enumerate(own, 1)}
     assert got == want
+
+
+def test_every_word_of_a_text_is_bared(spark, tmp_path):
+    texts = {1: " ".join(f"(Word{i % 90}, x{i}!" for i in range(300)), 2: "One 'two' TWO.", 3: " \n", 4: None, 5: "... a"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.chars) for r in QUERIES["str18_bare_documents"](spark, str(tmp_path)).collect()}
+    bare = {d: [w.strip(".,;:?!\"'“”‘’()[]").lower() for w in (t or "").split()] for d, t in texts.items()}
+    assert got == {d: (len(set(b)), sum(map(len, b))) for d, b in bare.items() if b}
