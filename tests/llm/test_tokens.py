@@ -157,3 +157,25 @@ def test_probabilities_of_next_words_sum_to_one(spark):
     total = np.bincount(rest, seat_c, 5)
     own = np.bincount(rest, (seat_c - 0.6 * s.t) / (1.0 + total[rest]), 5)
     assert np.allclose(own + (1.0 + 0.6 * s.tables) / (1.0 + total), 1)
+
+
+def test_tables_of_a_frequent_dish_are_drawn_anew():
+    """One dish of 400 customers beside others: a step leaves any start, and has the exact distribution's mean."""
+    c, d = np.array([400, 1, 1, 1]), 0.6
+    s = pitman_yor.Seating(c, np.zeros(4, int), np.arange(4), 1, 4, d, 1.0, np.random.default_rng(1), 30)
+    s.base = lambda dish, less=0: np.full(len(dish), 0.05)
+    log_s = [0.0]  # S(n, t), t = 1.., by its recurrence
+    for n in range(1, 400):
+        parts = [[x + math.log(n - t * d) for t, x in enumerate(log_s, 1)] + [-math.inf], [-math.inf, *log_s]]
+        log_s = [float(np.logaddexp(a, b)) for a, b in zip(*parts)]
+    logs = np.array([x + sum(math.log((1 + d * (3 + i)) * 0.05) for i in range(t)) for t, x in enumerate(log_s, 1)])
+    p = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+    mean = (p * np.arange(1, 401)).sum()
+    for start in (1, 300):
+        got = []
+        for _ in range(2000):
+            s.t[0] = start
+            s._count()
+            s.step()
+            got.append(s.t[0])
+        assert abs(np.mean(got) - mean) < 0.15
