@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df: write it to spark.checkpoint.dir (a folder of our own where unset, as in tests)."""
+    """Cut the lineage of df: write it to spark.checkpoint.dir (where unset, a folder of our own on one machine, an error on a cluster)."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
