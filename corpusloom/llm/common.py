@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -34,10 +33,16 @@ def lower_words(text: str | None) -> list[bytes]:
     return encode(text).translate(LOWER).split()
 
 
+#: Spark then deletes a query's shuffle files when the query has ended
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, one of our own on a single machine, an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="corpusloom-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -45,10 +50,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to a table in the shared folder and read it back."""
+    """Cut the lineage: write to a table in the shared folder and read it back. Shuffle files of the way there go at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,12 +70,6 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what has been settled."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def pack(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(1).compress(x.tobytes())
 

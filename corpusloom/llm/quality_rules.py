@@ -51,7 +51,7 @@ def merged(groups: DataFrame, keys: list[str]) -> DataFrame:
     """The same sketches for coarser groups, merged instead of built again."""
     return groups.groupBy(*keys).agg(
         F.sum("n_rows").alias("n_rows"), *(F.kll_merge_agg_double(f"k_{name}").alias(f"k_{name}") for name in METRICS)
-    )
+    ).where("n_rows > 0")  # one group of no keys exists without rows too
 
 
 def fences(groups: DataFrame, keys: list[str], tag: str) -> DataFrame:
@@ -71,11 +71,14 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> Da
 
     A group is a language with a source. With fewer than MIN_ROWS rows it takes its language's fences, and with
     fewer there the corpus's. Null languages and sources are groups like others. measured is read twice; settle it.
-    An empty table gives an empty table.
+    An empty table gives an empty table; where all rows failed the base rules none is kept. Sketches of more than
+    SKETCH_K rows draw at random, so a row right at a fence of such a group may be kept in one run and not in another.
     """
     fine = settle(sketches(measured.withColumnsRenamed({lang: "q_lang", source: "q_source"}), ["q_lang", "q_source"]))
     by_lang = merged(fine, ["q_lang"])
     whole = fences(merged(fine, []), [], "all").first()
+    if whole is None:  # no row passes the base rules
+        return measured.withColumn("kept", F.lit(False))
     limits = fences(fine, ["q_lang", "q_source"], "group").join(
         fences(by_lang, [F.col("q_lang").alias("p_lang")], "lang"), F.col("q_lang").eqNullSafe(F.col("p_lang"))
     )
@@ -95,7 +98,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the base statistics, base_failed and kept for each row of documents (doc_id, text, lang, source).
 
     Every row has a row in the result: null or empty texts fail the base rules, repeated rows are judged alike, other
-    columns are ignored, and an empty table gives no rows.
+    columns are ignored, and an empty table gives no rows. ``judge`` says which verdicts may vary between runs.
     """
     rows = docs.select("doc_id", F.col("text"), "lang", "source")
     s = F.col("quality_stats")
@@ -106,4 +109,5 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``quality_rules`` of all documents."""
     return quality_rules(table(spark, sf_dir, "documents"))
