@@ -1,8 +1,10 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Tokens get log-odds of toxic against other documents under Dirichlet priors centred on the background. One linear
-scan of a text finds all its maximal-scoring segments, and the extreme-value law of the best segment under clean text
-turns scores into p-values and, fitted on labelled documents, into a probability.
+Every word and stem has the log-odds of toxic against other documents, of either sign, under a Dirichlet prior centred
+on the background, with their standard deviation; those that chance explains count less. A token has the log-odds of the
+surest of its word and stems. One linear scan of a text finds all its maximal-scoring segments, and the extreme-value law
+of the best segment under clean text turns scores into p-values and, fitted on labelled documents, into a probability.
+Labelled documents are scored without their own counts when the law is fitted, so that it holds for others too.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,90 +25,130 @@ from corpusloom.llm.labels import labelled_sample
 
 #: stripped from both ends of a word
 EDGES = b".,;:!?\"'()[]{}|*#$%&<>"
-#: a word's features: itself and its first code points, which words of one stem share
-PREFIXES = (4, 5, 6)
+#: a word's stems are its first code points, so many
+STEMS = (4, 5, 6)
 #: weight of the prior, in documents
-PRIOR_DOCS = 20.0
-#: standard deviations by which a feature's log-odds must pass 0
-MIN_Z = 4.0
-#: features kept, those with the largest ratio of log-odds to its deviation: the bound of what the tasks get
-MAX_FEATURES = 4_096
+PRIOR = 20.0
+#: standard deviations from which on log-odds count in full; below, by this power of the share of it
+SURE, POWER = 5.0, 4
+#: words and stems are counted by a hash modulo this: 8 MB of counts, whatever the texts
+SLOTS = 1 << 20
+#: the mean score of a clean token is minus this at most: the law needs a negative one
+DRIFT = 0.01
+#: standardised maxima from here on have one probability, as copies of one text have any
+TOP = 8.0
+#: width of the bins in which scores of clean tokens are counted
+BIN = 0.01
 #: words that a worker remembers scores of
 MEMO = 400_000
 #: p-value of a significant passage
 SIGNIFICANT = 0.01
 
 
-def features(word: bytes) -> list[bytes]:
-    """The word without its edges, then its prefixes, each with its kind."""
+def slots(word: bytes) -> list[int]:
+    """Where the stems of a word, from the shortest, and the word without its edges are counted."""
     bare = word.strip(EDGES)
+    if not bare:
+        return []
     text = bare.decode("utf-8", "replace")
-    out = [b"w" + bare] if bare else []
-    return out + [b"%d" % n + text[:n].encode("utf-8", "replace") for n in PREFIXES if len(text) >= n]
+    out = [xxhash.xxh3_64_intdigest(text[:n].encode("utf-8", "replace"), n) % SLOTS for n in STEMS if len(text) >= n]
+    return [*out, xxhash.xxh3_64_intdigest(bare) % SLOTS]
 
 
-class _Memo(dict):
-    """Word to the index of its feature, -1 for none; forgets all when full."""
+class _Slots(dict):
+    """Word to its slots; forgets all when full."""
 
-    def __init__(self, index: dict[bytes, int]):
-        super().__init__()
-        self.index = index
-
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> list[int]:
         if len(self) >= MEMO:
             self.clear()
-        own = [self.index[f] for f in features(word) if f in self.index]
-        self[word] = at = min(own, default=-1)  # features stand by strength
-        return at
+        self[word] = found = slots(word)
+        return found
 
 
-def maximal_segments(scores: np.ndarray, gap: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, stop, score) in linear time; zero scores count as ``gap``, which is negative.
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, stop, score), in order, in linear time.
 
-    A segment is maximal if all its proper subsegments score less and no larger one does so.
+    A segment is maximal if all its proper subsegments score less and no larger one does so. Runs of positive scores
+    are taken whole. Each segment keeps the number of the last one before it that begins at a smaller sum, so a search
+    for such a one passes none twice.
     """
-    hits = np.flatnonzero(scores)
-    found: list[list] = []  # start, stop, sum before, sum after
-    total, at = 0.0, 0
-    for i in hits.tolist():
-        total += gap * (i - at)
-        before, total, at = total, total + float(scores[i]), i + 1
-        if scores[i] < 0:
-            continue
-        new = [i, i + 1, before, total]
-        while True:
-            j = next((k for k in range(len(found) - 1, -1, -1) if found[k][2] < new[2]), None)
-            if j is None or found[j][3] >= new[3]:
-                found.append(new)
-                break
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-    return [(a, b, r - l) for a, b, l, r in found]
+    positive = scores > 0
+    if not positive.any():
+        return []
+    bounds = np.flatnonzero(np.r_[True, positive[1:] != positive[:-1]])
+    sums = np.add.reduceat(scores, bounds).cumsum()
+    ends = np.r_[bounds[1:], len(scores)]
+    runs = np.arange(0 if positive[0] else 1, len(bounds), 2)
+    before = np.where(runs > 0, sums[runs - 1], 0.0)
+    start, stop, left, right, link = [], [], [], [], []
+    for a, b, l, r in zip(bounds[runs].tolist(), ends[runs].tolist(), before.tolist(), sums[runs].tolist(), strict=True):
+        j = len(left) - 1
+        while j >= 0 and left[j] >= l:
+            j = link[j]
+        while j >= 0 and right[j] < r:  # it grows by the segments from j on
+            a, l = start[j], left[j]
+            for x in (start, stop, left, right):
+                del x[j:]
+            last = link[j]
+            del link[j:]
+            j = last
+        start.append(a)
+        stop.append(b)
+        left.append(l)
+        right.append(r)
+        link.append(j)
+    return [(a, b, r - l) for a, b, l, r in zip(start, stop, left, right, strict=True)]
 
 
 @dataclass
 class ToxicModel:
-    """index: feature to place; weights by place; rate: lambda; size: K; then the logistic fit of the standardised maximum."""
+    """toxic, all: documents by slot, toxic ones and all; n_toxic, n_all: documents; shift: taken off each score; rate: lambda; size: K; then the logistic fit of the standardised maximum."""
 
-    index: dict[bytes, int]
-    weights: np.ndarray
-    gap: float = -0.02
+    toxic: np.ndarray
+    all: np.ndarray
+    n_toxic: int = 0
+    n_all: int = 0
+    shift: float = 0.0
     rate: float = 1.0
     size: float = 0.1
     slope: float = 1.0
     offset: float = 0.0
 
-    def segments(self, text: str | None, memo: _Memo) -> tuple[int, list[tuple[int, int, float]]]:
-        found = lower_words(text)
-        at = np.fromiter((memo[w] for w in found), np.int64, len(found))
-        return len(found), maximal_segments(np.append(self.weights, 0.0)[at], self.gap)
+    def log_odds(self, less_toxic: int = 0, less: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Of each slot, as it counts, and how many standard deviations it is from 0; if wished without a document that holds it."""
+        n = np.maximum(self.all.astype(float) - less, 0)
+        t = np.clip(self.toxic.astype(float) - less_toxic, 0, n)
+        o, toxic, other = n - t, self.n_toxic - less_toxic, self.n_all - self.n_toxic - (less - less_toxic)
+        prior = PRIOR * n / max(self.n_all, 1) + 1e-12
+        delta = np.log((t + prior) / (toxic - t + PRIOR - prior + 0.5)) - np.log((o + prior) / (other - o + PRIOR - prior + 0.5))
+        z = np.where(n > 0, np.abs(delta) / np.sqrt(1 / (t + prior) + 1 / (o + prior)), 0.0)
+        return np.where(n > 0, delta * np.minimum(z / SURE, 1) ** POWER, 0.0), z
 
     def standard(self, n: int, best: float) -> float:
         """The Gumbel variable of the best segment of n tokens: log of the inverse of its expected number."""
         return self.rate * best - math.log(self.size * max(n, 1))
 
     def probability(self, x: float) -> float:
-        return 1 / (1 + math.exp(-min(max(self.slope * x + self.offset, -700), 700)))
+        return 1 / (1 + math.exp(-min(max(self.slope * min(x, TOP) + self.offset, -700), 700)))
+
+
+class _Scores(dict):
+    """Word to its score: the log-odds of its surest slot less the shift; forgets all when full."""
+
+    def __init__(self, model: ToxicModel, less_toxic: int = 0, less: int = 0):
+        super().__init__()
+        self.shift = model.shift
+        self.odds, self.z = (x.astype(np.float32) for x in model.log_odds(less_toxic, less)) if len(model.all) else (None, None)
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= MEMO:
+            self.clear()
+        at = slots(word) if self.z is not None else []
+        self[word] = s = (float(self.odds[max(at, key=self.z.__getitem__)]) if at else 0.0) - self.shift
+        return s
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, found), np.float64, len(found))
 
 
 PASSAGE = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64()), ("p_value", pa.float64())])
@@ -119,41 +162,41 @@ def toxicity(text: Column, model: ToxicModel) -> Column:
     and empty texts have no segments: x is that of score 0.
     """
 
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
     @F.arrow_udf(RESULT)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memo = _Memo(model.index)
+        model = shared.value
+        scores = _Scores(model)
         tail = lambda x: -math.expm1(-math.exp(min(-x, 700)))
         for batch in batches:
             score, xs, ps, passages = [], [], [], []
             for t in batch:
-                n, found = model.segments(t.as_py(), memo)
-                x = model.standard(n, max((s for _, _, s in found), default=0.0))
+                words = lower_words(t.as_py())
+                found = maximal_segments(scores.of(words))
+                x = model.standard(len(words), max((s for _, _, s in found), default=0.0))
                 xs.append(x)
                 ps.append(tail(x))
                 score.append(model.probability(x))
-                each = ((a, b, s, tail(model.standard(n, s))) for a, b, s in found)
-                passages.append([dict(zip(("start", "stop", "score", "p_value"), e, strict=True)) for e in each if e[3] <= SIGNIFICANT])
+                least = (math.log(model.size * max(len(words), 1)) - math.log(-math.log1p(-SIGNIFICANT))) / model.rate
+                each = ((a, b, s, tail(model.standard(len(words), s))) for a, b, s in found if s >= least)
+                passages.append([dict(zip(("start", "stop", "score", "p_value"), e, strict=True)) for e in each])
             yield pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(xs, pa.float64()), pa.array(ps, pa.float64()), pa.array(passages, pa.list_(PASSAGE))], ["score", "x", "p_value", "passages"])
 
     return run(text.cast("string"))
 
 
-def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(y, text) to (feature, toxic, other): documents that hold the feature."""
-    memo: dict[bytes, list[bytes]] = {}
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, text) to (slot, toxic, n): toxic documents and all that hold one of a slot's words."""
+    memo = _Slots()
+    toxic, n = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
     for batch in batches:
-        counts: tuple[Counter, Counter] = Counter(), Counter()
-        for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held = set()
-            for w in set(lower_words(text)):
-                if w not in memo:
-                    if len(memo) > MEMO:
-                        memo.clear()
-                    memo[w] = features(w)
-                held.update(memo[w])
-            counts[y > 0].update(held)
-        names = [*(counts[0] | counts[1])]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([counts[1][f] for f in names], pa.int64()), pa.array([counts[0][f] for f in names], pa.int64())], ["feature", "toxic", "other"])
+        for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            at = np.array(list({i for w in set(lower_words(text.as_py())) for i in memo[w]}), np.int64)
+            n[at] += 1
+            toxic[at] += y > 0
+    held = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(toxic[held]), pa.array(n[held])], ["slot", "toxic", "n"])
 
 
 def _best_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -170,63 +213,75 @@ def _best_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """Fits on a sample (labels.SAMPLE_ROWS) of labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
-    Without labels of both kinds there are no features, and every score is the share of toxic labels, 0.5 without any.
+    Without labels of both kinds every score is the share of toxic labels, 0.5 without any. The counts of the sample, at
+    most SLOTS rows, and a number for each of its documents reach the driver.
     """
     sample = labelled_sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), 3) != 1)
     of = {bool(r.t): r["n"] for r in sample.groupBy((F.col("y") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
-    toxic, other = of.get(True, 0), of.get(False, 0)
-    base = (toxic + 0.5) / (toxic + other + 1)
-    none = ToxicModel({}, np.zeros(0), slope=0.0, offset=math.log(base / (1 - base)))
-    if not toxic or not other:
-        return none
-    t, o = F.col("toxic"), F.col("other")
-    prior = PRIOR_DOCS * (t + o) / (toxic + other)
-    odds = lambda k, n: F.log((k + prior) / (n - k + PRIOR_DOCS - prior + 0.5))
-    delta = odds(t, toxic) - odds(o, other)
-    counted = sample.select("y", "text").mapInArrow(_count_features, "feature binary, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    strong = counted.where(t >= 3).select("feature", (delta / F.sqrt(1 / (t + prior) + 1 / (o + prior))).alias("z")).where(F.col("z") >= MIN_Z)
-    top = strong.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
-    if not top:
+    base = (of.get(True, 0) + 0.5) / (sum(of.values()) + 1)
+    none = ToxicModel(np.zeros(0), np.zeros(0), slope=0.0, offset=math.log(base / (1 - base)))
+    if len(of) < 2:
         return none
-    model = ToxicModel({bytes(r.feature): i for i, r in enumerate(top)}, np.zeros(len(top)))
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(model.index)
+    counted = sample.select("y", "text").mapInArrow(_count, "slot long, toxic long, n long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).toArrow()
+    at = counted["slot"].to_numpy()
+    model = ToxicModel(np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32), of[True], sum(of.values()))
+    model.toxic[at], model.all[at] = counted["toxic"].to_numpy(), counted["n"].to_numpy()
+    context = sample.sparkSession.sparkContext
+    first = context.broadcast(model)
+
+    def clean_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, counts = _Scores(first.value, 0, 1), Counter()
         for batch in batches:
-            counts: Counter = Counter()
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.update((y > 0, memo[w]) for w in lower_words(text))
-            yield pa.RecordBatch.from_arrays([pa.array([bool(k[0]) for k in counts]), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["t", "place", "n"])
-
-    n = np.zeros((2, len(top) + 1))
-    for r in sample.select("y", "text").mapInArrow(hits, "t boolean, place long, n long").groupBy("t", "place").agg(F.sum("n").alias("n")).collect():
-        n[int(r.t), r.place] = r["n"]
-    # of tokens too: a Dirichlet prior around the background, here of PRIOR_DOCS tokens
-    back = n.sum(0) / max(n.sum(), 1.0)
-    p = (n + PRIOR_DOCS * back + 1e-9) / (n.sum(1, keepdims=True) + PRIOR_DOCS)
-    llr = np.log(p[1] / p[0])
-    model.weights, model.gap = np.where(llr[:-1] > 0, llr[:-1], 0.0), float(min(llr[-1], -1e-4))
+            for text in batch.column(0):
+                found, n = np.unique(np.round(scores.of(lower_words(text.as_py())) / BIN).astype(np.int64), return_counts=True)
+                counts.update(dict(zip(found.tolist(), n.tolist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["bin", "n"])
+
+    bins = sample.where("y <= 0").select("text").mapInArrow(clean_scores, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    if not bins.num_rows:  # no clean document has a word
+        return none
+    value, p = bins["bin"].to_numpy() * BIN, bins["n"].to_numpy() / bins["n"].to_numpy().sum()
+    model.shift = max(0.0, float(value @ p) + DRIFT)
+    value = value - model.shift
     # lambda: the positive root of E[exp(lambda * score)] = 1 under clean text
-    scores = np.append(np.where(model.weights > 0, model.weights, model.gap), model.gap)
     low, high = 1e-6, 50.0
     for _ in range(200):
         mid = (low + high) / 2
-        low, high = (mid, high) if (p[0] * np.exp(np.minimum(mid * scores, 600))).sum() < 1 else (low, mid)
+        low, high = (mid, high) if (p * np.exp(np.minimum(mid * value, 600))).sum() < 1 else (low, mid)
     model.rate, model.size = low, 1.0
-    found = sample.select("y", F.size(F.split("text", r"[ \t-\r]+")).alias("n"), toxicity(F.col("text"), model).x.alias("x")).toPandas()
-    y, x, n_tokens = (found["y"].to_numpy() > 0).astype(float), found["x"].to_numpy(), np.maximum(found["n"].to_numpy(), 1)
-    clean = y == 0  # x = rate * best - log(n) so far: the likeliest K is the inverse mean of exp(-x)
-    model.size = float(1 / max(np.exp(-x[clean]).mean(), 1e-9)) if n_tokens.size else 1.0
-    model.slope, model.offset = _best_fit(x - math.log(model.size), y)
+    second = context.broadcast(model)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = [_Scores(second.value, k, 1) for k in (0, 1)]
+        for batch in batches:
+            rows = []
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = lower_words(text.as_py())
+                top = max((s for _, _, s in maximal_segments(scores[y > 0].of(found))), default=0.0)
+                rows.append((y, second.value.standard(len(found), top)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64())], ["y", "x"])
+
+    found = sample.select("y", "text").mapInArrow(best, "y int, x double").toPandas()
+    y, x = (found["y"].to_numpy() > 0).astype(float), found["x"].to_numpy()
+    # x = rate * best - log(n) so far: the likeliest K is the inverse mean of exp(-x)
+    model.size = float(1 / max(np.exp(-x[y == 0]).mean(), 1e-9))
+    model.slope, model.offset = _best_fit(np.minimum(x - math.log(model.size), TOP), y)
+    first.destroy()
+    second.destroy()
     return model
 
 
 def score_documents(docs: DataFrame, model: ToxicModel, name: str = "toxicity") -> DataFrame:
-    """All rows and columns of docs with the struct of ``toxicity`` for the column text."""
+    """All rows and columns of docs with the struct of ``toxicity`` for the column text.
+
+    Where docs has a column ``name``, in any case of letters, underscores are added. Repeated rows are scored alike, null
+    and empty texts as texts without segments; an empty table stays so.
+    """
     return docs.withColumn(fresh(docs, name), toxicity(F.col("text"), model))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of their labelled ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     t = F.col("toxicity")
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels"))).select(

@@ -1,6 +1,8 @@
 """Quality rules, the rule ensemble, toxic segments and mixing."""
 
 import itertools
+import math
+import time
 import zlib
 
 import numpy as np
@@ -69,7 +71,13 @@ def test_compiled_rules_are_the_model(spark):
     model = rule_classifier.fit(stats, (stats["n_symbols"] > stats["word_chars"] * 0.5).astype(float))
     df = spark.createDataFrame([tuple(int(stats[f][i]) for f in FIELDS) for i in range(500)], ", ".join(f"{f} long" for f in FIELDS)).select(F.struct(*FIELDS).alias("s"))
     got = [r[0] for r in df.select(model.score(F.col("s"))).collect()]
-    assert model.weights and np.allclose(got, model.predict(rule_classifier.feature_arrays(stats), 500))
+    want = model.predict(rule_classifier.feature_arrays(stats), 500)
+    assert model.weights and np.allclose(got, want)
+    model.weights *= 8  # many rules: none of the generated methods is too long
+    stepped = model.add_score(df.withColumn("rule_sum", F.lit(1)), F.col("s"), "q")
+    assert stepped.columns == ["s", "rule_sum", "q"]
+    assert stepped._jdf.queryExecution().optimizedPlan().toString().count("Project") >= len(model.weights) // rule_classifier.STEP
+    assert np.allclose([r.q for r in stepped.collect()], model.predict(rule_classifier.feature_arrays(stats), 500))
 
 
 def test_classifiers_without_labels_and_on_odd_rows(spark):
@@ -95,19 +103,79 @@ def brute_segments(s):
 
 def test_maximal_segments_like_brute_force():
     rng = np.random.default_rng(2)
-    for _ in range(60):
-        hits = np.where(rng.random(25) < 0.4, rng.random(25) * 3, 0.0)
-        got = toxic_segments.maximal_segments(hits, -0.37)
-        want = sorted((a, b) for a, b, _ in brute_segments(np.where(hits > 0, hits, -0.37)))
-        assert sorted((a, b) for a, b, _ in got) == want
+    for k in range(300):
+        scores = rng.normal(-0.2, 1, 25) if k % 2 else np.where(rng.random(25) < 0.4, rng.random(25) * 3, -0.37)
+        got = toxic_segments.maximal_segments(scores)
+        want = sorted(brute_segments(scores))
+        assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
+    assert toxic_segments.maximal_segments(np.full(5, -1.0)) == [] == toxic_segments.maximal_segments(np.zeros(0))
+    assert toxic_segments.maximal_segments(np.ones(5)) == [(0, 5, 5.0)]
+
+
+@pytest.mark.parametrize("shape", ["falling", "level", "rising"])
+def test_segments_take_linear_time(shape):
+    n = 16_000
+    scores = np.full(2 * n, -1.0)
+    scores[::2] = {"falling": np.linspace(0.9, 0.1, n), "level": 0.5, "rising": np.linspace(0.1, 0.99, n)}[shape]
+    began = time.process_time()
+    assert toxic_segments.maximal_segments(scores)
+    assert time.process_time() - began < 0.2
+
+
+def test_every_token_has_log_odds_of_its_own_or_of_a_stem_s(spark):
+    """Documents of words and stems, Dirichlet priors, deviations, and what a document's own tokens change, against plain counting."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, "badword fine day" if k % 4 == 0 else "fine day good today badge" if k % 3 else "day", int(k % 4 == 0)) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxic_segments.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    counts = {}
+    kinds = lambda w: [*((n, w[:n]) for n in (4, 5, 6) if len(w) >= n), (0, w)]
+    for _, t, y in rows:
+        for f in {f for w in t.split() for f in kinds(w)}:
+            c = counts.setdefault(f, [0, 0])
+            c[0] += y
+            c[1] += 1
+    n_toxic = sum(y for _, _, y in rows)
+    assert (model.n_toxic, model.n_all) == (n_toxic, len(rows))
+
+    def odds(f, dt, dn):
+        t, n = counts.get(f, (0, 0))
+        t, n = max(t - dt, 0), max(n - dn, 0)
+        if not n:
+            return 0.0, 0.0
+        t = min(t, n)
+        prior = toxic_segments.PRIOR * n / len(rows)
+        one = lambda k, m: math.log((k + prior) / (m - k + toxic_segments.PRIOR - prior + 0.5))
+        delta = one(t, n_toxic - dt) - one(n - t, len(rows) - n_toxic - dn + dt)
+        z = abs(delta) / math.sqrt(1 / (t + prior) + 1 / (n - t + prior))
+        return z, delta * min(z / toxic_segments.SURE, 1) ** toxic_segments.POWER
+
+    for dt, dn in ((0, 0), (0, 1), (1, 1)):
+        scores = toxic_segments._Scores(model, dt, dn)
+        for w in ("badword", "badwords", "badge", "fine", "day", "unseen", "good"):
+            z, want = max((odds(f, dt, dn) for f in kinds(w)), key=lambda x: x[0])
+            assert math.isclose(scores[w.encode()] + model.shift, want, abs_tol=1e-5), (w, dt, dn)
+    whole = toxic_segments._Scores(model)
+    assert whole[b"badword"] > 0 > whole[b"good"]
+
+
+def test_law_of_the_best_segment_holds_for_clean_text():
+    """Under a score distribution of known lambda, p-values of random texts are about uniform."""
+    rng = np.random.default_rng(5)
+    model = toxic_segments.ToxicModel(np.zeros(0), np.zeros(0))
+    model.rate, model.size = math.log(0.7 / 0.3), 1.0  # +1 with probability 0.3, else -1: E[exp(lambda s)] = 1
+    best = lambda: max((s for _, _, s in toxic_segments.maximal_segments(np.where(rng.random(400) < 0.3, 1.0, -1.0))), default=0.0)
+    x = np.array([model.standard(400, best()) for _ in range(600)])
+    model.size = 1 / np.exp(-x).mean()
+    p = -np.expm1(-np.exp(-np.array([model.standard(400, best()) for _ in range(600)])))
+    assert 0.02 < (p <= 0.05).mean() < 0.1 and 0.35 < (p <= 0.5).mean() < 0.65
 
 
 def test_raking_meets_marginals_like_plain_numpy(spark):
     rng = np.random.default_rng(3)
-    cells = [(f"s{a}", f"l{b}", c, int(rng.integers(1, 1000))) for a, b, c in itertools.product(range(4), range(3), range(2))]
+    cells = [(f"s{a}" if a else None, f"l{b}", c, int(rng.integers(1, 1000))) for a, b, c in itertools.product(range(4), range(3), range(2))]
     df = spark.createDataFrame(cells, "source string, lang string, topic int, tokens long")
     goals = {d: mixing.targets(df, d) for d in mixing.DIMS}
-    got = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(df, goals, 1e-8, 60).collect()}
     x = np.array([c[3] for c in cells], float).reshape(4, 3, 2)
     want = x.copy()
     for _ in range(200):
@@ -117,7 +185,30 @@ def test_raking_meets_marginals_like_plain_numpy(spark):
             shape = [1, 1, 1]
             shape[axis] = -1
             want *= ((m / m.sum()) / want.sum(other)).reshape(shape)
-    assert np.allclose([got[(a, b, c)] for a, b, c, _ in cells], want.ravel(), rtol=1e-5)
+    for local, tolerance in ((1 << 17, 1e-8), (0, 1e-4)):  # in the driver's memory, and as tables
+        raked, error = mixing.rake(df, goals, tolerance, 60, local)
+        got = {(r.source, r.lang, r.topic): r.weight for r in raked.collect()}
+        assert error <= tolerance
+        assert np.allclose([got[(a, b, c)] for a, b, c, _ in cells], want.ravel(), rtol=1e-3 if not local else 1e-5)
+
+
+def test_raking_says_what_it_could_not_meet(spark):
+    df = spark.createDataFrame([("a", "x", 0, 10), ("b", "y", 0, 10)], "source string, lang string, topic int, tokens long")
+    goal = lambda d, **v: spark.createDataFrame([(k, x) for k, x in v.items()], f"goal_{d} string, goal double")
+    topic = spark.createDataFrame([(0, 1.0)], "goal_topic int, goal double")
+    for local in (1 << 17, 0):
+        assert mixing.rake(df, {"source": goal("source", a=0.9, b=0.1), "lang": goal("lang", x=0.5, y=0.5), "topic": topic}, 1e-4, 5, local)[1] > 0.5
+        assert mixing.rake(df, {"source": goal("source", a=0.5, b=0.5), "lang": goal("lang", x=0.5, y=0.5, z=0.0), "topic": topic}, 1e-4, 5, local)[1] <= 1e-4
+
+
+def test_topics_are_clusters_of_words(spark):
+    rng = np.random.default_rng(4)
+    names = [[f"{p}{k}word" for k in range(30)] for p in ("farm", "ship", "star")]
+    rows = [(i, " ".join(rng.choice(names[i % 3], 60)) + " and the of", "en", "s") for i in range(150)] + [(200, None, "en", "s"), (201, "a b", "en", "s"), (201, "a b", "en", "s")]
+    got = {r.doc_id: r.topic for r in mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
+    assert got[200] == got[201] == -1
+    for a, b in itertools.combinations(range(3), 2):
+        assert not {got[i] for i in range(150) if i % 3 == a} & {got[i] for i in range(150) if i % 3 == b}
 
 
 def test_sample_meets_the_budget_and_keeps_columns(spark):
