@@ -1,8 +1,9 @@
 """Best-fit packing through a configuration linear program.
 
 Only the histogram of piece lengths reaches the driver: at most one row for each length up to the capacity. There the
-program over packing patterns is solved by multiplicative weights, whose pricing is a knapsack, and rounded. Pieces
-then find their places from their rank among pieces of their length, which two narrow passes over the pieces give.
+program over packing patterns is solved by multiplicative weights, whose pricing is a knapsack, and the averaged
+solution is rounded; what rounding leaves is solved again, and the last pieces are filled in exactly. Pieces then find
+their places from their rank among pieces of their length, which two narrow passes over the pieces give.
 """
 
 from __future__ import annotations
@@ -23,64 +24,90 @@ from corpusloom.llm.common import settle, table
 from corpusloom.llm.tokenise import cuts, default_path, encoder
 
 CAPACITY = 1024
-#: pricing rounds of one solution of the program, and solutions at most
-ROUNDS, PHASES = 1_500, 3
-#: share of the scarcest length's pieces that a round covers with its pattern, and how fast weights fall with cover
-STEP, RATE = 1.0, 1.5
+#: pricing rounds of one solution, how often it covers every piece before it is averaged, and solutions (of what rounding leaves) at most
+ROUNDS, LAYERS, PHASES = 4_000, 3.0, 3
+#: share of the scarcest length's pieces that a step covers, and how fast weights fall with cover
+STEP, RATE = 0.34, 2.0
 #: weights start at this power of a length's share of the capacity: long pieces, which have fewer partners, go first
-POWER = 1.1
-#: pieces of each present length, on average, below which rounding is left to the exact filler
-THIN = 3.0
+POWER = 1.05
+#: patterns of one pricing, all within this share of the best value
+BATCH, NEAR = 48, 0.03
+
+
+class Knapsack:
+    """The patterns of largest value for every capacity up to one: copies of lengths 1.. (value[i] for length i)."""
+
+    def __init__(self, value: np.ndarray, capacity: int):
+        self.capacity = capacity
+        self.items = np.flatnonzero(value > 0)
+        self.items = self.items[self.items <= capacity]
+        worth, items = value[self.items], self.items
+        self.best, self.pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        upto = np.searchsorted(items, np.arange(capacity + 1), side="right")
+        for c in range(1, capacity + 1):
+            self.best[c] = self.best[c - 1]
+            k = upto[c]
+            if k:
+                total = self.best[c - items[:k]] + worth[:k]
+                j = int(total.argmax())
+                if total[j] > self.best[c]:
+                    self.best[c], self.pick[c] = total[j], j
+        # the largest capacity up to c at which an item comes in
+        self.down = np.maximum.accumulate(np.where(self.pick >= 0, np.arange(capacity + 1), 0)).tolist()
+        self.pick = self.pick.tolist()
+
+    def pattern(self, room: int) -> Counter:
+        out, c = Counter(), self.down[room]
+        while c > 0:
+            i = int(self.items[self.pick[c]])
+            out[i] += 1
+            c = self.down[c - i]
+        return out
 
 
 def knapsack(value: np.ndarray, capacity: int) -> Counter:
-    """The pattern of largest value: copies of lengths 1.. (value[i] for length i) within the capacity; 0 is no item."""
-    items = np.flatnonzero(value > 0)
-    items = items[items <= capacity]
-    if not len(items):
-        return Counter()
-    worth = value[items]
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(items, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], pick[c] = best[c - 1], -1
-        k = upto[c]
-        if k:
-            total = best[c - items[:k]] + worth[:k]
-            j = int(total.argmax())
-            if total[j] > best[c]:
-                best[c], pick[c] = total[j], j
-    out, c = Counter(), capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            out[int(items[pick[c]])] += 1
-            c -= int(items[pick[c]])
-    return out
+    """The pattern of largest value within the capacity."""
+    return Knapsack(value, capacity).pattern(capacity)
 
 
-def solve(n: np.ndarray, capacity: int) -> list[tuple[Counter, float]]:
-    """Patterns and how often to use each, as fractions, so that about n[i] pieces of length i are covered.
+def solve(n: np.ndarray, capacity: int) -> tuple[list[tuple[Counter, float]], float]:
+    """A fractional solution, patterns and how often to use each so that n[i] pieces of length i are covered, and a lower bound of all solutions.
 
-    Multiplicative weights on the covering program: a length's weight starts at about its share of a sequence and
-    falls with the share of its pieces that are covered; the pattern of largest weight gets the next step.
+    Multiplicative weights on the covering program: a length's weight starts at about its share of a sequence and falls
+    with its cover. The knapsack prices patterns by the weights; those of near the largest value get a small step each.
+    The steps are averaged over LAYERS covers. Weights over the largest value are a solution of the dual program, so
+    every round proves a bound. If rounds end first, lengths that aren't covered yet are covered in part.
     """
     length = np.arange(len(n))
-    covered = np.zeros(len(n))
-    out: list[tuple[Counter, float]] = []
+    present = np.flatnonzero(n)
+    cover = np.zeros(len(n))
+    used: dict[tuple, float] = {}
+    bound = 0.0
     for _ in range(ROUNDS):
-        left = (n > 0) & (covered < 1 - 1e-9)
-        if not left.any():
+        least = cover[present].min(initial=LAYERS)
+        if least >= LAYERS:
             break
-        pattern = knapsack(np.where(left, (length / capacity) ** POWER * np.exp(-RATE * covered), 0), capacity)
-        for i, k in list(pattern.items()):
-            pattern[i] = min(k, int(n[i]))
-        times = max(1.0, STEP * min(n[i] / k for i, k in pattern.items()))
-        for i, k in pattern.items():
-            covered[i] += times * k / n[i]
-        out.append((pattern, times))
-    return out
+        weight = np.where(n > 0, (length / capacity) ** POWER * np.exp(-RATE * (cover - least)), 0.0)
+        priced = Knapsack(weight, capacity)
+        top = priced.best[capacity]
+        bound = max(bound, float(n @ weight) / top)
+        value = weight[present] + priced.best[capacity - present]
+        near = present[value >= (1 - NEAR) * top]
+        stale = cover + 0.5 * STEP
+        for i in near[np.argsort(cover[near], kind="stable")][:BATCH].tolist():
+            pattern = priced.pattern(capacity - i)
+            pattern[i] += 1
+            if any(cover[j] > stale[j] for j in pattern):  # its price has changed
+                continue
+            for j, k in list(pattern.items()):
+                pattern[j] = min(k, int(n[j]))
+            times = STEP * min(n[j] / k for j, k in pattern.items())
+            for j, k in pattern.items():
+                cover[j] += times * k / n[j]
+            key = tuple(sorted(pattern.items()))
+            used[key] = used.get(key, 0.0) + times
+    layers = max(1.0, float(cover[present].min(initial=LAYERS)))
+    return [(Counter(dict(p)), x / layers) for p, x in used.items()], bound
 
 
 def fill(n: np.ndarray, capacity: int) -> list[Counter]:
@@ -110,27 +137,55 @@ def fill(n: np.ndarray, capacity: int) -> list[Counter]:
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
-    """Patterns and whole numbers of sequences that hold exactly the pieces of the histogram."""
+def rounded(n: np.ndarray, solution: list[tuple[Counter, float]], bound: float, capacity: int) -> Counter:
+    """Whole numbers of the solution's patterns; n is left without their pieces.
+
+    Rounded down, then one more of those that still fit, by what was cut off. Patterns less full than sequences are on
+    average at the bound, where rounding would only add waste, are left out.
+    """
+    out: Counter = Counter()
+    size = float(n @ np.arange(len(n)))
+    need = size / max(bound, size / capacity)
+    solution = [s for s in solution if sum(i * k for i, k in s[0].items()) >= need - 1e-6]
+
+    def take(pattern: Counter, times: int) -> None:
+        times = min(times, *(int(n[i]) // k for i, k in pattern.items()))
+        if times > 0:
+            out[tuple(sorted(pattern.items()))] += times
+            for i, k in pattern.items():
+                n[i] -= times * k
+
+    for pattern, x in sorted(solution, key=lambda s: -s[1]):
+        take(pattern, int(x + 1e-9))
+    for pattern, _ in sorted(solution, key=lambda s: int(s[1] + 1e-9) - s[1]):
+        take(pattern, 1)
+    return out
+
+
+def configurations(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[Counter, int]], int]:
+    """Patterns and whole numbers of sequences that hold exactly the pieces of the histogram, and sequences that any packing needs."""
     n = np.zeros(capacity + 1, np.int64)
     for i, k in histogram.items():
         n[i] = k
     out: Counter = Counter()
-    if n[capacity]:
-        out[((capacity, 1),)] = int(n[capacity])
+    whole = int(n[capacity])
+    if whole:
+        out[((capacity, 1),)] = whole
         n[capacity] = 0
-    for _ in range(PHASES):
-        if n.sum() <= THIN * max((n > 0).sum(), 1):
+    bound = -(-int(n @ np.arange(capacity + 1)) // capacity)
+    for phase in range(PHASES):
+        pieces = n.sum()
+        if not pieces:
+            break
+        solution, least = solve(n, capacity)
+        if phase == 0:
+            bound = max(bound, int(np.ceil(least - 1e-6)))
+        out += rounded(n, solution, least, capacity)
+        if n.sum() > 0.9 * pieces:
             break
-        for pattern, times in solve(n, capacity):  # rounded down, and never more than there are
-            whole = min(int(times + 1e-9), *(int(n[i]) // k for i, k in pattern.items()))
-            if whole and sum(i * k for i, k in pattern.items()) == capacity:
-                out[tuple(sorted(pattern.items()))] += whole
-                for i, k in pattern.items():
-                    n[i] -= whole * k
     for pattern in fill(n, capacity):
         out[tuple(sorted(pattern.items()))] += 1
-    return [(Counter(dict(p)), k) for p, k in out.items()]
+    return [(Counter(dict(p)), k) for p, k in out.items()], whole + bound
 
 
 @dataclass
@@ -194,14 +249,16 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with sequence_id and offset."""
+    """The pieces with sequence_id, offset and least_sequences, the number that any packing of them needs by the program's bound."""
     spark = cut.sparkSession
     counts = settle(cut.groupBy("chunk", "length").agg(F.count(F.lit(1)).alias("n")))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    plan = spark.sparkContext.broadcast(Plan.of(configurations(histogram, capacity)))
+    patterns, least = configurations(histogram, capacity)
+    plan = spark.sparkContext.broadcast(Plan.of(patterns))
     before = W.partitionBy("length").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("chunk", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = cut.join(bases, ["chunk", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    # a row for each chunk and length grows with the table: never broadcast
+    ranked = cut.join(bases.hint("merge"), ["chunk", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,18 +270,21 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                     sequence[part], offset[part] = plan.value.place(int(length[part[0]]), rank[part])
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.withColumn("least_sequences", F.lit(least).cast("long"))
 
 
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of each row of documents.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and least_sequences of each piece of each row of documents.
 
     A document is its ids and the end id, a null or empty text the end id alone. Documents over the capacity are cut
     into pieces of it, the first of which may be shorter. Sequences are numbered from 0 and filled from offset 0
-    without gaps. Null ids and repeated rows are packed like others; an empty table gives no rows.
+    without gaps. Null ids and repeated rows are packed like others; an empty table gives no rows; other columns are
+    ignored. least_sequences, one for all rows, is what no packing can be below.
     """
     return pack(pieces(docs, path or default_path(), capacity), capacity)
 
 
 def op9_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``packed`` of all documents."""
     return packed(table(spark, sf_dir, "documents"))
