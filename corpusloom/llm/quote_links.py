@@ -9,9 +9,10 @@ latest message that it quotes at its lowest level, and messages of one thread st
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import forget, settle, table
+from corpusloom.llm.common import forget, fresh, settle, table
 
 #: a line's marks, one group; what follows one more space is what it says
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
@@ -80,12 +81,30 @@ def threads(found: DataFrame) -> DataFrame:
         now = now.drop("moved")
 
 
+def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with ``position``, the place from 0 in the order among rows of one key (null is one), and sorted by both.
+
+    The place in the whole order comes from one range sort, as tasks number their rows and the tasks' counts add up;
+    the key's first place is taken off. So a key with most of the rows is spread over tasks.
+    """
+    at, task, offset, first, own = (fresh(rows, x) for x in ("at", "task", "offset", "first", "own"))
+    placed = settle(rows.orderBy(key, *order).withColumn(at, F.monotonically_increasing_id()))
+    placed = placed.withColumn(task, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND((1 << 33) - 1))
+    # a row for each task
+    offsets = placed.groupBy(F.col(task).alias(own)).agg(F.count(F.lit(1)).alias(offset)).withColumn(offset, F.coalesce(F.sum(offset).over(W.orderBy(own).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    placed = placed.join(settle(offsets), F.col(task) == F.col(own)).withColumn(at, F.col(at) + F.col(offset)).drop(task, offset, own)
+    starts = placed.groupBy(F.col(key).alias(own)).agg(F.min(at).alias(first))
+    return placed.join(starts, F.col(key).eqNullSafe(F.col(own))).withColumn("position", F.col(at) - F.col(first)).drop(at, first, own).orderBy(key, "position")
+
+
 def reply_ordered(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, n_quotes, quote_depth, parent_turn, thread_turn, depth and body of each message.
+    """conv_id, position, turn, role, n_quotes, quote_depth, parent_turn, thread_turn, depth and body of each message.
 
-    Rows come in the order of conversations, threads and turns. A message that quotes nothing that was said before
-    starts a thread. Null texts have empty bodies; messages without conv_id or turn are threads of their own; repeated
-    rows stay, each with the same links; an empty table gives no rows; other columns are ignored. A conversation of
+    position, from 0, is a message's place in its conversation's reply order: threads by the message that they start
+    with, a thread by turns, so that every message stands behind the one that it answers. Rows come in this order. A
+    message that quotes nothing that was said before starts a thread. Null texts have empty bodies; messages without
+    conv_id or turn are threads of their own, those without conv_id numbered together; repeated rows stay, each with
+    the same links and a place of its own; an empty table gives no rows; other columns are ignored. A conversation of
     any size is spread over tasks, as the order is one over all rows.
     """
     found = parsed(messages)
@@ -94,8 +113,9 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
         "conv_id", "turn", "role", F.size("quotes").alias("n_quotes"), F.coalesce(F.array_max(F.transform("quotes", lambda x: x.level)), F.lit(0)).alias("quote_depth"),
         F.col("parent").alias("parent_turn"), F.coalesce("thread", "turn").alias("thread_turn"), F.coalesce("d", F.lit(0).cast("long")).alias("depth"), "body",
     )
-    return out.orderBy("conv_id", "thread_turn", "turn")
+    return numbered(out, "conv_id", ["thread_turn", "turn", "role", "body"])
 
 
 def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``reply_ordered`` of all conversations."""
     return reply_ordered(table(spark, sf_dir, "conversations"))

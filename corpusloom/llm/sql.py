@@ -69,6 +69,7 @@ k AS (SELECT q.conv_id, q.turn, origin, row_number() OVER (PARTITION BY q.conv_i
 up AS (SELECT conv_id, turn, origin AS parent FROM k WHERE place = 1),
 w AS (SELECT conv_id, turn, parent, parent AS thread, CAST(1 AS BIGINT) AS depth FROM up UNION ALL SELECT w.conv_id, w.turn, w.parent, up.parent, w.depth + 1 FROM w JOIN up ON up.conv_id = w.conv_id AND up.turn = w.thread),
 z AS (SELECT conv_id, turn, parent, arg_max(thread, depth) AS thread, max(depth) AS depth FROM w GROUP BY conv_id, turn, parent)
-SELECT b.conv_id, b.turn, role, n_quotes, quote_depth, parent AS parent_turn, coalesce(thread, b.turn) AS thread_turn, coalesce(depth, 0) AS depth, body
+SELECT b.conv_id, row_number() OVER (PARTITION BY b.conv_id ORDER BY coalesce(thread, b.turn) NULLS FIRST, b.turn NULLS FIRST, role NULLS FIRST, body) - 1 AS position,
+  b.turn, role, n_quotes, quote_depth, parent AS parent_turn, coalesce(thread, b.turn) AS thread_turn, coalesce(depth, 0) AS depth, body
 FROM b LEFT JOIN z ON z.conv_id = b.conv_id AND z.turn = b.turn
 """

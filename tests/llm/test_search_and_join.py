@@ -181,6 +181,7 @@ def test_quotes_link_to_what_was_said(spark):
     assert by[(1, 3)] == (None, 3, 0, 0, "unrelated") and by[(2, 0)] == (None, 0, 0, 1, "x") and by[(2, 1)][4] == ""
     order = [r.turn for r in got if r.conv_id == 1]
     assert order == [0, 1, 2, 4, 3, 3]
+    assert [r.position for r in got if r.conv_id == 1] == list(range(6)) and sorted(r.position for r in got if r.conv_id is None) == [0]
     assert quote_links.reply_ordered(df.limit(0)).count() == 0
 
 
@@ -200,6 +201,38 @@ def test_quotes_like_sql(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+def test_random_quotes_like_sql(spark):
+    """Conversations in which messages quote one another at several levels, in whole, by lines, or wrongly."""
+    import duckdb
+    import pandas as pd
+
+    from corpusloom.llm.sql import OP2
+
+    r = random.Random(11)
+    rows = []
+    for conv in range(12):
+        said: list[list[str]] = []
+        for turn in range(r.randrange(1, 14)):
+            lines = []
+            for _ in range(r.randrange(0, 3)):
+                if said:
+                    quoted = r.choice(said)
+                    part = quoted if r.random() < 0.5 else [r.choice(quoted)]
+                    lines += [">" * (1 if x[0] != ">" else 2) + r.choice(["", " "]) + (x if r.random() < 0.9 else x + " not so") for x in part]
+            own = [f"line {conv} {turn} {k} {r.choice(['a', 'B', 'c  d'])}" for k in range(r.randrange(1, 4))]
+            said.append(lines + own)
+            rows.append((conv, turn, r.choice(["user", "assistant"]), "\n".join(lines + own)))
+    got = quote_links.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    c = duckdb.connect()
+    c.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    want = c.sql(OP2).project(", ".join(got.columns)).fetchall()
+    found = got.collect()
+    assert sum(x.parent_turn is not None for x in found) > 20 and max(x.depth for x in found) > 1
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+    place = {(x.conv_id, x.turn): x.position for x in found}
+    assert all(place[x.conv_id, x.parent_turn] < x.position for x in found if x.parent_turn is not None)
+
+
 def test_long_reply_chain(spark):
     rows = [(5, i, "user", f"said {i}" if not i else f"> said {i - 1}\nsaid {i}") for i in range(70)]
     got = {r.turn: (r.thread_turn, r.depth) for r in quote_links.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
