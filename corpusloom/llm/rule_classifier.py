@@ -17,6 +17,8 @@ from corpusloom.llm.labels import labelled_sample
 from corpusloom.llm.stats import FIELDS, text_stats
 
 N_TREES, DEPTH, SHRINK, MIN_LEAF, BINS = 40, 3, 0.3, 20, 48
+#: rules that one generated method sums up: more would pass the 64 KB that a method may have
+STEP = 16
 
 #: statistic: (numerator, denominator), 0 where the denominator is; a denominator of None is the count itself
 FEATURES = {
@@ -65,6 +67,16 @@ class RuleModel:
             z = z + F.when(rule.column(x), F.lit(float(w))).otherwise(F.lit(0.0))
         return 1.0 / (1.0 + F.exp(-z))
 
+    def add_score(self, df: DataFrame, stats: Column, name: str) -> DataFrame:
+        """df with the same score as a column ``name``, STEP rules to a projection."""
+        x, z = feature_columns(stats), fresh(df, "rule_sum")
+        out = df.withColumn(z, F.lit(float(self.intercept)))
+        for at in range(0, len(self.weights), STEP):
+            step = sum((F.when(rule.column(x), F.lit(float(w))).otherwise(F.lit(0.0)) for w, rule in self.weights[at : at + STEP]), F.lit(0.0))
+            # the sum so far is referred to twice, else the optimizer would merge all steps into one
+            out = out.withColumn(z, F.when(F.isnan(z), F.col(z)).otherwise(F.col(z) + step))
+        return out.withColumn(name, 1.0 / (1.0 + F.exp(-F.col(z)))).drop(z)
+
     def predict(self, x: dict[str, np.ndarray], n: int) -> np.ndarray:
         z = np.full(n, self.intercept)
         for w, rule in self.weights:
@@ -176,13 +188,15 @@ def train(docs: DataFrame, labels: DataFrame) -> RuleModel:
 def score_documents(docs: DataFrame, model: RuleModel, name: str = "score") -> DataFrame:
     """All rows and columns of docs (text among them) with the probability that quality is 1.
 
-    Null and empty texts are scored by the statistics of an empty text, repeated rows alike; an empty table stays so.
+    Where docs has a column ``name``, in any case of letters, underscores are added to the new one's. Null and empty
+    texts are scored by the statistics of an empty text, repeated rows alike; an empty table stays so.
     """
     stats = fresh(docs, "text_stats")
-    return docs.withColumn(stats, text_stats(F.col("text"))).withColumn(name, model.score(F.col(stats))).drop(stats)
+    return model.add_score(docs.withColumn(stats, text_stats(F.col("text"))), F.col(stats), fresh(docs, name)).drop(stats)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of their labelled ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select(
