@@ -93,7 +93,7 @@ def brute_components(rows):
     least = {}
     for i, (d, _) in enumerate(rows):
         least.setdefault(root(i), []).append(d)
-    return sorted((d, len(sets[i]), min((x for x in least[root(i)] if x is not None), default=None) if sets[i] else d) for i, (d, _) in enumerate(rows) if d is not None)
+    return [(d, len(sets[i]), min((x for x in least[root(i)] if x is not None), default=None) if sets[i] else d) for i, (d, _) in enumerate(rows)]
 
 
 def corpus(seed):
@@ -120,9 +120,10 @@ def corpus(seed):
 def test_components_like_brute_force(spark):
     for seed in (1, 2):
         rows = corpus(seed)
+        rows += [(None, rows[7][1]), (None, rows[7][1] + " more"), (None, "no other text is like this one"), (None, "no other text is like this one"), (None, None), rows[9]]
         df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id int").repartition(3)
-        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect())
-        assert got == brute_components(rows)
+        got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()]
+        assert sorted(got, key=str) == sorted(brute_components(rows), key=str)
 
 
 def test_keep_one_of_each_component(spark):
@@ -131,7 +132,8 @@ def test_keep_one_of_each_component(spark):
     kept = jaccard_join.keep_one(df)
     assert kept.columns == df.columns
     got = [r.doc_id for r in kept.collect()]
-    want = {c for d, n, c in brute_components(rows) if n} | {d for d, n, _ in brute_components(rows) if not n}
+    named = [x for x in brute_components(rows) if x[0] is not None]
+    want = {c for d, n, c in named if n} | {d for d, n, _ in named if not n}
     assert sorted(x for x in got if x is not None) == sorted(want) and got.count(None) == 2
 
 
@@ -159,6 +161,27 @@ def test_bound_never_refuses_a_link(spark):
     assert len(rows) > 50 and df.where(~ok).count() == 0
 
 
+def test_groups_are_opened_only_where_their_union_holds_enough(spark, monkeypatch):
+    """The matrix's rows are the unions; sets of members meet a unit only in groups that qualify, and no link is lost."""
+    r = random.Random(3)
+    member = [[f"m{k}x{i}" for i in range(100)] for k in range(4)]
+    texts = {k: np.array(sorted(hash(w) % 2**64 for w in m), np.uint64) for k, m in enumerate(member)}
+    near = np.array(sorted({*texts[0][:90].tolist(), *range(5)}), np.uint64)
+    far = np.array(sorted({*texts[0][:30].tolist(), *range(100, 160)}), np.uint64)
+    mixed_ = np.array(sorted({*texts[0][:50].tolist(), *texts[1][:50].tolist()}), np.uint64)  # the union holds it, no member does
+    sets = spark.createDataFrame([(k, t.tobytes()) for k, t in {**texts, 10: near, 11: far, 12: mixed_}.items()], "rep long, shingles binary")
+    members = spark.createDataFrame([(77, k, k) for k in range(4)], "g long, rep long, cls long")
+    asks = spark.createDataFrame([(77, k, k) for k in (10, 11, 12)], "g long, rep long, cls long")
+    union = np.frombuffer(jaccard_join.matrix(members, sets).collect()[0].shingles, np.uint64)
+    assert np.array_equal(union, np.unique(np.concatenate(list(texts.values()))))
+    opened = []
+    real = jaccard_join.settle
+    monkeypatch.setattr(jaccard_join, "settle", lambda df: opened.append(real(df)) or opened[-1])
+    got = jaccard_join.linked(asks, members, sets).collect()
+    fit = next(x for x in opened if x.columns == ["g", "rep", "cls"])
+    assert {x.rep for x in fit.collect()} == {10, 12} and [(x.u, x.v) for x in got] == [(10, 0)] and r
+
+
 def test_connected_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (0, 1)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).distinct().collect()}
