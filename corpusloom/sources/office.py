@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 
 from corpusloom.sources.html import visible_text
 
-#: bytes of a container and of what it may inflate to
-MAX_BYTES, MAX_INFLATED = 64 << 20, 256 << 20
+#: bytes of a container and of what it may inflate to, so that a task's memory is bounded; larger ones are rows with code
+#: too-large. ``read_text`` takes others.
+LIMITS = (64 << 20, 256 << 20)
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -34,46 +35,65 @@ class Refused(ValueError):
     """A container that isn't read; the first argument is the code."""
 
 
-def _open(content: bytes) -> zipfile.ZipFile:
-    if len(content) > MAX_BYTES:
+def _open(content: bytes, limits: tuple[int, int] = LIMITS) -> zipfile.ZipFile:
+    if len(content) > limits[0]:
         raise Refused("too-large")
     try:
         box = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile as fault:
         raise Refused("not-a-package") from fault
     names = [i.filename for i in box.infolist()]
-    if sum(i.file_size for i in box.infolist()) > MAX_INFLATED:
+    if sum(i.file_size for i in box.infolist()) > limits[1]:
         raise Refused("too-large")
     if len(set(names)) < len(names) or any(n.startswith("/") or ".." in n.split("/") for n in names):
         raise Refused("unsafe-members")
     return box
 
 
-def _xml(box: zipfile.ZipFile, name: str) -> ET.Element:
+def _part(box: zipfile.ZipFile, name: str) -> bytes:
     try:
         raw = box.read(name)
     except KeyError as fault:
         raise Refused(f"missing:{name}") from fault
+    except zipfile.BadZipFile as fault:  # the checksum isn't that of the content
+        raise Refused(f"corrupt:{name}") from fault
     if b"<!DOCTYPE" in raw[:4096]:
         raise Refused("doctype")
-    return ET.fromstring(raw)
+    return raw
 
 
-def docx_text(content: bytes) -> str:
-    """Paragraphs joined by blank lines; tabs and breaks kept; empty paragraphs dropped."""
-    out = []
-    for p in _xml(_open(content), "word/document.xml").iter(f"{_W}p"):
-        parts = []
-        for x in p.iter():
-            if x.tag == f"{_W}t":
-                parts.append(x.text or "")
-            elif x.tag == f"{_W}tab":
-                parts.append("\t")
-            elif x.tag in (f"{_W}br", f"{_W}cr"):
-                parts.append("\n")
-        if text := "".join(parts).strip():
-            out.append(text)
-    return "\n\n".join(out)
+def _xml(box: zipfile.ZipFile, name: str) -> ET.Element:
+    return ET.fromstring(_part(box, name))
+
+
+#: what elements of a Word paragraph stand for, besides the text of w:t
+_WORD_MARKS = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
+
+
+def docx_paragraphs(content: bytes, limits: tuple[int, int] = LIMITS) -> Iterator[str]:
+    """Text of the paragraphs of a Word document in the order in which they begin, the empty ones too.
+
+    The part is read as a stream. A paragraph inside another (a text box) gives its text to both.
+    """
+    began: list[list[str]] = []  # all paragraphs
+    inside: list[list[str]] = []  # those that are open
+    for event, x in ET.iterparse(io.BytesIO(_part(_open(content, limits), "word/document.xml")), ("start", "end")):
+        if x.tag == f"{_W}p":
+            if event == "start":
+                inside.append([])
+                began.append(inside[-1])
+            else:
+                inside.pop()
+                x.clear()
+        elif event == "end" and (mark := x.text if x.tag == f"{_W}t" else _WORD_MARKS.get(x.tag)):
+            for parts in inside:
+                parts.append(mark)
+    return map("".join, began)
+
+
+def docx_text(content: bytes, limits: tuple[int, int] = LIMITS) -> str:
+    """Paragraphs that say something, with blank lines between."""
+    return "\n\n".join(filter(None, map(str.strip, docx_paragraphs(content, limits))))
 
 
 def _place(ref: str) -> tuple[int, int]:
@@ -84,9 +104,9 @@ def _place(ref: str) -> tuple[int, int]:
     return int(row), col
 
 
-def xlsx_cells(content: bytes) -> list[tuple[str, int, int, str]]:
+def xlsx_cells(content: bytes, limits: tuple[int, int] = LIMITS) -> list[tuple[str, int, int, str]]:
     """(sheet, row, col, value) of all cells with a cached value, in the order of sheets."""
-    box = _open(content)
+    box = _open(content, limits)
     shared = []
     if "xl/sharedStrings.xml" in box.namelist():
         shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in _xml(box, "xl/sharedStrings.xml").iter(f"{_S}si")]
@@ -115,9 +135,9 @@ def xlsx_cells(content: bytes) -> list[tuple[str, int, int, str]]:
     return out
 
 
-def pptx_slides(content: bytes) -> list[tuple[int, str]]:
+def pptx_slides(content: bytes, limits: tuple[int, int] = LIMITS) -> list[tuple[int, str]]:
     """(number, text) of the slides in the deck's order; each paragraph is a line."""
-    box = _open(content)
+    box = _open(content, limits)
     targets = {r.get("Id"): r.get("Target") for r in _xml(box, "ppt/_rels/presentation.xml.rels")}
     ids = [x.get(f"{_R}id") for x in _xml(box, "ppt/presentation.xml").iter() if x.tag.endswith("}sldId")]
     out = []
@@ -129,42 +149,40 @@ def pptx_slides(content: bytes) -> list[tuple[int, str]]:
     return out
 
 
+#: fixed values: the headers of a mail that its mirror shows, and what stands for a body without text
+SHOWN_HEADERS, NO_TEXT = ("From", "To", "Cc", "Subject", "Date"), "[no text on this page]"
+
+
 def mail_parts(content: bytes) -> tuple[dict[str, str], str, bool, list[str]]:
-    """Headers, body, whether it comes from HTML, and the attachments' names."""
+    """Headers, body, whether it comes from HTML, and the attachments' names or else types."""
     m = email.message_from_bytes(content, policy=email.policy.default)
-    headers = {k: str(m[k]) for k in ("Date", "From", "To", "Cc", "Subject") if m[k]}
+    headers = {k: str(m[k]) for k in SHOWN_HEADERS if m[k]}
     plain, rich = m.get_body(("plain",)), m.get_body(("html",))
     body = plain.get_content() if plain else visible_text(rich.get_content()) or "" if rich else ""
-    return headers, body.strip("\n"), not plain and rich is not None, [a.get_filename() or "attachment" for a in m.iter_attachments()]
+    return headers, body, not plain and rich is not None, [a.get_filename() or a.get_content_type() for a in m.iter_attachments()]
 
 
 def mail_text(content: bytes) -> str:
-    """A table of headers, the body and notes of attachments, as sections."""
+    """A table of headers, a note of attachments that aren't converted, and the body as a section."""
     headers, body, _, files = mail_parts(content)
     cell = lambda x: x.replace("|", "\\|").replace("\n", " ").strip()
-    table = "\n".join(f"| {k} | {cell(v)} |" for k, v in headers.items())
-    return "\n\n".join(x for x in (f"## Headers\n\n{table}", f"## Body\n\n{body}", "## Attachments\n\n" + "\n".join(f"- {cell(f)}" for f in files) if files else "") if x)
+    table = "".join(f"| {k} | {cell(v)} |\n" for k, v in {"Header": "Value", **headers}.items()).replace("\n", "\n|---|---|\n", 1)
+    note = f"\nAttachments (not converted here): {', '.join(map(cell, files))}\n" if files else ""
+    return f"{table}{note}\n## Body\n\n{re.sub(r'\r\n?', chr(10), body).strip() or NO_TEXT}"
+
+
+#: an innermost field of a binary Word file: what it says to do, then perhaps its result
+_FIELD = re.compile("\x13[^\x13-\x15]*(?:\x14([^\x13-\x15]*))?\x15")
 
 
 def word97_plain(text: str) -> str:
     """Main text of a binary Word file: fields keep their results only, cell marks are tabs, paragraph marks line ends."""
-    out, shown = [], []  # for each open field whether its result has begun
-    for c in text:
-        if c == "\x13":
-            shown.append(False)
-        elif c == "\x14":
-            if not shown or shown[-1]:
-                raise Refused("unbalanced-field")
-            shown[-1] = True
-        elif c == "\x15":
-            if not shown:
-                raise Refused("unbalanced-field")
-            shown.pop()
-        elif all(shown):
-            out.append({"\x07": "\t", "\r": "\n"}.get(c, c))
-    if shown:
+    found = 1
+    while found:  # from the innermost fields outwards
+        text, found = _FIELD.subn(lambda m: m[1] or "", text)
+    if re.search("[\x13-\x15]", text):
         raise Refused("unbalanced-field")
-    return "".join(out)
+    return text.translate({7: "\t", 13: "\n"})
 
 
 def image_size(content: bytes) -> tuple[int, int]:
@@ -185,34 +203,32 @@ def image_size(content: bytes) -> tuple[int, int]:
 
 READERS = {
     "docx": docx_text,
-    "xlsx": lambda c: "\n".join("\t".join(map(str, x)) for x in xlsx_cells(c)),
-    "pptx": lambda c: "\n\n".join(f"## Slide {n}\n\n{t}" for n, t in pptx_slides(c)),
-    "eml": mail_text,
-    "word97-text": lambda c: word97_plain(c.decode("utf-16-le")),
-    "image": lambda c: "{} x {}".format(*image_size(c)),
+    "xlsx": lambda c, limits=LIMITS: "\n".join("\t".join(map(str, x)) for x in xlsx_cells(c, limits)),
+    "pptx": lambda c, limits=LIMITS: "\n\n".join(f"## Slide {n}\n\n{t}" for n, t in pptx_slides(c, limits)),
+    "eml": lambda c, limits=LIMITS: mail_text(c),
+    "word97-text": lambda c, limits=LIMITS: word97_plain(c.decode("utf-16-le")),
+    "image": lambda c, limits=LIMITS: "{} x {}".format(*image_size(c)),
 }
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("code", T.StringType())])
 
 
-def read_text(content: Column, kind: Column) -> Column:
+def read_text(content: Column, kind: Column, limits: tuple[int, int] = LIMITS) -> Column:
     """struct<text, code>: the text that the reader of ``kind`` (READERS) gives, or why there is none."""
-    return _read(content, kind)
-
-
-@F.arrow_udf(RESULT)
-def _read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for contents, kinds in batches:
-        texts, codes = [], []
-        for content, kind in zip(contents, kinds, strict=True):
-            text, code = None, None
-            try:
-                if content.as_py() is None or kind.as_py() not in READERS:
-                    raise Refused("unsupported")
-                text = READERS[kind.as_py()](content.as_py())
-            except Refused as fault:
-                code = str(fault)
-            except Exception as fault:  # noqa: BLE001  one bad file is one failed row
-                code = f"failed:{type(fault).__name__}"
-            texts.append(text)
-            codes.append(code)
-        yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(codes, pa.string())], ["text", "code"])
+
+    def one(raw: bytes | None, name: str | None) -> tuple[str | None, str | None]:
+        if raw is None or name not in READERS:
+            return None, "unsupported"
+        try:
+            return READERS[name](raw, limits), None
+        except Refused as fault:
+            return None, str(fault)
+        except Exception as fault:  # noqa: BLE001  one bad file is one failed row
+            return None, f"failed:{type(fault).__name__}"
+
+    @F.arrow_udf(RESULT)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for contents, kinds in batches:
+            found = [one(c.as_py(), k.as_py()) for c, k in zip(contents, kinds, strict=True)]
+            yield pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(2)], ["text", "code"])
+
+    return run(content, kind)

@@ -8,7 +8,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from corpusloom.sources import files, office
-from corpusloom.sources.html import visible_text
+from corpusloom.sources.html import html_text, visible_text
 from corpusloom.streaming import ledgers
 
 
@@ -94,3 +94,39 @@ def test_fields_of_binary_word_text():
         except office.Refused:
             continue
         raise AssertionError(bad)
+
+
+def test_html_columns_are_the_plain_reader(spark):
+    cases = [
+        None, "", "plain", "<p>a&amp;b &copy &#x41; &#150;&nbsp;&notin; &bogus; & &#0; &#1114112;</p>", "<head>x</head><body>y<br/>z</BODY>", "<script>if (a<b) { }</script>text", "<style>never ended", "a <!-- <p>gone</p> --> b",
+        '<a title="x > y">in</a> <img alt=\'>\'> out', "<title>t</title>q<h2>r</h2>s", "<ul><li>1<li>2</ul>\n\n\n\n<p>\t 3  4 </p>", "1 < 2 and 3 > 2", "<pre>no block</pre><precious>x</precious>", "é&eacute;&ampere;&amp", "<!DOCTYPE html><p>d</p>",
+    ]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, html string")
+    got = {r.i: r.t for r in df.select("i", html_text(F.col("html")).alias("t")).collect()}
+    assert got == {i: visible_text(x) for i, x in enumerate(cases)}
+    assert got[3] == "a&b © A – ∉ &bogus; & � �" and got[6] == "" and got[7] == "a b" and got[8] == "in out" and got[9] == "q\nr\ns" and got[10] == "1\n2\n\n3 4"
+
+
+def test_word_marks_boxes_and_fields():
+    box = f"<w:document {W}><w:body><w:p><w:r><w:t>a</w:t><w:br/><w:t>b</w:t></w:r><w:p><w:r><w:t>box</w:t></w:r></w:p></w:p><w:p><w:r><w:t> </w:t></w:r></w:p></w:body></w:document>"
+    assert list(office.docx_paragraphs(package(word__documentDOTxml=box))) == ["a\nbbox", "box", " "] and office.docx_text(package(word__documentDOTxml=box)) == "a\nbbox\n\nbox"
+    assert office.word97_plain("A\x13 GO \x13 IN \x14x\x15\x14res\x13 q\x15ult\x15 b\x07c\r") == "Aresult b\tc\n"
+    for bad in ("\x13 a", "a\x15", "a\x14b", "\x13a\x14b\x14c\x15"):
+        try:
+            office.word97_plain(bad)
+        except office.Refused as fault:
+            assert str(fault) == "unbalanced-field"
+        else:
+            raise AssertionError(bad)
+
+
+def test_mail_layout():
+    raw = b'From: a@b\nTo: c@d\nSubject: Pipes | more\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="x"\n\n--x\nContent-Type: text/plain\n\nHello\r\n--x\nContent-Type: application/pdf\nContent-Disposition: attachment; filename="q|r.pdf"\n\n%PDF\n--x--\n'
+    assert office.mail_text(raw) == "| Header | Value |\n|---|---|\n| From | a@b |\n| To | c@d |\n| Subject | Pipes \\| more |\n\nAttachments (not converted here): q\\|r.pdf\n\n## Body\n\nHello"
+    assert office.mail_text(b"Subject: s\nContent-Type: text/html\n\n<p></p>").endswith("## Body\n\n[no text on this page]")
+
+
+def test_limits_are_a_parameter_and_have_a_code(spark):
+    df = spark.createDataFrame([(package(**DOCX),)], "content binary")
+    got = [df.select(office.read_text(F.col("content"), F.lit("docx"), limits)["code"]).first()[0] for limits in (office.LIMITS, (10, 1 << 20), (1 << 20, 10))]
+    assert got == [None, "too-large", "too-large"]
