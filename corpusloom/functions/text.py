@@ -11,6 +11,8 @@ LONG_TURN_WORDS, LONG_TURN_SENTENCES = 60, 3
 #: what the word gate sets aside at the start of a line, and in inline mode anywhere
 SYNTAX = r"(?m)^(?:#{1,6} |- |> )"
 LINK_TARGET, INLINE, RULE = r"\]\([^)]*\)", r"[*`|\\\[\]•▪◦‣]", r"^[-:]+$"
+#: fixed values: Unicode white space and the separators that count as such, as a class of a regular expression
+SPACE = r"\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: a token of a turn: a bracketed disagreement or a run without white space; and how a sentence ends
 TOKEN, SENTENCE_END = r"\{(?:\\.|[^{}\\])*\}|\S+", r"[.?!][\"'”’)\]]*$"
 #: punctuation that doesn't count when two words are compared
@@ -45,18 +47,32 @@ def title_from_name(name: Column) -> Column:
     return F.array_join(F.filter(pairs, lambda c: c.isNotNull()), "")
 
 
+def _plain(text: Column, inline: bool) -> Column:
+    plain = F.regexp_replace(text, SYNTAX, "")
+    return F.regexp_replace(F.regexp_replace(plain, LINK_TARGET, "]"), INLINE, "") if inline else plain
+
+
 def words(text: Column, inline: bool = False) -> Column:
     """The words that the gate compares: without one leading marker a line and, inline, without inline marks."""
-    plain = F.regexp_replace(text, SYNTAX, "")
-    if not inline:
-        return split_words(plain)
-    bare = F.regexp_replace(F.regexp_replace(plain, LINK_TARGET, "]"), INLINE, "")
-    return F.filter(split_words(bare), lambda w: ~w.rlike(RULE))
+    found = split_words(_plain(text, inline))
+    return F.filter(found, lambda w: ~w.rlike(RULE)) if inline else found
+
+
+def count_words(text: Column, inline: bool = False) -> Column:
+    """How many ``words`` a text has, without making them."""
+    plain = _plain(text, inline)
+    n = F.regexp_count(plain, F.lit(f"[^{SPACE}]+"))
+    return n - F.regexp_count(plain, F.lit(f"(?<![^{SPACE}])[-:]++(?![^{SPACE}])")) if inline else n
 
 
 def split_words(text: Column) -> Column:
     """Runs without Unicode white space."""
-    return F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+
+
+def single_spaced(text: Column) -> Column:
+    """The words with one space between, as one string."""
+    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
 def sentences(text: Column) -> Column:

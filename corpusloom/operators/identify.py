@@ -29,8 +29,9 @@ def sniffed(content: Column) -> Column:
     kind = F.when(F.length(head) == 0, F.lit(None))
     for magic, media in MAGIC.items():
         kind = kind.when(head.startswith(magic), media)
-    pdf = F.regexp_replace(head, "(..)", "$1 ").contains("25 50 44 46 2D")
-    plain = ~F.regexp_replace(head, "(..)", "$1 ").contains("00") & F.is_valid_utf8(content.cast("string"))
+    start = F.substring(content, 1, 1024)
+    pdf = F.contains(start, F.lit(b"%PDF-"))
+    plain = ~F.contains(start, F.lit(b"\x00")) & F.is_valid_utf8(content.cast("string"))
     kind = kind.when(pdf, "application/pdf").when(plain, "text/plain")
     return F.struct(F.coalesce(kind, F.lit("application/octet-stream")).alias("media_type"), F.when(kind.isNull(), F.array(F.lit("media-type-unknown"))).otherwise(F.array().cast("array<string>")).alias("flags"))
 

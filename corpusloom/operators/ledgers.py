@@ -49,6 +49,24 @@ def families(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFram
     return hit.groupBy(path).agg(F.count("family").alias("n"), F.min("family").alias("family"))
 
 
+def mentions(docs: DataFrame, passages: DataFrame, doc: str, text: str, item: str, passage: str, window: int = 5) -> DataFrame:
+    """doc, item for each text that holds a whole passage.
+
+    What stands between two spaces of a passage stands so in a text that holds it: the window of words behind the first
+    one is looked up by hash, and what is found is compared in full. Passages of fewer words are looked for in each text.
+    Null texts and passages have no row; an empty passage is in every text.
+    """
+    pieces = lambda c: F.split(c, " ")
+    key = lambda x, at: F.xxhash64(F.array_join(F.slice(x, at, window), " "))
+    p = passages.select(item, passage, pieces(F.col(passage)).alias("_p")).where(F.col(passage).isNotNull())
+    long = p.where(F.size("_p") >= window + 2).withColumn("_k", key(F.col("_p"), F.lit(2)))
+    x = docs.select(doc, text, pieces(F.col(text)).alias("_p"))
+    at = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_p") - window + 1, F.lit(1))), lambda i: key(F.col("_p"), i)))
+    found = x.select(doc, text, F.explode(at).alias("_k")).join(long, "_k").where(F.col(text).contains(F.col(passage)))
+    short = docs.select(doc, text).join(p.where(F.size("_p") < window + 2), F.col(text).contains(F.col(passage)))
+    return found.select(doc, item).union(short.select(doc, item))
+
+
 def symmetric_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """keys, side of the rows that only one table has."""
     a, b = left.select(*keys).distinct().withColumn("l", F.lit(True)), right.select(*keys).distinct().withColumn("r", F.lit(True))

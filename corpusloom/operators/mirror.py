@@ -20,8 +20,8 @@ def text_mirror(files: DataFrame, name: str = "name", content: str = "content")
     text-decode-lossy. The body is the title as a heading, then the text with LF only and one line end last.
     """
     raw = F.col(content)
-    binary = F.coalesce(F.locate("00", F.regexp_replace(F.hex(raw), "(..)", "$1 ")) > 0, F.lit(True))
-    lossy = ~F.is_valid_utf8(F.try_to_binary(F.hex(raw), F.lit("hex")).cast("string"))
+    binary = F.coalesce(F.contains(raw, F.lit(b"\x00")), F.lit(True))
+    lossy = ~F.is_valid_utf8(raw.cast("string"))
     flags = F.array_sort(F.array_compact(F.array(F.when(binary, F.lit("binary-content")), F.when(~binary & lossy, F.lit("text-decode-lossy")))))
     text = F.regexp_replace(T.newlines(F.make_valid_utf8(raw.cast("string"))), "^\n+", "")
     body = F.when(~binary, F.concat(F.lit("# "), T.title_from_name(F.col(name)), F.lit("\n\n"), F.regexp_replace(text, "\\n+$", ""), F.lit("\n")))

@@ -232,7 +232,7 @@ ORACLES = {
     "set08_lineage_events": "SELECT e.user_id, count(*) AS n FROM events e JOIN (SELECT user_id, max(ts) AS accepted FROM events WHERE event_id % 5 = 0 GROUP BY 1) c ON c.user_id = e.user_id AND e.ts <= accepted GROUP BY 1",
     "str12_json_object_events": "SELECT event_id, CASE WHEN event_id % 4 IN (0, 3) THEN props END AS found FROM events",
     "str14_targets_pages": "SELECT page_id, replace(replace(replace(url || ' (x)', ' ', '%20'), '(', '%28'), ')', '%29') AS target FROM pages",
-    "str18_bare_documents": r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \t\n\r\x0b\x0c]+'), lambda w: w <> '')[1:20]) AS w FROM documents), b AS (SELECT doc_id, lower(trim(w, '.,;:?!"''“”‘’()[]')) AS b FROM w)
+    "str18_bare_documents": r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \t\n\r\x0b\x0c]+'), lambda w: w <> '')) AS w FROM documents), b AS (SELECT doc_id, lower(trim(w, '.,;:?!"''“”‘’()[]')) AS b FROM w)
       SELECT doc_id, count(DISTINCT b) AS n, CAST(sum(length(b)) AS BIGINT) AS chars FROM b GROUP BY 1""",
     "str25_links_pages": """WITH o AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS url FROM pages) SELECT url, count(*) AS n FROM o WHERE url NOT IN (SELECT url FROM pages) GROUP BY 1""",
     "mat02_dpi_lineitem": "SELECT l_orderkey, round(min(least(300.0::DOUBLE, 2160000.0::DOUBLE / (l_extendedprice / 10))), 4) AS dpi, count(*) FILTER (l_extendedprice / 10 / 72 * 300 > 30000) AS banded FROM lineitem GROUP BY 1",

@@ -36,12 +36,12 @@ def flagship_mirror_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mirror each document, read it back and verify it: hash, size, title, words and problems."""
     m = M.text_mirror(files(spark, sf_dir))
     again = F.regexp_replace(F.regexp_replace("body", "^# [^\\n]*\\n\\n", ""), "\\n$", "")
-    ok = T.split_words(again) == T.split_words(F.col("text"))
-    return m.select("doc_id", "content_hash", "byte_size", "outcome", T.title_from_name(F.col("name")).alias("title"), F.length("body").alias("body_length"), F.size(T.words(F.col("body"))).alias("n_words"), F.array_join("verify", ",").alias("flags"), F.when(ok, "").otherwise("words-changed").alias("problems"))
+    ok = T.single_spaced(again) == T.single_spaced(F.col("text"))  # the same words
+    return m.select("doc_id", "content_hash", "byte_size", "outcome", T.title_from_name(F.col("name")).alias("title"), F.length("body").alias("body_length"), T.count_words(F.col("body")).alias("n_words"), F.array_join("verify", ",").alias("flags"), F.when(ok, "").otherwise("words-changed").alias("problems"))
 
 
 def str01_slug_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select("doc_id", T.slugify(F.substring("text", 1, 40)).alias("slug"))
+    return files(spark, sf_dir).select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 def str02_title_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +62,11 @@ def str06_sections_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def str11_words_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select("doc_id", F.size(T.words(F.col("text"))).alias("n_words"), F.size(T.words(F.col("text"), inline=True)).alias("n_inline"))
+    return files(spark, sf_dir).select("doc_id", T.count_words(F.col("text")).alias("n_words"), T.count_words(F.col("text"), inline=True).alias("n_inline"))
 
 
 def str09_fence_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select("doc_id", T.fence(F.replace("text", F.lit("*"), F.lit("`"))).alias("fence"), T.cell(F.substring("text", 1, 60)).alias("cell"))
+    return files(spark, sf_dir).select("doc_id", T.fence(F.replace("text", F.lit("*"), F.lit("`"))).alias("fence"), T.cell(F.col("text")).alias("cell"))
 
 
 def str19_tidy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,14 +197,14 @@ ORACLES = {
     "flagship_mirror_documents": f"""{_MIRROR} SELECT doc_id, 'sha256:' || sha256(text) AS content_hash, strlen(text) AS byte_size, 'processable' AS outcome, title,
       CAST(length('# ' || title || chr(10) || chr(10) || rtrim(ltrim(text, chr(10)), chr(10)) || chr(10)) AS INTEGER) AS body_length,
       {_W(_SYNTAX.format("'# ' || title || chr(10) || chr(10) || text"))} AS n_words, '' AS flags, '' AS problems FROM f""",
-    "str01_slug_documents": "SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'document') AS slug FROM documents",
+    "str01_slug_documents": "SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'document') AS slug FROM documents",
     "str02_title_documents": f"{_MIRROR} SELECT doc_id, title FROM f",
     "str03_newlines_documents": "SELECT doc_id, sha256(text) AS digest, length(text) AS n FROM documents",
     "str06_sections_documents": f"{_PAGES} SELECT doc_id, CAST(number - 1 AS INTEGER) AS ordinal, 'Page ' || number AS heading, length(CASE WHEN trim(text) = '' THEN '[no text on this page]' ELSE trim(text, chr(10)) END) AS n FROM p",
     "str11_words_documents": f"""SELECT doc_id, {_W(_SYNTAX.format('text'))} AS n_words,
       len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace({_SYNTAX.format('text')}, '\\]\\([^)]*\\)', ']', 'g'), '[*`|\\\\\\[\\]•▪◦‣]', '', 'g'), '[ \\t\\n\\r\\x0b\\x0c]+'), lambda w: w <> '' AND NOT regexp_full_match(w, '[-:]+'))) AS n_inline FROM documents""",
     "str09_fence_documents": r"""SELECT doc_id, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(text, '[*`]+'), lambda x: length(x))), 0) + 1)) AS fence,
-      trim(replace(replace(substr(text, 1, 60), '|', '\|'), chr(10), ' ')) AS cell FROM documents""",
+      trim(replace(replace(text, '|', '\|'), chr(10), ' ')) AS cell FROM documents""",
     "str19_tidy_documents": f"""SELECT doc_id, array_to_string(w[1:40], ' ') || CASE WHEN len(w) > 40 THEN ' […]' ELSE '' END AS tidy FROM (
       SELECT doc_id, list_filter(regexp_split_to_array({_SYNTAX.format('text')}, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda w: w <> '') AS w FROM documents)""",
     "hsh01_hash_documents": "SELECT doc_id, 'sha256:' || sha256(text) AS content_hash, CAST(strlen(text) AS INTEGER) AS byte_size, 'pdf-' || sha256(text) || '-page-000007' AS anchor FROM documents",
