@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.operators.packages import ole_type, ooxml_type
+
+#: fixed values: media types that only say that a file is a package or a compound file
+GENERIC_ZIP, GENERIC_OLE = ("application/zip", "application/x-zip-compressed"), ("application/CDFV2", "application/x-ole-storage", "application/vnd.ms-office")
 #: fixed values: media types by the bytes that files start with, in hexadecimal
 MAGIC = {
     "255044462D": "application/pdf",
@@ -44,9 +48,13 @@ def looks_like_mail(text: Column) -> Column:
     return F.forall(lines, lambda x: x.contains(":") | x.rlike("^[ \t]")) & (F.size(known) >= 3)
 
 
-def refined(media_type: Column, text: Column) -> Column:
-    """Plain text and PDFs that are mail are mail."""
-    return F.when(media_type.isin("text/plain", "application/pdf") & F.coalesce(looks_like_mail(text), F.lit(False)), "message/rfc822").otherwise(media_type)
+def refined(media_type: Column, text: Column, names: Column | None = None) -> Column:
+    """Plain text and PDFs that are mail are mail; packages and compound files are what their parts or streams (names) say."""
+    mail = media_type.isin("text/plain", "application/pdf") & F.coalesce(looks_like_mail(text), F.lit(False))
+    out = F.when(mail, "message/rfc822")
+    if names is not None:
+        out = out.when(media_type.isin(*GENERIC_ZIP), F.coalesce(ooxml_type(names), media_type)).when(media_type.isin(*GENERIC_OLE), F.coalesce(ole_type(names), media_type))
+    return out.otherwise(media_type)
 
 
 def supported(media_type: Column) -> Column:

@@ -43,6 +43,11 @@ def glob_pattern(glob: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(F.replace(marked, F.lit("\x01"), F.lit(".*")), F.lit("?"), F.lit("[^/]")), F.lit("$"))
 
 
+def matches(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
+    """path, family of each rule (family, glob) that a path matches. The rules are a small table."""
+    return paths.join(rules.withColumn("re", glob_pattern(F.col("glob"))), F.regexp_like(F.col(path), F.col("re"))).select(path, "family").distinct()
+
+
 def families(paths: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     """path, n, family: how many rules (family, glob) match a path and the first of them; paths without one have 0."""
     hit = paths.join(rules.withColumn("re", glob_pattern(F.col("glob"))), F.regexp_like(F.col(path), F.col("re")), "left")

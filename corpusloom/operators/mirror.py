@@ -81,3 +81,41 @@ def diff(before: DataFrame, after: DataFrame, key: str, digest: str, mode: str)
     b = after.select(F.col(key).alias("kb"), F.col(digest).alias("db"), F.col(mode).alias("mb"))
     change = F.when(F.col("ka").isNull(), "added").when(F.col("kb").isNull(), "deleted").when(F.col("da") != F.col("db"), "modified").when(F.col("ma") != F.col("mb"), "mode-changed")
     return a.join(b, F.col("ka") == F.col("kb"), "full_outer").select(F.coalesce("ka", "kb").alias(key), change.alias("change")).where("change IS NOT NULL")
+
+
+#: fixed values: the header fields that every mirror has besides, the format of slide maps and its unit, how an anchor line looks
+WRITTEN = (*REQUIRED, "format", "unit")
+SLIDES, SLIDE_UNIT = "slides.v1", "slide"
+ANCHOR_LINE = r'(?:^<a id="pdf-[0-9a-f]{64}-page-[0-9]+"></a>\n\n)?'
+
+
+def header_problem(mirror_format: Column, unit: Column, extra: Column, extensions: Column) -> Column:
+    """Why a header can't be built; null if it can. extra: array of field names; extensions: map of name to JSON text."""
+    known = ((mirror_format == FORMAT) & unit.isin(*UNITS)) | ((mirror_format == SLIDES) & (unit == SLIDE_UNIT))
+    taken = F.array_intersect(extra, F.array(*map(F.lit, WRITTEN)))
+    odd = F.map_filter(extensions, lambda _, v: ~F.coalesce(F.get_json_object(v, "$").startswith("{"), F.lit(False)))
+    return (
+        F.when(~F.coalesce(known, F.lit(False)), F.lit("unknown-unit"))
+        .when(F.size(taken) > 0, F.concat(F.lit("collides:"), F.array_min(taken)))
+        .when(F.size(odd) > 0, F.concat(F.lit("not-a-mapping:"), F.array_min(F.map_keys(odd))))
+    )
+
+
+def page_sections(body: Column) -> Column:
+    """array of page texts in order, without anchors and headings; null if numbers aren't 1, 2, 3, ..."""
+    mark = "\x01"  # no body holds it: NUL and other controls stay out of reading views
+    parts = F.slice(F.split(F.regexp_replace(body, rf"(?m){ANCHOR_LINE}^## Page (\d+)\n", f"{mark}$1\n"), mark), 2, 1 << 30)
+    numbers = F.transform(parts, lambda p: F.substring_index(p, "\n", 1).cast("long"))
+    texts = F.transform(parts, lambda p: F.regexp_replace(F.substring(p, F.locate("\n", p) + 1, F.length(p)), r"^\n+|\n+$", ""))
+    return F.when(F.forall(F.transform(numbers, lambda n, i: n == i + 1), lambda ok: ok), texts)
+
+
+def deferred(name: Column, media_type: Column, reason: Column) -> Column:
+    """struct<method, outcome, verify, unit, body> of the stub for a file that nothing reads: the original stays the only authority."""
+    body = F.concat(F.lit("# "), T.title_from_name(name), F.lit("\n\nConversion is deferred. The original remains authoritative.\n"))
+    return F.struct(F.concat(F.lit("conversion-deferred:"), reason).alias("method"), F.lit("deferred").alias("outcome"), F.array(F.lit("mirror-pending")).alias("verify"), F.lit("document").alias("unit"), media_type.alias("media_type"), body.alias("body"))
+
+
+def readable(mirrors: DataFrame, mirror_format: str = "format") -> DataFrame:
+    """The mirrors that operations on text and transcripts may read: all but those of slides."""
+    return mirrors.where(~F.coalesce(F.col(mirror_format) == SLIDES, F.lit(False)))

@@ -109,3 +109,10 @@ def recognised(words: DataFrame, keys: list[str]) -> DataFrame:
 def best_rotation(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """keys, angle, score: the angle of the largest score, the smaller of equals."""
     return candidates.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("angle")).alias("a"))).alias("b")).select(*keys, (-F.col("b.a")).alias("angle"), F.col("b.score").alias("score"))
+
+
+def merged_ranges(sheets: DataFrame, merges: DataFrame, key: str) -> DataFrame:
+    """key, n, ranges of every sheet: its merged ranges (r1, c1, r2, c2) as names, by row and column; empty without any."""
+    name = range_name(F.col("r1"), F.col("c1"), F.col("r2"), F.col("c2"))
+    by = merges.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r1", "c1", name.alias("x")))), lambda m: m["x"]), ", ").alias("ranges"))
+    return sheets.join(by, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ranges", F.lit("")).alias("ranges"))

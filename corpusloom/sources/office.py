@@ -201,6 +201,56 @@ def image_size(content: bytes) -> tuple[int, int]:
     raise Refused("not-an-image")
 
 
+#: fixed values of compound files: what they start with, the end of a chain, and entries of a directory that are streams
+_COMPOUND, _LAST_SECTOR, _STREAM = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", 0xFFFFFFFA, 2
+
+
+def compound_streams(content: bytes) -> list[str]:
+    """Names of the streams of a compound file (OLE), from its directory; storages aren't named."""
+    if content[:8] != _COMPOUND or len(content) < 512:
+        raise Refused("not-a-compound-file")
+    size = 1 << struct.unpack_from("<H", content, 30)[0]
+    first, more, n_more = struct.unpack_from("<I", content, 48)[0], *struct.unpack_from("<II", content, 68)
+    sector = lambda k: content[(k + 1) * size : (k + 2) * size]
+    tables = list(struct.unpack_from("<109I", content, 76))
+    for _ in range(min(n_more, len(content) // size)):
+        found = struct.unpack(f"<{size // 4}I", sector(more))
+        tables += found[:-1]
+        more = found[-1]
+    following = [x for k in tables if k < _LAST_SECTOR for x in struct.unpack(f"<{size // 4}I", sector(k).ljust(size, b"\xff"))]
+    names, seen = [], set()
+    while first < _LAST_SECTOR:
+        if first in seen or first >= len(following):
+            raise Refused("broken-directory")
+        seen.add(first)
+        raw = sector(first)
+        for at in range(0, len(raw) - 127, 128):
+            length, kind = struct.unpack_from("<HB", raw, at + 64)
+            if kind == _STREAM and 2 <= length <= 64:
+                names.append(raw[at : at + length - 2].decode("utf-16-le", "replace"))
+        first = following[first]
+    return names
+
+
+def member_names(content: Column, limits: tuple[int, int] = LIMITS) -> Column:
+    """array of the names of a package's parts or a compound file's streams; null for other files and broken ones."""
+
+    def one(raw: bytes | None) -> list[str] | None:
+        try:
+            if raw and raw[:8] == _COMPOUND:
+                return compound_streams(raw)
+            return _open(raw, limits).namelist() if raw and raw[:4] == b"PK\x03\x04" else None
+        except (Refused, struct.error):
+            return None
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([one(x.as_py()) for x in batch], pa.list_(pa.string()))
+
+    return run(content)
+
+
 READERS = {
     "docx": docx_text,
     "xlsx": lambda c, limits=LIMITS: "\n".join("\t".join(map(str, x)) for x in xlsx_cells(c, limits)),

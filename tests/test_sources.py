@@ -130,3 +130,34 @@ def test_limits_are_a_parameter_and_have_a_code(spark):
     df = spark.createDataFrame([(package(**DOCX),)], "content binary")
     got = [df.select(office.read_text(F.col("content"), F.lit("docx"), limits)["code"]).first()[0] for limits in (office.LIMITS, (10, 1 << 20), (1 << 20, 10))]
     assert got == [None, "too-large", "too-large"]
+
+
+def compound(*names, storage="Pool"):
+    """A compound file of one table sector and one directory sector, chained to a second one."""
+    entry = lambda name, kind: (name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HB", 2 * len(name) + 2, kind)).ljust(128, b"\0")
+    entries = [entry("Root Entry", 5), entry(storage, 1), *(entry(n, 2) for n in names)]
+    entries += [b"\0" * 128] * (8 - len(entries))
+    head = bytearray(512)
+    head[:8] = bytes.fromhex("D0CF11E0A1B11AE1")
+    struct.pack_into("<H", head, 30, 9)
+    struct.pack_into("<I", head, 48, 1)
+    struct.pack_into("<II", head, 68, 0xFFFFFFFE, 0)
+    struct.pack_into("<109I", head, 76, 0, *[0xFFFFFFFF] * 108)
+    table = struct.pack("<128I", 0xFFFFFFFD, 2, 0xFFFFFFFE, *[0xFFFFFFFF] * 125)
+    return bytes(head) + table + b"".join(entries)
+
+
+def test_packages_and_compound_files_are_told_apart(spark):
+    from corpusloom.operators import identify
+
+    assert office.compound_streams(compound("WordDocument", "1Table", "a", "b", "Workbook")) == ["WordDocument", "1Table", "a", "b", "Workbook"]
+    rows = [
+        (1, package(**DOCX, **{"[Content_Types]DOTxml": "<a/>"})), (2, package(**DOCX)), (3, package(**{"[Content_Types]DOTxml": "<a/>", "xl__workbookDOTxml": "", "ppt__presentationDOTxml": ""})),
+        (4, compound("Book")), (5, compound("Other")), (6, compound("Workbook", "WordDocument")), (7, b"PK\x03\x04junk"), (8, None), (9, b""), (10, compound("Book")[:700]), (11, b"From: a\nTo: b\nSubject: c\n\nx"),
+    ]
+    df = spark.createDataFrame(rows, "i int, content binary")
+    kind = identify.sniffed(F.col("content"))["media_type"]
+    got = {r.i: r.t for r in df.select("i", identify.refined(kind, F.col("content").cast("string"), office.member_names(F.col("content"))).alias("t")).collect()}
+    short = lambda x: x.rpartition(".")[2]
+    assert [short(got[i]) for i in (1, 3)] == ["document", "sheet"] and got[2] == got[7] == "application/zip"
+    assert got[4] == "application/vnd.ms-excel" and got[5] == got[10] == "application/x-ole-storage" and got[6] == "application/msword" and got[11] == "message/rfc822"
