@@ -70,14 +70,3 @@ def reports(runs_: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """runs with ``status``: reported if there is a report of the key, else incomplete."""
     f = found.select(F.col(key).alias("_k")).distinct()
     return runs_.join(f, F.col(key) == F.col("_k"), "left").withColumn("status", F.when(F.col("_k").isNull(), "incomplete").otherwise("reported")).drop("_k")
-
-
-def neighbours_of(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """rows with previous_ and next_ name in the order; ties break by the name."""
-    w = W.partitionBy(*keys).orderBy(*order, name)
-    return rows.withColumn("previous_", F.lag(name).over(w)).withColumn("next_", F.lead(name).over(w))
-
-
-def less(num_a: Column, den_a: Column, num_b: Column, den_b: Column) -> Column:
-    """a < b of two rational order keys with positive denominators, without division."""
-    return num_a.cast("decimal(38,0)") * den_b < num_b.cast("decimal(38,0)") * den_a

@@ -33,30 +33,12 @@ def win12_merged_runs_documents(spark, d):
     return r.groupBy("value").agg(F.count(F.lit(1)).alias("n_runs"), F.max("n").alias("longest"))
 
 
-def win07_links_events(spark, d):
-    e = read(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("phase")).agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("finished"))
-    return K.neighbours_of(e.withColumn("all", F.lit(1)), ["all"], ["finished"], "phase").select("phase", "previous_", "next_")
-
-
 def srt01_canonical_events(spark, d):
     """Events that come before the one of the next smaller id."""
     e = read(spark, d, "events").select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("w"))
     return e.withColumn("b", F.lag("w").over(W.partitionBy("event_type").orderBy("event_id"))).where("w <= b").select("event_id", "b")
 
 
-def srt05_rational_order_nation(spark, d):
-    n = read(spark, d, "nation")
-    a = n.select("n_nationkey", (F.col("n_nationkey") * 7 % 11 + 1).alias("num"), (F.col("n_regionkey") + 1).alias("den"))
-    b = a.select(F.col("num").alias("bn"), F.col("den").alias("bd"))
-    return a.join(b, K.less(F.col("bn"), F.col("bd"), F.col("num"), F.col("den")), "left").groupBy("n_nationkey").agg(F.count("bn").alias("smaller"))
-
-
-def srt06_verdict_order_orders(spark, d):
-    o = read(spark, d, "orders")
-    w = W.partitionBy("o_orderstatus", "o_orderpriority").orderBy("o_orderdate", "o_custkey", "o_orderkey")
-    return o.select("o_orderkey", F.row_number().over(w).alias("place"))
-
-
 def set03_missing_fields_events(spark, d):
     e = read(spark, d, "events")
     return e.select("event_id", F.array_join(F.array_except(F.array(F.lit("k"), F.lit("id"), F.lit("at")), F.json_object_keys("props")), ",").alias("missing"))
@@ -122,25 +104,12 @@ def snk08_cache_misses_documents(spark, d):
     return K.misses(x, x.where("doc_id % 3 = 0"), "key").select("doc_id")
 
 
-def jsn01_strict_events(spark, d):
-    """Duplicate keys are refused."""
-    t = F.when(F.col("event_id") % 6 == 0, F.lit('{"k": 1, "k": 2}')).when(F.col("event_id") % 6 == 1, F.lit('{"k": ')).otherwise(F.col("props"))
-    return read(spark, d, "events").select("event_id", F.try_parse_json(t).isNotNull().alias("ok"))
-
-
 def jon12_reports_orders(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("run"), "c_mktsegment")
     found = read(spark, d, "orders").where("o_orderstatus = 'F' AND o_totalprice > 250000").select(F.col("o_custkey").alias("run"))
     return K.reports(c, found, "run").groupBy("c_mktsegment", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def jon13_linked_cycles_lineitem(spark, d):
-    """Parts that an order's items of status O have and those of status F lack."""
-    li = read(spark, d, "lineitem")
-    by = li.groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_linestatus") == "O", F.col("l_suppkey"))).alias("e"), F.collect_set(F.when(F.col("l_linestatus") == "F", F.col("l_suppkey"))).alias("f"))
-    return by.select("l_orderkey", F.size(F.array_except("e", "f")).alias("missing"), F.size("f").alias("linked"))
-
-
 def jon04_unique_links_supplier(spark, d):
     s = read(spark, d, "supplier")
     return read(spark, d, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_nationkey").agg(F.count("s_suppkey").alias("n")).where("n <> 1")
@@ -152,28 +121,6 @@ def jon20_same_body_documents(spark, d):
     return x.join(first, "h").where("doc_id <> first_id").select("doc_id", "first_id")
 
 
-def agg19_inventory_part(spark, d):
-    p = read(spark, d, "part")
-    return p.groupBy("p_brand").agg(F.count_distinct("p_type").alias("families"), F.count(F.lit(1)).alias("leaves"), (F.count("p_name") - F.count_distinct("p_name")).alias("duplicates"))
-
-
-def agg21_survey_orders(spark, d):
-    return read(spark, d, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("killed"), F.count_if(F.col("o_orderstatus") == "O").alias("survived"), F.count_if(~F.col("o_orderstatus").isin("F", "O")).alias("other"), F.count(F.lit(1)).alias("total"))
-
-
-def flt12_verdict_kinds_documents(spark, d):
-    t = F.lower("text")
-    kind = F.when(t.rlike(r"licensed under"), "license").when(F.size(F.regexp_extract_all("text", F.lit(r"[0-9]"), F.lit(0))) >= 10, "numbers").when(F.col("text").contains("|"), "table").otherwise("prose")
-    return read(spark, d, "documents").select(kind.alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-def flt16_usage_customer(spark, d):
-    """Quota windows of a segment: refused if any use is at 95 or more, reduced if the weekly one is over 80."""
-    c = read(spark, d, "customer").select("c_nationkey", (F.col("c_custkey") % 100).alias("used"), F.when(F.col("c_custkey") % 2 == 0, "weekly").otherwise("daily").alias("w"))
-    s = c.groupBy("c_nationkey").agg(F.bool_or(F.col("used") >= 98).alias("refuse"), F.max(F.when(F.col("w") == "weekly", F.col("used"))).alias("weekly"))
-    return s.select("c_nationkey", F.when(F.col("refuse"), "refused").when(F.col("weekly") > 80, "reduced").otherwise("full").alias("state"))
-
-
 def val11_transitions_events(spark, d):
     """Steps of users that the table of steps doesn't allow."""
     allowed = spark.createDataFrame([("none", "click"), ("none", "view"), ("click", "view"), ("view", "click"), ("view", "purchase"), ("purchase", "view"), ("error", "click"), ("click", "error"), ("view", "error")], "from_state string, to_state string")
@@ -192,24 +139,12 @@ def src19_park_misuse_events(spark, d):
     return K.misuse(e, "user_id", "event_id", "kind").select("event_id", "kind")
 
 
-def src21_log_blocks_documents(spark, d):
-    """Lines that start a block are those of an even level; a block is such a line and what follows."""
-    b = K.items(_lines(spark, d), ["doc_id"], "i", F.length("line") % 2 == 0)
-    return b.where("item > 0").groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("i", F.length("line").alias("n"))).alias("h")).select("doc_id", "item", "n", F.col("h.n").alias("header_length"))
-
-
 def src23_harvest_documents(spark, d):
     """Hexadecimal words of the documents that hold any, once each."""
     x = read(spark, d, "documents").where(F.col("text").rlike("[0-9a-f]{16}")).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9a-f]{16,}"), F.lit(0))).alias("x"))
     return x.groupBy(F.sha1("x").alias("key")).agg(F.min("doc_id").alias("doc_id"))
 
 
-def pol07_routing_documents(spark, d):
-    x = read(spark, d, "documents")
-    route = F.when(F.length("text") > 2000, "typography").when(F.col("lang").isin("en", "de"), "model").otherwise("fidelity")
-    return x.groupBy(route.alias("route"), "lang").agg(F.count(F.lit(1)).alias("n"))
-
-
 def snk07_report_events(spark, d):
     e = read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("value")).alias("v"))
     return e.select(F.format_string("%s: %d spans, %s", "event_type", "n", T.elapsed(F.col("v") * 1_000_000_000)).alias("line"))
@@ -223,10 +158,7 @@ ORACLES = {
     "win10_line_runs_documents": f"{_LINES}, {_RUNS} SELECT doc_id, CAST(run AS BIGINT) AS run, CAST(first AS INTEGER) AS first, n, CAST(value AS INTEGER) AS value FROM g",
     "win11_list_items_documents": f"{_LINES} SELECT doc_id, CAST(item AS BIGINT) AS item, count(*) AS n FROM (SELECT doc_id, sum(CASE WHEN level = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS item FROM l) GROUP BY 1, 2",
     "win12_merged_runs_documents": f"{_LINES}, {_RUNS} SELECT CAST(value AS INTEGER) AS value, count(*) AS n_runs, max(n) AS longest FROM g GROUP BY 1",
-    "win07_links_events": "WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS phase, max(ts) AS finished FROM events GROUP BY 1) SELECT phase, lag(phase) OVER w AS previous_, lead(phase) OVER w AS next_ FROM e WINDOW w AS (ORDER BY finished, phase)",
     "srt01_canonical_events": "SELECT event_id, b FROM (SELECT event_id, epoch_us(ts) AS w, lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY event_id) AS b FROM events) WHERE w <= b",
-    "srt05_rational_order_nation": "WITH a AS (SELECT n_nationkey, n_nationkey * 7 % 11 + 1 AS num, n_regionkey + 1 AS den FROM nation) SELECT a.n_nationkey, count(b.num) AS smaller FROM a LEFT JOIN a b ON b.num * a.den < a.num * b.den GROUP BY 1",
-    "srt06_verdict_order_orders": "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderdate, o_custkey, o_orderkey) AS INTEGER) AS place FROM orders",
     "set03_missing_fields_events": "SELECT event_id, 'id,at' AS missing FROM events",
     "set04_exact_keys_events": "SELECT event_id, event_id % 2 = 0 AS exact FROM events",
     "set08_lineage_events": "SELECT e.user_id, count(*) AS n FROM events e JOIN (SELECT user_id, max(ts) AS accepted FROM events WHERE event_id % 5 = 0 GROUP BY 1) c ON c.user_id = e.user_id AND e.ts <= accepted GROUP BY 1",
@@ -240,22 +172,14 @@ ORACLES = {
     "dat01_utc_events": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS at, epoch_us(ts) * 1000 AS ns FROM events",
     "hsh02_derived_documents": "SELECT doc_id, sha256('stage' || chr(31) || lang || chr(31) || sha256(text)) AS key FROM documents",
     "snk08_cache_misses_documents": "SELECT doc_id FROM documents WHERE (lang, text) NOT IN (SELECT (lang, text) FROM documents WHERE doc_id % 3 = 0)",
-    "jsn01_strict_events": "SELECT event_id, event_id % 6 > 1 AS ok FROM events",
     "jon12_reports_orders": "SELECT c_mktsegment, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 250000) THEN 'reported' ELSE 'incomplete' END AS status, count(*) AS n FROM customer GROUP BY 1, 2",
-    "jon13_linked_cycles_lineitem": "WITH k AS (SELECT l_orderkey, l_suppkey, bool_or(l_linestatus = 'O') AS o, bool_or(l_linestatus = 'F') AS f FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, CAST(count(*) FILTER (o AND NOT f) AS INTEGER) AS missing, CAST(count(*) FILTER (f) AS INTEGER) AS linked FROM k GROUP BY 1",
     "jon04_unique_links_supplier": "SELECT n_nationkey, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1 HAVING count(s_suppkey) <> 1",
     "jon20_same_body_documents": "SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) WHERE doc_id <> first_id",
-    "agg19_inventory_part": "SELECT p_brand, count(DISTINCT p_type) AS families, count(*) AS leaves, count(p_name) - count(DISTINCT p_name) AS duplicates FROM part GROUP BY 1",
-    "agg21_survey_orders": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS killed, count(*) FILTER (o_orderstatus = 'O') AS survived, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS other, count(*) AS total FROM orders GROUP BY 1",
-    "flt12_verdict_kinds_documents": "SELECT CASE WHEN contains(lower(text), 'licensed under') THEN 'license' WHEN length(regexp_replace(text, '[^0-9]', '', 'g')) >= 10 THEN 'numbers' WHEN contains(text, '|') THEN 'table' ELSE 'prose' END AS kind, count(*) AS n FROM documents GROUP BY 1",
-    "flt16_usage_customer": "SELECT c_nationkey, CASE WHEN max(c_custkey % 100) >= 98 THEN 'refused' WHEN max(c_custkey % 100) FILTER (c_custkey % 2 = 0) > 80 THEN 'reduced' ELSE 'full' END AS state FROM customer GROUP BY 1",
     "val11_transitions_events": """WITH s AS (SELECT event_id, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), 'none') AS from_state, event_type FROM events)
       SELECT * FROM s WHERE from_state || '>' || event_type NOT IN ('none>click', 'none>view', 'click>view', 'view>click', 'view>purchase', 'purchase>view', 'error>click', 'click>error', 'view>error')""",
     "val12_corrections_events": "SELECT event_id, CAST(CASE WHEN event_id % 10 = 0 THEN 5 ELSE 9 END AS BIGINT) AS by FROM events WHERE (event_id % 10 = 0) <> (event_id % 15 = 0)",
     "src19_park_misuse_events": """WITH e AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'open' ELSE 'close' END AS kind, lag(CASE event_type WHEN 'click' THEN 'open' ELSE 'close' END) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE event_type IN ('click', 'view'))
       SELECT event_id, kind FROM e WHERE kind = 'open' AND p = 'open' OR kind = 'close' AND (p IS NULL OR p <> 'open')""",
-    "src21_log_blocks_documents": f"{_LINES}, b AS (SELECT *, sum(CASE WHEN length(line) % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS item FROM l) SELECT doc_id, CAST(item AS BIGINT) AS item, count(*) AS n, CAST(arg_min(length(line), i) AS INTEGER) AS header_length FROM b WHERE item > 0 GROUP BY 1, 2",
     "src23_harvest_documents": "WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9a-f]{16,}')) AS x FROM documents) SELECT sha1(x) AS key, min(doc_id) AS doc_id FROM x GROUP BY 1",
-    "pol07_routing_documents": "SELECT CASE WHEN length(text) > 2000 THEN 'typography' WHEN lang IN ('en', 'de') THEN 'model' ELSE 'fidelity' END AS route, lang, count(*) AS n FROM documents GROUP BY 1, 2",
     "snk07_report_events": "SELECT event_type || ': ' || n || ' spans, ' || CASE WHEN v >= 3600 THEN (v // 3600) || 'h ' || (v % 3600 // 60) || 'm ' || (v % 60) || 's' WHEN v >= 60 THEN (v // 60) || 'm ' || (v % 60) || 's' ELSE v || '.000s' END AS line FROM (SELECT event_type, count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS v FROM events GROUP BY 1)",
 }

@@ -113,12 +113,6 @@ def val03_map_verify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.map_problems(pages.join(body, "doc_id"), ["doc_id"], "number", "body", "text").where("problems <> ''")
 
 
-def win01_ordinals_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings Page N of the body whose number isn't their place; every thirteenth document lost its first page."""
-    p = _pages(spark, sf_dir).where("NOT (doc_id % 13 = 0 AND number = 1)")
-    return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("number").alias("last")).where("n <> last").select("doc_id", "n", "last")
-
-
 def flt08_page_select_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages for recognition: without text, or with half of them covered by raster (here from the number of characters)."""
     p = _pages(spark, sf_dir)
@@ -220,7 +214,6 @@ ORACLES = {
     "str05_page_body_documents": f"{_PAGES} SELECT doc_id, sha256(string_agg('## Page ' || number || chr(10) || chr(10) || CASE WHEN trim(text) = '' THEN '[no text on this page]' ELSE text END, chr(10) || chr(10) ORDER BY number)) AS digest FROM p GROUP BY 1",
     "win03_page_map_documents": f"{_PAGES} SELECT doc_id, number, CAST(e - length(text) AS BIGINT) AS start, CAST(e AS BIGINT) AS end_ FROM (SELECT *, sum(length('## Page ' || number) + 2 + length(text) + CASE WHEN number > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY number ROWS UNBOUNDED PRECEDING) AS e FROM p)",
     "val03_map_verify_documents": f"{_PAGES} SELECT doc_id, number, 'text' AS problems FROM (SELECT *, max(number) OVER (PARTITION BY doc_id) AS last FROM p) WHERE doc_id % 11 = 0 AND number < last",
-    "win01_ordinals_documents": f"{_PAGES} SELECT doc_id, max(number) - 1 AS n, max(number) AS last FROM p WHERE doc_id % 13 = 0 GROUP BY 1 HAVING max(number) > 1",
     "flt08_page_select_documents": f"{_PAGES} SELECT doc_id, number, (length(text) % 100) / 100.0::DOUBLE AS coverage FROM p WHERE trim(text) = '' OR (length(text) % 100) / 100.0::DOUBLE >= 0.5",
     "jon01_native_recovered_documents": f"{_PAGES} SELECT doc_id, count(*) AS n_pages, count(*) FILTER (number % 3 = 0) AS n_recovered, CAST(sum(length(text || CASE WHEN number % 3 = 0 THEN '!' ELSE '' END)) AS BIGINT) AS n_chars, true AS complete FROM p GROUP BY 1",
     "flt09_native_pages_documents": f"{_PAGES} SELECT doc_id, count(*) AS n_native FROM p WHERE number % 3 <> 0 GROUP BY 1",

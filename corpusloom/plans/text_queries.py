@@ -299,17 +299,6 @@ def set02_first_seen_events(spark, d):
     return read(spark, d, "events").groupBy("event_type", "user_id").agg(F.min("event_id").alias("first_id"))
 
 
-def src18_ledger_events(spark, d):
-    """Props as ledger rows, strictly parsed: keys that are whole numbers, and rows that don't parse."""
-    e = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 20 == 0, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.col("props")).alias("line"))
-    return e.select("event_id", F.try_parse_json("line").isNull().alias("bad"), F.get_json_object(F.when(F.try_parse_json("line").isNotNull(), F.col("line")), "$.k").cast("long").alias("k"))
-
-
-def set07_dedupe_documents(spark, d):
-    x = read(spark, d, "documents").select("doc_id", F.sha1(F.lower(F.trim("text"))).alias("key"))
-    return x.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
-
-
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] != "_" and name != "read" and callable(f) and getattr(f, "__module__", "") == __name__}
 
 _CELLS = """WITH v AS (SELECT l_orderkey AS sheet, l_linenumber AS row, min(l_returnflag) AS v1, min('a,' || l_linestatus) AS v2, min(CASE WHEN l_partkey % 2 = 0 THEN 'q"' || l_partkey END) AS v3 FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1, 2)"""
@@ -382,6 +371,4 @@ ORACLES = {
     "flt13_aged_events": "SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY 1 HAVING count(*) >= 3 AND date_diff('day', CAST(max(ts) AS DATE), DATE '2024-03-29') >= 60",
     "srt04_semantic_order_part": "SELECT phase, CAST(row_number() OVER (PARTITION BY a ORDER BY b, p_partkey) AS INTEGER) AS place FROM (SELECT (p_partkey % 12) || '.' || p_size || '.' || p_partkey AS phase, p_partkey % 12 AS a, p_size AS b, p_partkey FROM part)",
     "set02_first_seen_events": "SELECT event_type, user_id, min(event_id) AS first_id FROM events GROUP BY 1, 2",
-    "src18_ledger_events": "SELECT event_id, event_id % 20 = 0 AS bad, CASE WHEN event_id % 20 <> 0 THEN CAST(props->>'k' AS BIGINT) END AS k FROM events",
-    "set07_dedupe_documents": "SELECT sha1(lower(trim(text))) AS key, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1",
 }
