@@ -1,8 +1,8 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Every word and stem has the log-odds of toxic against other documents, of either sign, under a Dirichlet prior centred
-on the background, with their standard deviation; those that chance explains count less. A token has the log-odds of the
-surest of its word and stems. One linear scan of a text finds all its maximal-scoring segments, and the extreme-value law
+Every word and stem has the log-odds of its tokens' rates in toxic against other documents, of either sign, under a
+Dirichlet prior centred on the background; those that chance explains, by the documents that hold it, count less. A token
+has the log-odds of the surest of its word and stems. One linear scan of a text finds all its maximal-scoring segments, and the extreme-value law
 of the best segment under clean text turns scores into p-values and, fitted on labelled documents, into a probability.
 Labelled documents are scored without their own counts when the law is fitted, so that it holds for others too.
 """
@@ -20,27 +20,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc_mod, fresh, lower_words, table
-from corpusloom.llm.labels import labelled_sample
+from corpusloom.llm.common import crc_mod, fresh, lower_words, table, tidy
+from corpusloom.llm.labels import labelled_sample, without_copies
 
 #: stripped from both ends of a word
 EDGES = b".,;:!?\"'()[]{}|*#$%&<>"
 #: a word's stems are its first code points, so many
 STEMS = (4, 5, 6)
-#: weight of the prior, in documents
+#: weight of the priors, in documents and in tokens
 PRIOR = 20.0
 #: standard deviations from which on log-odds count in full; below, by this power of the share of it
 SURE, POWER = 5.0, 4
-#: words and stems are counted by a hash modulo this: 8 MB of counts, whatever the texts
+#: words and stems are counted by a hash modulo this: 16 MB of counts, whatever the texts
 SLOTS = 1 << 20
 #: the mean score of a clean token is minus this at most: the law needs a negative one
 DRIFT = 0.01
 #: standardised maxima from here on have one probability, as copies of one text have any
 TOP = 8.0
+COUNTS = ("toxic", "n", "toxic_tokens", "tokens")
 #: width of the bins in which scores of clean tokens are counted
 BIN = 0.01
 #: words that a worker remembers scores of
-MEMO = 400_000
+MEMO = 100_000
 #: p-value of a significant passage
 SIGNIFICANT = 0.01
 
@@ -102,12 +103,15 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class ToxicModel:
-    """toxic, all: documents by slot, toxic ones and all; n_toxic, n_all: documents; shift: taken off each score; rate: lambda; size: K; then the logistic fit of the standardised maximum."""
+    """toxic, all: documents by slot, toxic ones and all; toxic_tokens, tokens: their tokens; n_toxic, n_all, share: documents and the share of toxic ones' tokens; shift: taken off each score; rate: lambda; size: K; then the logistic fit of the standardised maximum."""
 
     toxic: np.ndarray
     all: np.ndarray
+    toxic_tokens: np.ndarray
+    tokens: np.ndarray
     n_toxic: int = 0
     n_all: int = 0
+    share: float = 0.5
     shift: float = 0.0
     rate: float = 1.0
     size: float = 0.1
@@ -115,14 +119,16 @@ class ToxicModel:
     offset: float = 0.0
 
     def log_odds(self, less_toxic: int = 0, less: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Of each slot, as it counts, and how many standard deviations it is from 0; if wished without a document that holds it."""
+        """Of each slot, as it counts, and how many standard deviations its documents are from the background; if wished without a document that holds it."""
         n = np.maximum(self.all.astype(float) - less, 0)
         t = np.clip(self.toxic.astype(float) - less_toxic, 0, n)
         o, toxic, other = n - t, self.n_toxic - less_toxic, self.n_all - self.n_toxic - (less - less_toxic)
         prior = PRIOR * n / max(self.n_all, 1) + 1e-12
         delta = np.log((t + prior) / (toxic - t + PRIOR - prior + 0.5)) - np.log((o + prior) / (other - o + PRIOR - prior + 0.5))
         z = np.where(n > 0, np.abs(delta) / np.sqrt(1 / (t + prior) + 1 / (o + prior)), 0.0)
-        return np.where(n > 0, delta * np.minimum(z / SURE, 1) ** POWER, 0.0), z
+        q = (self.toxic_tokens + PRIOR * self.share) / (self.tokens + PRIOR)
+        odds = np.log(q / (1 - q)) - math.log(self.share / (1 - self.share))
+        return np.where(n > 0, odds * np.minimum(z / SURE, 1) ** POWER, 0.0), z
 
     def standard(self, n: int, best: float) -> float:
         """The Gumbel variable of the best segment of n tokens: log of the inverse of its expected number."""
@@ -187,16 +193,21 @@ def toxicity(text: Column, model: ToxicModel) -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(y, text) to (slot, toxic, n): toxic documents and all that hold one of a slot's words."""
+    """(y, text) to (slot, and of its words: toxic documents, all documents, tokens in toxic ones, all tokens); slot -1 has all tokens."""
     memo = _Slots()
-    toxic, n = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+    counts = np.zeros((4, SLOTS + 1), np.int64)
     for batch in batches:
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            at = np.array(list({i for w in set(lower_words(text.as_py())) for i in memo[w]}), np.int64)
-            n[at] += 1
-            toxic[at] += y > 0
-    held = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(toxic[held]), pa.array(n[held])], ["slot", "toxic", "n"])
+            found = lower_words(text.as_py())
+            times: Counter = Counter({SLOTS: len(found)})
+            for w, k in Counter(found).items():
+                for i in memo[w]:
+                    times[i] += k
+            at, k = np.fromiter(times.keys(), np.int64, len(times)), np.fromiter(times.values(), np.int64, len(times))
+            for row, x in ((0, y > 0), (1, 1), (2, k * (y > 0)), (3, k)):
+                counts[row, at] += x
+    held = np.flatnonzero(counts[1])
+    yield pa.RecordBatch.from_arrays([pa.array(np.where(held < SLOTS, held, -1)), *(pa.array(c[held]) for c in counts)], ["slot", *COUNTS])
 
 
 def _best_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -211,21 +222,26 @@ def _best_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
-    """Fits on a sample (labels.SAMPLE_ROWS) of labelled rows whose crc32(doc_id as text) mod 3 is not 1.
+    """Fits on a sample (labels.SAMPLE_ROWS) of labelled rows whose crc32(doc_id as text) mod 3 is not 1, one of near copies.
 
     Without labels of both kinds every score is the share of toxic labels, 0.5 without any. The counts of the sample, at
     most SLOTS rows, and a number for each of its documents reach the driver.
     """
-    sample = labelled_sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), 3) != 1)
+    sample = without_copies(labelled_sample(docs, labels, "toxic", crc_mod(F.col("doc_id"), 3) != 1))
     of = {bool(r.t): r["n"] for r in sample.groupBy((F.col("y") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     base = (of.get(True, 0) + 0.5) / (sum(of.values()) + 1)
-    none = ToxicModel(np.zeros(0), np.zeros(0), slope=0.0, offset=math.log(base / (1 - base)))
+    none = ToxicModel(*[np.zeros(0)] * 4, slope=0.0, offset=math.log(base / (1 - base)))
     if len(of) < 2:
         return none
-    counted = sample.select("y", "text").mapInArrow(_count, "slot long, toxic long, n long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).toArrow()
+    counted = sample.select("y", "text").mapInArrow(tidy(_count), "slot long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("slot").agg(*(F.sum(c).alias(c) for c in COUNTS)).toArrow()
     at = counted["slot"].to_numpy()
-    model = ToxicModel(np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32), of[True], sum(of.values()))
-    model.toxic[at], model.all[at] = counted["toxic"].to_numpy(), counted["n"].to_numpy()
+    n = [counted[c].to_numpy() for c in COUNTS]
+    whole = at == -1
+    if not whole.any() or not 0 < n[2][whole][0] < n[3][whole][0]:  # toxic or other documents have no words
+        return none
+    model = ToxicModel(*(np.zeros(SLOTS, np.float32) for _ in COUNTS), of[True], sum(of.values()), float(n[2][whole][0] / n[3][whole][0]))
+    for own, x in zip((model.toxic, model.all, model.toxic_tokens, model.tokens), n, strict=True):
+        own[at[~whole]] = x[~whole]
     context = sample.sparkSession.sparkContext
     first = context.broadcast(model)
 
@@ -237,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
                 counts.update(dict(zip(found.tolist(), n.tolist(), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["bin", "n"])
 
-    bins = sample.where("y <= 0").select("text").mapInArrow(clean_scores, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    bins = sample.where("y <= 0").select("text").mapInArrow(tidy(clean_scores), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     if not bins.num_rows:  # no clean document has a word
         return none
     value, p = bins["bin"].to_numpy() * BIN, bins["n"].to_numpy() / bins["n"].to_numpy().sum()
@@ -261,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
                 rows.append((y, second.value.standard(len(found), top)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64())], ["y", "x"])
 
-    found = sample.select("y", "text").mapInArrow(best, "y int, x double").toPandas()
+    found = sample.select("y", "text").mapInArrow(tidy(best), "y int, x double").toPandas()
     y, x = (found["y"].to_numpy() > 0).astype(float), found["x"].to_numpy()
     # x = rate * best - log(n) so far: the likeliest K is the inverse mean of exp(-x)
     model.size = float(1 / max(np.exp(-x[y == 0]).mean(), 1e-9))

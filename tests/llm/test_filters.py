@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import mixing, quality_rules, rule_classifier, toxic_segments
+from corpusloom.llm.labels import without_copies
 from corpusloom.llm.stats import FIELDS, measure
 
 ODD = [(1, None, "en", "a"), (2, "", "en", None), (None, "x y", None, None), (4, "a b c " * 40, "en", "a"), (4, "a b c " * 40, "en", "a"), (5, "w" * 200_000, "en", "a"), (6, " \n\t", "", "a")]
@@ -125,16 +126,20 @@ def test_segments_take_linear_time(shape):
 def test_every_token_has_log_odds_of_its_own_or_of_a_stem_s(spark):
     """Documents of words and stems, Dirichlet priors, deviations, and what a document's own tokens change, against plain counting."""
     ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
-    rows = [(i, "badword fine day" if k % 4 == 0 else "fine day good today badge" if k % 3 else "day", int(k % 4 == 0)) for k, i in enumerate(ids)]
+    apart = lambda k, ws: " ".join(f"{w} own{k}x{i}" for i, w in enumerate(ws.split()))  # noqa: E731  no two texts share five words
+    rows = [(i, apart(k, "badword fine " + "day " * (k % 3)) if k % 4 == 0 else apart(k, "fine day good today badge") if k % 3 else f"day k{k}", int(k % 4 == 0)) for k, i in enumerate(ids)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     model = toxic_segments.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
-    counts = {}
+    counts, tokens = {}, {}
     kinds = lambda w: [*((n, w[:n]) for n in (4, 5, 6) if len(w) >= n), (0, w)]
     for _, t, y in rows:
-        for f in {f for w in t.split() for f in kinds(w)}:
-            c = counts.setdefault(f, [0, 0])
-            c[0] += y
-            c[1] += 1
+        for into, found in ((counts, {f for w in t.split() for f in kinds(w)}), (tokens, [f for w in t.split() for f in kinds(w)])):
+            for f in found:
+                c = into.setdefault(f, [0, 0])
+                c[0] += y
+                c[1] += 1
+    share = sum(len(t.split()) for _, t, y in rows if y) / sum(len(t.split()) for _, t, _ in rows)
+    assert math.isclose(model.share, share)
     n_toxic = sum(y for _, _, y in rows)
     assert (model.n_toxic, model.n_all) == (n_toxic, len(rows))
 
@@ -148,7 +153,9 @@ def test_every_token_has_log_odds_of_its_own_or_of_a_stem_s(spark):
         one = lambda k, m: math.log((k + prior) / (m - k + toxic_segments.PRIOR - prior + 0.5))
         delta = one(t, n_toxic - dt) - one(n - t, len(rows) - n_toxic - dn + dt)
         z = abs(delta) / math.sqrt(1 / (t + prior) + 1 / (n - t + prior))
-        return z, delta * min(z / toxic_segments.SURE, 1) ** toxic_segments.POWER
+        k, m = tokens[f]
+        q = (k + toxic_segments.PRIOR * share) / (m + toxic_segments.PRIOR)
+        return z, (math.log(q / (1 - q)) - math.log(share / (1 - share))) * min(z / toxic_segments.SURE, 1) ** toxic_segments.POWER
 
     for dt, dn in ((0, 0), (0, 1), (1, 1)):
         scores = toxic_segments._Scores(model, dt, dn)
@@ -159,10 +166,19 @@ def test_every_token_has_log_odds_of_its_own_or_of_a_stem_s(spark):
     assert whole[b"badword"] > 0 > whole[b"good"]
 
 
+def test_copies_of_a_text_count_once(spark):
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{k}" for k in rng.integers(0, 5000, 80))
+    base = [text() for _ in range(30)]
+    rows = [(i, 0, t) for i, t in enumerate(base)] + [(100 + i, 1, base[3]) for i in range(20)] + [(200 + i, 1, base[4] + f" end{i}") for i in range(20)] + [(300, 0, None), (301, 1, ""), (302, 0, None)]
+    got = {r.doc_id for r in without_copies(spark.createDataFrame(rows, "doc_id long, y int, text string").repartition(3)).collect()}
+    assert got == {*range(30), 300, 301, 302}
+
+
 def test_law_of_the_best_segment_holds_for_clean_text():
     """Under a score distribution of known lambda, p-values of random texts are about uniform."""
     rng = np.random.default_rng(5)
-    model = toxic_segments.ToxicModel(np.zeros(0), np.zeros(0))
+    model = toxic_segments.ToxicModel(*[np.zeros(0)] * 4)
     model.rate, model.size = math.log(0.7 / 0.3), 1.0  # +1 with probability 0.3, else -1: E[exp(lambda s)] = 1
     best = lambda: max((s for _, _, s in toxic_segments.maximal_segments(np.where(rng.random(400) < 0.3, 1.0, -1.0))), default=0.0)
     x = np.array([model.standard(400, best()) for _ in range(600)])
