@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import forget, fresh, lower_words, settle, table
+from corpusloom.llm.common import forget, fresh, lower_words, settle, table, tidy
 
 #: number of topics, and the share of all tokens that the sample is to have
 TOPICS, BUDGET = 8, 0.5
@@ -29,7 +29,7 @@ TOLERANCE, ROUNDS = 1e-4, 200
 LOCAL_CELLS = 1 << 17
 DIMS = ("source", "lang", "topic")
 #: places that words are hashed to, bytes that such a word has at least, and words that a worker remembers
-WIDTH, LEAST_BYTES, MEMO = 256, 4, 400_000
+WIDTH, LEAST_BYTES, MEMO = 256, 4, 100_000
 #: Lloyd's steps, and documents among which the first centres are sought
 STEPS, SEEDS = 4, 512
 #: unit of the sums of vectors: whole numbers, so that the order of additions doesn't matter
@@ -55,14 +55,17 @@ def profile(text: str | None, memo: _Places) -> tuple[int, bytes]:
 
 @dataclass
 class Topics:
-    """Weights of places, and unit vectors: the centres of the topics."""
+    """Weights of places, the corpus's mean vector, and unit vectors: the centres of the topics."""
 
     rarity: np.ndarray
+    mean: np.ndarray
     centres: np.ndarray
 
     def vectors(self, profiles: list[bytes]) -> np.ndarray:
+        """Unit vectors of what a text has beyond the mean; zero without a word of LEAST_BYTES."""
         x = np.frombuffer(b"".join(profiles), np.uint8).reshape(-1, WIDTH) * self.rarity
-        return x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-12)
+        unit = lambda x: x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-12)
+        return np.where(x.any(1, keepdims=True), unit(unit(x) - self.mean), 0.0)
 
     def of(self, profiles: list[bytes]) -> np.ndarray:
         """The nearest centre of each; -1 without a word of LEAST_BYTES."""
@@ -74,7 +77,7 @@ class Topics:
 
 
 def fit_topics(rows: DataFrame, n: int = TOPICS) -> Topics:
-    """Topics of rows (doc_id, profile): first centres farthest from one another among SEEDS documents, then Lloyd's steps over all."""
+    """Topics of rows (doc_id, profile): first centres apart from one another among SEEDS documents, then Lloyd's steps over all."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(WIDTH + 1, np.int64)
@@ -93,31 +96,37 @@ def fit_topics(rows: DataFrame, n: int = TOPICS) -> Topics:
         return out
 
     count = total(held, WIDTH + 1).get(-1, np.zeros(WIDTH + 1))
-    model = Topics(np.log((1 + count[WIDTH]) / (1 + count[:WIDTH])) + 0.01, np.zeros((0, WIDTH)))
+    model = Topics(np.log((1 + count[WIDTH]) / (1 + count[:WIDTH])) + 0.01, np.zeros(WIDTH), np.zeros((0, WIDTH)))
+
+    def summed(now: Topics):
+        """Sums of the vectors by nearest centre, or of all without centres."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((max(len(now.centres), 1), WIDTH), np.int64)
+            for batch in batches:
+                profiles = batch.column(0).to_pylist()
+                if profiles:
+                    at, vectors = np.maximum(now.of(profiles), 0), np.round(UNIT * now.vectors(profiles)).astype(np.int64)
+                    np.add.at(sums, at, vectors)  # those of texts without longer words are zero
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums.tolist(), pa.list_(pa.int64()))], ["topic", "sums"])
+
+        return run
+
+    model.mean = total(summed(model), WIDTH).get(0, np.zeros(WIDTH)) / UNIT / max(count[WIDTH], 1)
     seeds = [bytes(r.profile) for r in rows.select("profile", F.xxhash64("doc_id", "profile").alias("h")).orderBy("h", "profile").limit(SEEDS).collect()]
     x = model.vectors(seeds) if seeds else np.zeros((0, WIDTH))
     x = x[x.any(1)]
     if not len(x):
         return model
+    rng = np.random.default_rng(0)
     chosen = [int((x @ x.mean(0)).argmax())]
-    near = x @ x[chosen[0]]
-    while len(chosen) < n and near.min() < 1 - 1e-9:
-        chosen.append(int(near.argmin()))
-        near = np.maximum(near, x @ x[chosen[-1]])
+    far = 1 - x @ x[chosen[0]]
+    while len(chosen) < n and far.max() > 1e-9:  # by chance, the more likely the farther: the farthest ones are mere outliers
+        chosen.append(int(rng.choice(len(x), p=np.maximum(far, 0) / np.maximum(far, 0).sum())))
+        far = np.minimum(far, 1 - x @ x[chosen[-1]])
     model.centres = x[chosen]
     for _ in range(STEPS):
-        now = Topics(model.rarity, model.centres)
-
-        def nearest(batches: Iterator[pa.RecordBatch], now: Topics = now) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((len(now.centres), WIDTH), np.int64)
-            for batch in batches:
-                profiles = batch.column(0).to_pylist()
-                if profiles:
-                    at, vectors = now.of(profiles), np.round(UNIT * now.vectors(profiles)).astype(np.int64)
-                    np.add.at(sums, at[at >= 0], vectors[at >= 0])
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums.tolist(), pa.list_(pa.int64()))], ["topic", "sums"])
-
-        got = total(nearest, WIDTH)
+        got = total(summed(Topics(model.rarity, model.mean, model.centres)), WIDTH)
         model.centres = np.array([got[k] / np.sqrt((got[k] ** 2).sum()) if got.get(k, np.zeros(1)).any() else c for k, c in enumerate(model.centres)])
     return model
 
@@ -188,15 +197,16 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], tolerance: float = TOLER
 def probabilities(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
     """Adds ``probability``: that of each document of a cell, at most 1, so that the expected tokens are the budget's share.
 
-    The factor common to all cells is found by bisection over sums of the table, a fixed number of them in one pass.
+    The factor common to all cells is found by bisection of its logarithm over sums of the table, a fixed number in one pass.
     """
     ratio = F.col("weight") / F.greatest(F.col("tokens").cast("double"), F.lit(1.0))
-    totals = raked.agg(F.sum("tokens").cast("double").alias("n"), F.max(ratio).alias("hi"), F.min(F.when(ratio > 0, ratio)).alias("lo")).first()
+    totals = raked.agg(F.sum("tokens").cast("double").alias("n"), F.max(ratio).alias("hi"), F.min(F.when(ratio > 0, ratio)).alias("lo"), F.sum("weight").alias("w")).first()
     if not totals.n or not totals.hi:
         return raked.withColumn("probability", F.lit(0.0))
-    low, high = 0.0, 1.0 / totals.lo
-    for _ in range(6):  # 16 points a pass: 16**6 steps
-        points = [low + (high - low) * i / 16 for i in range(1, 16)]
+    # as if no cell were full, and with all full
+    low, high = min(budget * totals.n / totals.w, 1.0 / totals.lo), 1.0 / max(totals.lo, 1e-300)
+    for _ in range(8):  # 16 points a pass: 16**8 steps
+        points = [low * (high / low) ** (i / 16) for i in range(1, 16)]
         at = F.transform(F.array(*(F.lit(p) for p in points)), lambda p: F.col("tokens") * F.least(F.lit(1.0), ratio * p))
         got = {r["i"]: r.s for r in raked.select(F.posexplode(at).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).collect()}
         under = [p for i, p in enumerate(points) if got[i] <= budget * totals.n]
@@ -255,7 +265,7 @@ def fit_mix(docs: DataFrame, budget: float = BUDGET) -> Mix:
     schema = "doc_id long, draw double, source string, lang string, n_tokens long, profile binary"
     text = F.col("text").cast("string")
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), uniform(F.col("doc_id").cast("long"), text).alias("draw"), F.col("source").cast("string"), F.col("lang").cast("string"), text.alias("text"))
-    profiles = settle(held.mapInArrow(_profiles, schema))
+    profiles = settle(held.mapInArrow(tidy(_profiles), schema))
     mix = Mix(fit_topics(profiles), profiles, profiles, 0.0)
     mix.rows = settle(profiles.select("doc_id", "draw", "source", "lang", mix.topic(F.col("profile")).alias("topic"), "n_tokens"))
     forget(profiles)
