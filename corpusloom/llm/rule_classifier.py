@@ -69,13 +69,17 @@ class RuleModel:
 
     def add_score(self, df: DataFrame, stats: Column, name: str) -> DataFrame:
         """df with the same score as a column ``name``, STEP rules to a projection."""
-        x, z = feature_columns(stats), fresh(df, "rule_sum")
-        out = df.withColumn(z, F.lit(float(self.intercept)))
+        z = fresh(df, "rule_sum")
+        names = {f: fresh(df, f"rule_{f}") for f in FEATURES}
+        # 0, but not known beforehand: a filter on the score would else be pushed down, with all rules in one expression
+        start = F.lit(float(self.intercept)) + 0.0 * F.spark_partition_id()
+        out = df.withColumns({names[f]: c for f, c in feature_columns(stats).items()} | {z: start})
+        x = {f: F.col(name) for f, name in names.items()}
         for at in range(0, len(self.weights), STEP):
             step = sum((F.when(rule.column(x), F.lit(float(w))).otherwise(F.lit(0.0)) for w, rule in self.weights[at : at + STEP]), F.lit(0.0))
             # the sum so far is referred to twice, else the optimizer would merge all steps into one
             out = out.withColumn(z, F.when(F.isnan(z), F.col(z)).otherwise(F.col(z) + step))
-        return out.withColumn(name, 1.0 / (1.0 + F.exp(-F.col(z)))).drop(z)
+        return out.withColumn(name, 1.0 / (1.0 + F.exp(-F.col(z)))).drop(z, *names.values())
 
     def predict(self, x: dict[str, np.ndarray], n: int) -> np.ndarray:
         z = np.full(n, self.intercept)
