@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import settle, table
+from corpusloom.llm.common import settle, table, tidy
 from corpusloom.llm.tokenise import cuts, default_path, encoder
 
 CAPACITY = 1024
@@ -245,7 +245,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     Settled, because a rank holds only with the chunks it was given in.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, nth long"
-    return settle(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_cutter(path, capacity), schema))
+    return settle(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(_cutter(path, capacity)), schema))
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

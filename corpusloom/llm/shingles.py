@@ -10,7 +10,7 @@ from corpusloom.llm.common import lower_words
 #: words in a shingle
 WIDTH = 5
 #: words that a worker remembers hashes of
-MEMO = 400_000
+MEMO = 150_000
 #: odd multipliers of the mixing steps, one for each word of a shingle
 _MIX = [np.uint64(xxhash.xxh3_64_intdigest(bytes([i])) | 1) for i in range(WIDTH)]
 _SHIFT = np.uint64(29)
