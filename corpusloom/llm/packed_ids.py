@@ -126,7 +126,7 @@ def packed_matrix(docs: DataFrame, path: str | None = None, capacity: int = CAPA
     cu_seqlens has the cumulative lengths of its segments from 0, position_resets the places at which position ids
     start again at 0, and doc_ids, pieces and starts say which ids of which document a segment is. Documents longer
     than the capacity are cut, nothing is dropped. Null and empty texts are the end id alone; null ids and repeated
-    rows are packed like others; an empty table gives no rows.
+    rows are packed like others; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packer(path or default_path(), capacity), SCHEMA)
 
@@ -145,4 +145,5 @@ def position_ids(cu_seqlens: list[int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``packed_matrix`` of all documents."""
     return packed_matrix(table(spark, sf_dir, "documents"))

@@ -1,7 +1,7 @@
 """Exact top-k inner products by a dual-tree search over cover trees.
 
 Every task builds cover trees over blocks of its own rows; the vectors never leave their partition. The queries come
-in blocks of bounded size, each indexed by a cover tree too and broadcast. A pair of a query node and a data node is
+in blocks of bounded size, each indexed by a cover tree too, which travels with the tasks. A pair of a query node and a data node is
 dropped when no product below it can reach the worst k-th score of the query node's group. Each partition's best k
 merge by a sort within the query.
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import settle, table, tidy
 
 #: vectors in a data block, which a task holds with its tree
 DATA_BLOCK = 16_384
@@ -314,8 +314,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Both tables have (vec_id long, e array of whole numbers), as ``quantised`` makes them, and may have its unit. Ranks
     are exact for products of any size; score is null for one that no long holds. Ties go to the smaller vec_id. A
     query with fewer than k candidates gets them all, one without candidates no row; vectors meet only vectors of
-    their own length. Repeated equal rows of an id count as one; an empty table gives no rows. Queries are taken in blocks by a hash of their id, so the
-    driver holds one block at a time.
+    their own length. Repeated equal rows of an id count as one; an empty table gives no rows; other columns are ignored.
+    Queries are taken in blocks by a hash of their id, so the driver holds one block at a time; each block reads the
+    vectors once.
     """
     spark = vectors.sparkSession
     vectors, queries = (t.select("vec_id", "e", F.col("unit") if "unit" in t.columns else F.lit(1).cast("long").alias("unit")) for t in (vectors, queries))
@@ -328,7 +329,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         if part.num_rows:
             ids, column, unit = part.column("vec_id").to_numpy(), part.column("e").combine_chunks(), part.column("unit").to_numpy()
             of = {key: (ids[rows], v) for key, (rows, v) in _matrix(column, unit).items()}
-            found.append(vectors.mapInArrow(_searcher(of, k), "query_id long, vec_id long, score long, beyond binary"))
+            best = vectors.mapInArrow(tidy(_searcher(of, k)), "query_id long, vec_id long, score long, beyond binary")
+            # of several blocks each is written, so that the driver holds the queries and trees of one only
+            found.append(settle(best) if blocks > 1 else best)
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = found[0]
@@ -340,5 +343,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best neighbours of every 50th vector among all embeddings."""
     vectors = quantised(table(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)

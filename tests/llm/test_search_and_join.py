@@ -32,6 +32,16 @@ def test_top_k_like_brute_force(spark):
     assert topk_search.top_k(q.limit(0), q.limit(0)).count() == 0
 
 
+def test_blocks_of_queries_give_what_one_block_gives(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, rng.normal(0, 1, 6).tolist()) for i in range(300)], "vec_id long, embedding array<double>").repartition(3)
+    q = topk_search.quantised(df)
+    rows = lambda: sorted(map(tuple, topk_search.top_k(q, q.where("vec_id % 3 = 0"), 5).collect()))
+    one = rows()
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 30)
+    assert rows() == one and len(one) == 500
+
+
 def test_repeated_rows_leave_room_for_other_ids(spark):
     rows = [(i, [1.0, 2.0]) for i in [1] * 10 + [2, 3, 4, 5, 6, 7]] + [(50, [1.0, 1.0])] * 10
     q = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1))

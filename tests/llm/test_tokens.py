@@ -82,6 +82,64 @@ def test_configurations_hold_every_piece():
         assert got == Counter(h) and bins <= 1.01 * total / 1024 + 2 and least <= bins
 
 
+def fewest_bins(items, capacity):
+    """By trying all ways, longest piece first."""
+    best = len(items)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(items):
+            best = len(rooms)
+            return
+        for i in {r: i for i, r in enumerate(rooms) if r >= items[k]}.values():
+            place(k + 1, [r - items[k] if j == i else r for j, r in enumerate(rooms)])
+        place(k + 1, [*rooms, capacity - items[k]])
+
+    items = sorted(items, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_bound_and_packing_hold_the_optimum_between_them():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        items = rng.integers(1, 25, 10).tolist()
+        found, least = lp_packing.configurations(Counter(items), 24)
+        assert least <= fewest_bins(items, 24) <= sum(k for _, k in found) <= fewest_bins(items, 24) + 1
+
+
+def test_the_averaged_solution_covers_all_near_the_bound():
+    rng = np.random.default_rng(8)
+    n = np.zeros(101, np.int64)
+    np.add.at(n, rng.integers(20, 90, 4000), 1)
+    solution, bound = lp_packing.solve(n, 100)
+    cover, value = np.zeros(101), 0.0
+    for p, x in solution:
+        assert sum(i * k for i, k in p.items()) <= 100
+        value += x
+        for i, k in p.items():
+            cover[i] += k * x
+    assert (cover >= n - 1e-6).all() and bound <= value <= 1.15 * bound
+
+
+def test_patterns_come_from_the_weights_at_every_size():
+    import pyarrow.parquet as pq
+
+    for sf in ("sf0.001", "sf0.01"):
+        lengths = Counter()
+        for t in pq.read_table(f"/root/testdata/{sf}/documents.parquet")["text"].to_pylist():
+            lengths.update(k for _, k in cuts(len(encoder(default_path()).document(t)), 1024))
+        n = np.zeros(1025, np.int64)
+        for i, k in lengths.items():
+            n[i] = k
+        n[1024] = 0
+        pieces = n.sum()
+        solution, bound = lp_packing.solve(n, 1024)
+        assert lp_packing.rounded(n, solution, bound, 1024) and n.sum() < 0.5 * pieces  # the filler gets less than half
+
+
 def test_knapsack_like_brute_force():
     value = np.array([0, 1.0, 2.2, 0, 4.1, 0, 0, 7.5])
     got = lp_packing.knapsack(value, 16)
