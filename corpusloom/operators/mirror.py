@@ -119,3 +119,32 @@ def deferred(name: Column, media_type: Column, reason: Column) -> Column:
 def readable(mirrors: DataFrame, mirror_format: str = "format") -> DataFrame:
     """The mirrors that operations on text and transcripts may read: all but those of slides."""
     return mirrors.where(~F.coalesce(F.col(mirror_format) == SLIDES, F.lit(False)))
+
+
+def semantic(sections: DataFrame, key: str, method: str) -> DataFrame:
+    """key, body, flags, steps of the mirrors that groomed sections (ordinal, heading, text, groomed, reason) make.
+
+    Headings and their order stay; a section with a reason keeps its text and is flagged by its heading; a step with the
+    method is added to those before (processing, of the first section) if any section was groomed.
+    """
+    shown = F.when(F.col("reason").isNull(), F.coalesce("groomed", "text")).otherwise(F.col("text"))
+    one = F.struct("ordinal", F.concat(F.lit("## "), "heading", F.lit("\n\n"), shown).alias("x"))
+    flag = F.when(F.col("reason").isNotNull(), F.concat(F.lit("structure-fallback:"), F.trim("heading")))
+    by = sections.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("s"), F.array_sort(F.collect_set(flag)).alias("flags"), F.bool_or(F.col("groomed").isNotNull() & F.col("reason").isNull()).alias("used"), F.max("processing").alias("before"))
+    step = F.struct((F.size("before") + 1).alias("seq"), F.lit(method).alias("method"))
+    return by.select(key, F.array_join(F.transform("s", lambda x: x["x"]), "\n\n").alias("body"), "flags", F.when(F.col("used"), F.concat("before", F.array(step))).otherwise(F.col("before")).alias("steps"))
+
+
+def summary(outcomes: DataFrame, key: str, outcome: str) -> DataFrame:
+    """key, json, exit_code of a run: how many conversions ended how, as one line, and the gravest code."""
+    n = lambda x: F.count_if(F.col(outcome) == x).alias(x)
+    names = ("processable", "blocked", "deferred", "failed")
+    by = outcomes.groupBy(key).agg(*map(n, names))
+    code = F.when(F.col("failed") > 0, 5).when(F.col("blocked") > 0, 3).when(F.col("deferred") > 0, 4).otherwise(0)
+    return by.select(key, F.to_json(F.struct(*names)).alias("json"), code.alias("exit_code"))
+
+
+def inspection(json: Column) -> Column:
+    """What a recognition run says of a document, by its schema; null where the text isn't such JSON."""
+    schema = "page_count int, is_encrypted boolean, has_text_layer boolean, pages array<struct<number:int,method:string,raster_coverage:double,files:struct<native:string,text:string>>>"
+    return F.when(F.try_parse_json(json).isNotNull(), F.from_json(json, schema))

@@ -9,8 +9,10 @@ from corpusloom.functions import text as T
 from corpusloom.operators import markdown as D
 from corpusloom.operators import mirror as M
 from corpusloom.operators import packages as P
+from corpusloom.operators import profile as C
 from corpusloom.operators import records as R
 from corpusloom.operators import structure as S
+from corpusloom.operators import transcript as X
 from corpusloom.plans.mirror_queries import _PAGES, _pages
 
 read = lambda spark, d, t: spark.read.parquet(f"{d}/{t}.parquet")
@@ -192,6 +194,67 @@ def snk06_index_orders(spark, d):
     return R.index_page(o, "day", "title", "href")
 
 
+def pol01_endpoints_supplier(spark, d):
+    """Suppliers as endpoints with settings that don't fit."""
+    k = F.col("s_suppkey")
+    kind = F.when(k % 7 == 0, "magic").when(k % 5 == 0, "command").otherwise("openai-compatible")
+    settings = F.map_concat(F.create_map(F.lit("kind"), kind), F.when(k % 11 == 0, F.create_map(F.lit("egress"), F.lit("inferred"))).otherwise(F.create_map(F.lit("egress"), F.lit("local"))), F.when(k % 10 == 0, F.create_map(F.lit("command"), F.lit("run"))).otherwise(F.create_map(F.lit("timeout_seconds"), F.lit("9"))), F.when(k % 13 == 0, F.create_map(F.lit("token"), F.lit("x"))).when(k % 17 == 0, F.create_map(F.lit("colour"), F.lit("x"))).otherwise(F.create_map(F.lit("base_url"), F.lit("x"))))
+    return read(spark, d, "supplier").select("s_suppkey", C.endpoint_problem(settings).alias("problem"))
+
+
+def pol01_stages_customer(spark, d):
+    """Customers as stages that name suppliers as endpoints."""
+    c = read(spark, d, "customer")
+    k = F.col("c_custkey")
+    name = F.element_at(F.array(*map(F.lit, ("ocr", "structure", "image_description", "transcription", "cleanup"))), (k % 5 + 1).cast("int"))
+    end = F.when(k % 3 == 0, F.create_map(F.lit("endpoint"), F.concat(F.lit("e"), (k % 150).cast("string")))).otherwise(F.create_map(F.lit("model"), F.lit("m")))
+    more = F.when(k % 7 == 0, F.create_map(F.lit("second_pass"), F.lit("always"))).when(k % 8 == 0, F.create_map(F.lit("native_pass"), F.lit("none"))).otherwise(F.create_map(F.lit("applies_to"), F.lit("x")))
+    applies = F.when(k % 4 == 0, F.array(F.lit("image"), F.lit("audio"))).otherwise(F.array().cast("array<string>"))
+    ends = read(spark, d, "supplier").where("s_suppkey <= 100").select(F.concat(F.lit("e"), F.col("s_suppkey").cast("string")).alias("endpoint"))
+    return C.stage_problems(c.select(k.alias("id"), name.alias("name"), F.map_concat(end, more).alias("settings"), applies.alias("applies")), ends)
+
+
+def pol03_reports_orders(spark, d):
+    """Orders as files of three kinds under a plan of four stages."""
+    o = read(spark, d, "orders")
+    kind = F.element_at(F.array(*map(F.lit, ("audio/mpeg", "application/pdf", "text/plain"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    plans = spark.createDataFrame([("audio/mpeg", "transcription", True, "cloud"), ("audio/mpeg", "refinement", True, "local"), ("audio/mpeg", "cleanup", False, "cloud"), ("application/pdf", "ocr", True, "local"), ("application/pdf", "structure", True, "cloud")], "media_type string, stage string, runs boolean, egress string")
+    rates = spark.createDataFrame([("transcription", 0.4), ("structure", None)], "stage string, usd_per_hour double")
+    return C.reports(o.select(F.col("o_orderkey").alias("file"), kind.alias("media_type"), (F.col("o_custkey") % 90).cast("double").alias("minutes")), plans, rates)
+
+
+def pol08_semantic_documents(spark, d):
+    """Pages groomed by joining their lines; on every third page a word is lost, so its text stays."""
+    p = _pages(spark, d)
+    groomed = F.when(F.col("number") % 3 == 0, F.concat(F.lit("lost "), F.replace("text", F.lit("\n"), F.lit(" ")))).otherwise(F.replace("text", F.lit("\n"), F.lit(" ")))
+    g = S.gated(F.col("text"), groomed)
+    s = p.select("doc_id", F.col("number").alias("ordinal"), F.concat(F.lit("Page "), F.col("number").cast("string")).alias("heading"), "text", g["text"].alias("groomed"), g["reason"].alias("reason"), F.array(F.struct(F.lit(1).alias("seq"), F.lit("text").alias("method"))).alias("processing"))
+    m = M.semantic(s, "doc_id", "structure:annotate:m")
+    return m.select("doc_id", F.sha2("body", 256).alias("digest"), F.array_join("flags", ",").alias("flags"), F.array_join(F.transform("steps", lambda x: F.concat(x["seq"].cast("string"), F.lit(":"), x["method"])), ",").alias("steps"))
+
+
+def agg22_refinements_conversations(spark, d):
+    """Turns that paragraphs were proposed for, and proposals to move words, taken and refused."""
+    c = read(spark, d, "conversations")
+    n = X.neighbours(c.withColumn("n_words", T.count_words(F.col("text"))), ["conv_id"], "turn", "role")
+    refused = X.boundary_refused(F.col("turn") + 4, F.col("n_words"), F.col("role"), F.col("previous"))
+    return n.groupBy("conv_id").agg(F.count_if(T.is_long(F.col("text"))).alias("paragraphed_turns"), F.count_if(refused.isNull()).alias("proposals"), F.count_if(refused.isNotNull()).alias("refused"))
+
+
+def snk10_summary_documents(spark, d):
+    x = read(spark, d, "documents")
+    return M.summary(x.select("source", F.when(F.col("doc_id") % 97 == 0, "failed").when(F.col("n_chars") % 5 == 0, "deferred").when(F.col("n_chars") % 41 == 0, "blocked").otherwise("processable").alias("outcome")), "source", "outcome")
+
+
+def src16_inspections_documents(spark, d):
+    """What a recognition run says of each document, as JSON, read with a schema: pages, candidates and covered ones."""
+    p = _pages(spark, d)
+    one = F.to_json(F.struct(F.col("number"), (F.length("text") % 100 / 100.0).alias("raster_coverage"), F.struct(F.concat(F.lit("p"), F.col("number").cast("string"), F.lit(".txt")).alias("native")).alias("files")))
+    j = p.groupBy("doc_id").agg(F.concat(F.lit('{"page_count": '), F.count(F.lit(1)).cast("string"), F.lit(', "pages": ['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", one.alias("x")))), lambda s: s["x"]), ","), F.lit("]}")).alias("json"))
+    found = M.inspection(F.when(F.col("doc_id") % 23 == 0, F.substring("json", 1, 9)).otherwise(F.col("json")))
+    return j.select("doc_id", found["page_count"].alias("page_count"), F.array_join(F.transform(F.filter(found["pages"], lambda x: x["raster_coverage"] >= 0.5), lambda x: x["files"]["native"]), ",").alias("covered"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] != "_" and callable(f) and getattr(f, "__module__", "") == __name__ and name != "read"}
 
 _TITLE = "'Doc ' || doc_id || ' ' || upper(lang[1]) || lang[2:]"
@@ -264,4 +327,27 @@ ORACLES = {
         CASE WHEN doc_id % 31 = 0 THEN 'unsafe-path' END, CASE WHEN doc_id % 29 = 0 AND doc_id % 23 <> 0 THEN 'size-or-digest' END, CASE WHEN doc_id % 23 = 0 THEN 'unlisted' END, CASE WHEN doc_id % 23 = 0 THEN 'missing-artifact' END) AS problems FROM y)
       SELECT * FROM z WHERE problems <> ''""",
     "snk06_index_orders": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n, '<h2>' || strftime(o_orderdate, '%Y-%m-%d') || '</h2><ul>' || string_agg('<li><a href="o/' || o_orderkey || '.html">Order ' || lpad(o_orderkey::VARCHAR, 9, '0') || '</a></li>', '' ORDER BY lpad(o_orderkey::VARCHAR, 9, '0')) || '</ul>' AS html FROM orders GROUP BY 1""",
+    "pol01_endpoints_supplier": """SELECT s_suppkey, CASE WHEN s_suppkey % 13 = 0 THEN 'secret:token' WHEN s_suppkey % 17 = 0 THEN 'unknown-key:colour' WHEN s_suppkey % 7 = 0 THEN 'kind' WHEN s_suppkey % 11 = 0 THEN 'egress' WHEN s_suppkey % 5 = 0 AND s_suppkey % 10 <> 0 THEN 'command' END AS problem FROM supplier""",
+    "pol01_stages_customer": """WITH x AS (SELECT c_custkey AS id, c_custkey % 5 AS s, c_custkey % 3 = 0 AS has, c_custkey % 4 = 0 AS applies, CASE WHEN c_custkey % 7 = 0 THEN 'second_pass' WHEN c_custkey % 8 = 0 THEN 'native_pass' ELSE 'applies_to' END AS more, c_custkey % 150 AS e FROM customer),
+      y AS (SELECT *, e BETWEEN 1 AND 100 AND e IN (SELECT s_suppkey FROM supplier) AS declared FROM x),
+      z AS (SELECT id, CASE WHEN s = 4 THEN 'unknown-stage' WHEN (more = 'second_pass' AND s <> 3) OR (more = 'native_pass' AND s <> 1) THEN 'unknown-key:' || more WHEN applies AND s = 0 THEN 'cannot-act-on:audio' WHEN applies AND s = 1 THEN 'cannot-act-on:audio,image' WHEN applies AND s = 2 THEN 'cannot-act-on:audio' WHEN applies AND s = 3 THEN 'cannot-act-on:image'
+        WHEN more = 'second_pass' THEN 'choice:second_pass' WHEN has AND NOT declared THEN 'undeclared:e' || e WHEN NOT has AND s <> 0 THEN 'needs-endpoint' END AS problem FROM y)
+      SELECT * FROM z WHERE problem IS NOT NULL""",
+    "pol03_reports_orders": """SELECT o_orderkey AS file, ['refinement,transcription', 'ocr,structure', ''][o_orderkey % 3 + 1] AS runs, ['transcription', 'structure', ''][o_orderkey % 3 + 1] AS sends, CASE o_orderkey % 3 WHEN 0 THEN round((o_custkey % 90)::DOUBLE * 0.4::DOUBLE / 60, 4) WHEN 2 THEN 0.0 END AS usd FROM orders""",
+    "pol08_semantic_documents": rf"""{_PAGES}, s AS (SELECT doc_id, number, text, CASE WHEN trim(text) <> '' AND number % 3 = 0 THEN 'structure-fallback:Page ' || number END AS flag, replace(text, chr(10), ' ') AS one FROM p),
+      w AS (SELECT *, regexp_replace(text, '(?m)^(?:#{{1,6}} |- |> )', '', 'g') AS a, regexp_replace(one, '(?m)^(?:#{{1,6}} |- |> )', '', 'g') AS b FROM s),
+      g AS (SELECT doc_id, number, CASE WHEN trim(text) = '' THEN NULL WHEN number % 3 = 0 OR trim(regexp_replace(a, '[ 
+]+', ' ', 'g')) <> trim(regexp_replace(b, '[ 
+]+', ' ', 'g')) THEN 'structure-fallback:Page ' || number END AS flag, text, one FROM w)
+      SELECT doc_id, sha256(string_agg('## Page ' || number || chr(10) || chr(10) || CASE WHEN flag IS NOT NULL OR trim(text) = '' THEN text ELSE one END, chr(10) || chr(10) ORDER BY number)) AS digest, coalesce(string_agg(flag, ',' ORDER BY flag), '') AS flags,
+        CASE WHEN bool_or(flag IS NULL) THEN '1:text,2:structure:annotate:m' ELSE '1:text' END AS steps FROM g GROUP BY 1""",
+    "agg22_refinements_conversations": r"""WITH tok AS (SELECT conv_id, turn, unnest(k) AS x FROM (SELECT conv_id, turn, regexp_extract_all(text, '\{(?:\\.|[^{}\\])*\}|\S+') AS k FROM conversations)),
+      s AS (SELECT conv_id, turn, arg_max(NOT e, i) AS open, sum(CASE WHEN e THEN 1 ELSE 0 END) AS ends FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn) AS i, NOT starts_with(x, '{') AND regexp_matches(x, '[.?!]["”’'')\]]*$') AS e FROM tok) GROUP BY 1, 2),
+      c AS (SELECT c.conv_id, c.turn, role, len(list_filter(regexp_split_to_array(text, '[ \t\n]+'), lambda w: w <> '')) AS n_words, ends + CASE WHEN open THEN 1 ELSE 0 END AS n_sent, lag(role) OVER (PARTITION BY c.conv_id ORDER BY c.turn) AS previous FROM conversations c LEFT JOIN s ON s.conv_id = c.conv_id AND s.turn = c.turn),
+      r AS (SELECT *, turn + 4 > least(12, n_words - 1) OR previous IS NULL OR previous = role AS refused FROM c)
+      SELECT conv_id, count(*) FILTER (n_words >= 60 AND n_sent >= 3) AS paragraphed_turns, count(*) FILTER (NOT refused) AS proposals, count(*) FILTER (refused) AS refused FROM r GROUP BY 1""",
+    "snk10_summary_documents": """WITH x AS (SELECT source, CASE WHEN doc_id % 97 = 0 THEN 'failed' WHEN n_chars % 5 = 0 THEN 'deferred' WHEN n_chars % 41 = 0 THEN 'blocked' ELSE 'processable' END AS o FROM documents),
+      y AS (SELECT source, count(*) FILTER (o = 'processable') AS p, count(*) FILTER (o = 'blocked') AS b, count(*) FILTER (o = 'deferred') AS d, count(*) FILTER (o = 'failed') AS f FROM x GROUP BY 1)
+      SELECT source, '{"processable":' || p || ',"blocked":' || b || ',"deferred":' || d || ',"failed":' || f || '}' AS json, CAST(CASE WHEN f > 0 THEN 5 WHEN b > 0 THEN 3 WHEN d > 0 THEN 4 ELSE 0 END AS INTEGER) AS exit_code FROM y""",
+    "src16_inspections_documents": f"""{_PAGES} SELECT doc_id, CASE WHEN doc_id % 23 <> 0 THEN CAST(count(*) AS INTEGER) END AS page_count, CASE WHEN doc_id % 23 <> 0 THEN coalesce(string_agg('p' || number || '.txt', ',' ORDER BY number) FILTER (length(text) % 100 >= 50), '') END AS covered FROM p GROUP BY 1""",
 }
