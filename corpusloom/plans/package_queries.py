@@ -329,7 +329,7 @@ ORACLES = {
     "snk06_index_orders": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n, '<h2>' || strftime(o_orderdate, '%Y-%m-%d') || '</h2><ul>' || string_agg('<li><a href="o/' || o_orderkey || '.html">Order ' || lpad(o_orderkey::VARCHAR, 9, '0') || '</a></li>', '' ORDER BY lpad(o_orderkey::VARCHAR, 9, '0')) || '</ul>' AS html FROM orders GROUP BY 1""",
     "pol01_endpoints_supplier": """SELECT s_suppkey, CASE WHEN s_suppkey % 13 = 0 THEN 'secret:token' WHEN s_suppkey % 17 = 0 THEN 'unknown-key:colour' WHEN s_suppkey % 7 = 0 THEN 'kind' WHEN s_suppkey % 11 = 0 THEN 'egress' WHEN s_suppkey % 5 = 0 AND s_suppkey % 10 <> 0 THEN 'command' END AS problem FROM supplier""",
     "pol01_stages_customer": """WITH x AS (SELECT c_custkey AS id, c_custkey % 5 AS s, c_custkey % 3 = 0 AS has, c_custkey % 4 = 0 AS applies, CASE WHEN c_custkey % 7 = 0 THEN 'second_pass' WHEN c_custkey % 8 = 0 THEN 'native_pass' ELSE 'applies_to' END AS more, c_custkey % 150 AS e FROM customer),
-      y AS (SELECT *, e BETWEEN 1 AND 100 AND e IN (SELECT s_suppkey FROM supplier) AS declared FROM x),
+      y AS (SELECT *, e <= 100 AND e IN (SELECT s_suppkey FROM supplier) AS declared FROM x),
       z AS (SELECT id, CASE WHEN s = 4 THEN 'unknown-stage' WHEN (more = 'second_pass' AND s <> 3) OR (more = 'native_pass' AND s <> 1) THEN 'unknown-key:' || more WHEN applies AND s = 0 THEN 'cannot-act-on:audio' WHEN applies AND s = 1 THEN 'cannot-act-on:audio,image' WHEN applies AND s = 2 THEN 'cannot-act-on:audio' WHEN applies AND s = 3 THEN 'cannot-act-on:image'
         WHEN more = 'second_pass' THEN 'choice:second_pass' WHEN has AND NOT declared THEN 'undeclared:e' || e WHEN NOT has AND s <> 0 THEN 'needs-endpoint' END AS problem FROM y)
       SELECT * FROM z WHERE problem IS NOT NULL""",
