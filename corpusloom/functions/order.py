@@ -1,7 +1,10 @@
-"""Places in an order over all rows, without a task that holds all of them."""
+"""Places in an order over all rows, without a task that holds all of them, and folds along one."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,3 +39,26 @@ def linked(rows: DataFrame, order: list, name: str) -> DataFrame:
     x = cut(ranked(rows, order, "_place"))
     other = lambda by, as_: x.select((F.col("_place") + by).alias("_p"), F.col(name).alias(as_))
     return x.join(other(1, "previous_"), F.col("_place") == F.col("_p"), "left").drop("_p").join(other(-1, "next_"), F.col("_place") == F.col("_p"), "left").drop("_p", "_place")
+
+
+def folded(rows: DataFrame, key: str, order: str, value: str, start: Callable, step: Callable, name: str, kind: str) -> DataFrame:
+    """key, order, name: what step(state, value) gives besides the next state, for a key's rows in order; start() is the first state.
+
+    For rules in which each row's answer depends on all before, so that a key is one task's work; rows pass through it as
+    a stream, one state is held, and time grows with the rows. Null keys are one key; a null value is passed as None.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, begun = None, None, False
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or k != last:
+                    last, state, begun = k, start(), True
+                state, x = step(state, v)
+                out.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, {"int": pa.int32(), "boolean": pa.bool_()}[kind])], [key, order, name])
+
+    types = dict(rows.dtypes)
+    sorted_ = rows.select(key, order, value).repartition(key).sortWithinPartitions(key, order)
+    return sorted_.mapInArrow(run, f"`{key}` {types[key]}, `{order}` {types[order]}, `{name}` {kind}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.order import folded
+
 #: fixed value: decibels of spread from which a recording counts as uneven
 UNEVEN_DB = 25.0
 #: media classes that a stage may apply to
@@ -42,19 +44,13 @@ def estimates(jobs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def budget(jobs: DataFrame, key: str, order: str, minutes: str, limit: float) -> DataFrame:
-    """key, order, accepted: jobs reserve minutes in order; one that doesn't fit is refused and takes nothing.
-
-    A fold over the jobs of one run, of which it keeps a number and a flag each.
-    """
-    kind = dict(jobs.dtypes)[order]
+    """key, order, accepted: jobs reserve minutes in order; one that doesn't fit is refused and takes nothing, as is one without minutes."""
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["m"] <= limit
-        return F.struct(F.when(fits, acc["used"] + x["m"]).otherwise(acc["used"]).alias("used"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), fits.alias("ok")))).alias("out"))
+    def step(used: float, m: float | None) -> tuple[float, bool]:
+        fits = m is not None and used + m <= limit
+        return (used + m, True) if fits else (used, False)
 
-    start = F.struct(F.lit(0.0).alias("used"), F.array().cast(f"array<struct<o:{kind},ok:boolean>>").alias("out"))
-    rows = jobs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(minutes).cast("double").alias("m")))).alias("a"))
-    return rows.select(key, F.explode(F.aggregate("a", start, step, lambda acc: acc["out"])).alias("r")).select(key, F.col("r.o").alias(order), F.col("r.ok").alias("accepted"))
+    return folded(jobs.withColumn(minutes, F.col(minutes).cast("double")), key, order, minutes, float, step, "accepted", "boolean")
 
 
 def call_costs(calls: DataFrame, keys: list[str]) -> DataFrame:

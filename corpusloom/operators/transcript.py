@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from corpusloom.functions import text as T
+from corpusloom.functions.order import folded
 
 #: fixed values: characters of a window, words that a boundary may move, and the limits of a spelling
 WINDOW_CHARS, BOUNDARY_WORDS, SPELLING_CHARS, SPELLING_WORDS = 24_000, 12, 40, 3
@@ -31,17 +32,15 @@ def heading(start_ms: Column, end_ms: Column, who: Column) -> Column:
 def windows(turns: DataFrame, key: str, order: str, size: str, limit: int = WINDOW_CHARS) -> DataFrame:
     """key, order, window (from 1): turns in order fill a window until the next would pass the limit.
 
-    A turn over the limit has a window of its own. The fold keeps sizes only, a few bytes for each turn of a recording.
+    A turn over the limit has a window of its own; one without a size has none.
     """
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["n"] > 0) & (acc["n"] + x["s"] > limit)
-        w = F.when(new, acc["w"] + 1).otherwise(acc["w"])
-        return F.struct(F.when(new, x["s"]).otherwise(acc["n"] + x["s"]).alias("n"), w.alias("w"), F.concat(acc["out"], F.array(F.struct(x["t"].alias("t"), w.alias("w")))).alias("out"))
-
-    kind = dict(turns.dtypes)[order]
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(1).alias("w"), F.array().cast(f"array<struct<t:{kind},w:int>>").alias("out"))
-    rows = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(size).cast("long").alias("s")))).alias("a"))
-    return rows.select(key, F.explode(F.aggregate("a", start, step, lambda acc: acc["out"])).alias("o")).select(key, F.col("o.t").alias(order), F.col("o.w").alias("window"))
+
+    def step(state: tuple[int, int], s: int | None) -> tuple[tuple[int, int], int]:
+        filled, w = state
+        s = s or 0
+        return ((s, w + 1), w + 1) if filled and filled + s > limit else ((filled + s, w), w)
+
+    return folded(turns, key, order, size, lambda: (0, 1), step, "window", "int")
 
 
 def neighbours(turns: DataFrame, keys: list[str], order: str, who: str) -> DataFrame:
