@@ -93,3 +93,64 @@ def test_sheet_golden(spark):
     cells = spark.createDataFrame([("Ledger", r, c, v) for r, c, v in [(1, 1, "Item"), (1, 2, "Amount"), (2, 1, "Opening, balance"), (2, 2, "1500"), (4, 1, "Line\nnote"), (4, 2, "12.5")]], "sheet string, row int, col int, value string")
     got = {r.row: r.line for r in S.sheet_rows(cells, ["sheet"], 2).collect()}
     assert got == {1: "row,Item,Amount", 2: '2,"Opening, balance",1500', 4: '4,"Line\nnote",12.5'}
+
+
+def test_folds_hold_one_state_and_keep_order(spark):
+    from corpusloom.operators import policy, transcript
+
+    rows = [("a", i, 400 if i % 3 else None) for i in range(4000)] + [(None, 1, 5), (None, 2, 1200), ("b", 1, 2000), ("b", 2, 1)]
+    df = spark.createDataFrame(rows, "k string, t int, n int").repartition(5)
+    got = {(r.k, r.t): r.window for r in transcript.windows(df, "k", "t", "n", 1000).collect()}
+    want = {}
+    for key in ("a", None, "b"):
+        filled, w = 0, 1
+        for _, t, n in sorted((x for x in rows if x[0] == key), key=lambda x: x[1]):
+            n = n or 0
+            if filled and filled + n > 1000:
+                filled, w = 0, w + 1
+            filled += n
+            want[key, t] = w
+    assert got == want
+    jobs = spark.createDataFrame([("r", 1, 30.0), ("r", 2, 80.0), ("r", 3, None), ("r", 4, 70.0), ("q", 1, 101.0)], "run string, o int, m double")
+    assert {(r.run, r.o): r.accepted for r in policy.budget(jobs, "run", "o", "m", 100.0).collect()} == {("r", 1): True, ("r", 2): False, ("r", 3): False, ("r", 4): True, ("q", 1): False}
+    assert policy.budget(jobs.limit(0), "run", "o", "m", 1.0).count() == 0
+
+
+def test_places_with_ties_nulls_and_one_hot_key(spark):
+    from corpusloom.functions import order
+
+    rows = [("hot", i % 7, i) for i in range(500)] + [(None, 1, 900), (None, None, 901), ("x", 3, 902), ("x", 3, 902)]
+    df = spark.createDataFrame(rows, "k string, a int, i int").repartition(6)
+    whole = sorted((r.place, r.k or "", -1 if r.a is None else r.a) for r in order.ranked(df, ["k", "a", "i"]).collect())
+    assert [p for p, _, _ in whole] == list(range(1, 505)) and [x[1:] for x in whole] == sorted(x[1:] for x in whole)
+    got = {}
+    for r in order.ranked_within(df, ["k"], ["a", "i"]).collect():
+        got.setdefault(r.k, []).append((r.place, r.i))
+    assert sorted(p for p, _ in got["hot"]) == list(range(1, 501)) and [i for _, i in sorted(got[None])] == [901, 900] and [p for p, _ in sorted(got["x"])] == [1, 2]
+    links = {r.i: (r.previous_, r.next_) for r in order.linked(spark.createDataFrame([(3,), (1,), (2,)], "i int"), ["i"], "i").collect()}
+    assert links == {1: (None, 2), 2: (1, 3), 3: (2, None)}
+    assert order.ranked(df.limit(0), ["i"]).count() == 0
+
+
+def test_passages_are_found_whole_wherever_they_stand(spark):
+    from corpusloom.operators import ledgers
+
+    texts = [(1, "a b c d e f g h i"), (2, "xa b c d e f g hx"), (3, "b c d e f g"), (4, None), (5, "short one"), (6, ""), (7, "a b c d e f g h i a b c d e f g h i")]
+    passages = [(1, "a b c d e f g h"), (2, "b c d e f g h"), (3, "one"), (4, None), (5, ""), (6, "c d e f g x y z"), (7, "a b c d e f g h")]
+    got = {(r.doc, r.item) for r in ledgers.mentions(spark.createDataFrame(texts, "doc int, t string"), spark.createDataFrame(passages, "item int, p string"), "doc", "t", "item", "p").collect()}
+    assert got == {(d, i) for d, t in texts for i, p in passages if t is not None and p is not None and p in t}
+
+
+def test_rules_on_odd_records(spark):
+    from corpusloom.operators import reviews
+
+    F = __import__("pyspark.sql.functions", fromlist=["functions"])
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(reviews.ledger_problem(F.lit(""), "t")) is None and one(reviews.ledger_problem(F.lit("\n\n"), "t")) is None
+    assert tuple(one(reviews.ledger_problem(F.lit('{"t": "a"}\n{"t": "a"}\n'), "t"))) == (2, "duplicate") and tuple(one(reviews.ledger_problem(F.lit('{"t": "a"}\n[1]\n'), "t"))) == (2, "invalid")
+    assert tuple(one(reviews.ledger_problem(F.lit('{"t": "a"}'), "t"))) == (0, "unterminated")
+    blocks = one(reviews.log_blocks(F.lit("pre\n## 2024-02-30 x\n## 2024-02-28\n\n## 2024-03-01T10:20 - y\nbody\n\n")))
+    assert [(b.header, b.body, str(b.anchor)) for b in blocks] == [("## 2024-02-28", "", "2024-02-28 00:00:00"), ("## 2024-03-01T10:20 - y", "body", "2024-03-01 10:20:00")]
+    assert one(reviews.log_blocks(F.lit("nothing"))) == []
+    assert not one(reviews.strict_json(F.lit(None).cast("string"))) and one(reviews.strict_json(F.lit('{"a": ["NaN"]}'))) and not one(reviews.strict_json(F.lit('{"a": Infinity}')))
+    assert one(reviews.same_boot(F.lit("{ sec = 10, usec = 1 }"), F.lit("{ sec = 15, usec = 2 }"))) and not one(reviews.same_boot(F.lit("{ sec = 10 }"), F.lit("{ sec = 16 }"))) and not one(reviews.same_boot(F.lit(None).cast("string"), F.lit("a")))
