@@ -37,7 +37,7 @@ def without_copies(sample: DataFrame) -> DataFrame:
     """The rows of a ``labelled_sample`` but near copies of others, which would make a chance count as often as they are.
 
     Of the texts that share a least shingle in one of ORDERS the smallest id stays. Texts without words all stay. Three
-    numbers for each row of the sample reach the driver, and the ids that stay go back.
+    numbers for each row of the sample reach the driver, and the ids that go are sent back.
     """
 
     @F.arrow_udf("array<long>")
@@ -47,13 +47,17 @@ def without_copies(sample: DataFrame) -> DataFrame:
             sets = (shingle_set(t.as_py(), memo) for t in batch)
             yield pa.array([(s[:, None] * ORDERS).min(0).view(np.int64).tolist() if len(s) else None for s in sets], pa.list_(pa.int64()))
 
-    rows = sample.select("doc_id", least(F.col("text")).alias("m")).toPandas().sort_values("doc_id")
+    rows = sample.select("doc_id", least(F.col("text")).alias("m")).toArrow().sort_by("doc_id")
     seen: list[set] = [set() for _ in ORDERS]
-    stay = []
-    for doc_id, m in zip(rows["doc_id"].tolist(), rows["m"], strict=True):
-        if m is None or not any(x in s for x, s in zip(m, seen, strict=True)):
-            stay.append((doc_id,))
-        for x, s in zip(m if m is not None else (), seen, strict=False):
+    copies = set()
+    for doc_id, m in zip(rows["doc_id"].to_pylist(), rows["m"].to_pylist(), strict=True):
+        if m and any(x in s for x, s in zip(m, seen, strict=True)):
+            copies.add(doc_id)
+        for x, s in zip(m or (), seen, strict=False):
             s.add(x)
-    ids = sample.sparkSession.createDataFrame(stay, "doc_id long")
-    return settle(sample.join(F.broadcast(ids), "doc_id").select(*sample.columns))
+
+    @F.arrow_udf("boolean")
+    def own(ids: pa.Array) -> pa.Array:
+        return pa.array([i not in copies for i in ids.to_pylist()])
+
+    return settle(sample.where(own(F.col("doc_id"))))

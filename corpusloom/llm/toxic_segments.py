@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import crc_mod, fresh, lower_words, table, tidy
+from corpusloom.llm.common import crc_mod, fresh, lower_words, table, tidy, trim
 from corpusloom.llm.labels import labelled_sample, without_copies
 
 #: stripped from both ends of a word
@@ -130,6 +130,9 @@ class ToxicModel:
         odds = np.log(q / (1 - q)) - math.log(self.share / (1 - self.share))
         return np.where(n > 0, odds * np.minimum(z / SURE, 1) ** POWER, 0.0), z
 
+    def scores(self, less_toxic: int = 0, less: int = 0) -> _Scores:
+        return _Scores(*(x.astype(np.float32) for x in self.log_odds(less_toxic, less)), self.shift)
+
     def standard(self, n: int, best: float) -> float:
         """The Gumbel variable of the best segment of n tokens: log of the inverse of its expected number."""
         return self.rate * best - math.log(self.size * max(n, 1))
@@ -141,15 +144,14 @@ class ToxicModel:
 class _Scores(dict):
     """Word to its score: the log-odds of its surest slot less the shift; forgets all when full."""
 
-    def __init__(self, model: ToxicModel, less_toxic: int = 0, less: int = 0):
+    def __init__(self, odds: np.ndarray, z: np.ndarray, shift: float):
         super().__init__()
-        self.shift = model.shift
-        self.odds, self.z = (x.astype(np.float32) for x in model.log_odds(less_toxic, less)) if len(model.all) else (None, None)
+        self.odds, self.z, self.shift = odds, z, shift
 
     def __missing__(self, word: bytes) -> float:
         if len(self) >= MEMO:
             self.clear()
-        at = slots(word) if self.z is not None else []
+        at = slots(word) if len(self.z) else []
         self[word] = s = (float(self.odds[max(at, key=self.z.__getitem__)]) if at else 0.0) - self.shift
         return s
 
@@ -168,12 +170,12 @@ def toxicity(text: Column, model: ToxicModel) -> Column:
     and empty texts have no segments: x is that of score 0.
     """
 
-    shared = SparkSession.active().sparkContext.broadcast(model)
+    odds = SparkSession.active().sparkContext.broadcast(tuple(x.astype(np.float32) for x in model.log_odds()))
+    law = replace(model, toxic=None, all=None, toxic_tokens=None, tokens=None)  # the counts needn't travel
 
     @F.arrow_udf(RESULT)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
-        scores = _Scores(model)
+        model, scores = law, _Scores(*odds.value, law.shift)
         tail = lambda x: -math.expm1(-math.exp(min(-x, 700)))
         for batch in batches:
             score, xs, ps, passages = [], [], [], []
@@ -242,11 +244,12 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     model = ToxicModel(*(np.zeros(SLOTS, np.float32) for _ in COUNTS), of[True], sum(of.values()), float(n[2][whole][0] / n[3][whole][0]))
     for own, x in zip((model.toxic, model.all, model.toxic_tokens, model.tokens), n, strict=True):
         own[at[~whole]] = x[~whole]
+    del counted, at, n, whole
     context = sample.sparkSession.sparkContext
     first = context.broadcast(model)
 
     def clean_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores, counts = _Scores(first.value, 0, 1), Counter()
+        scores, counts = first.value.scores(0, 1), Counter()
         for batch in batches:
             for text in batch.column(0):
                 found, n = np.unique(np.round(scores.of(lower_words(text.as_py())) / BIN).astype(np.int64), return_counts=True)
@@ -265,10 +268,11 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         mid = (low + high) / 2
         low, high = (mid, high) if (p * np.exp(np.minimum(mid * value, 600))).sum() < 1 else (low, mid)
     model.rate, model.size = low, 1.0
+    first.destroy()
     second = context.broadcast(model)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = [_Scores(second.value, k, 1) for k in (0, 1)]
+        scores = [second.value.scores(k, 1) for k in (0, 1)]
         for batch in batches:
             rows = []
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -277,13 +281,13 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicModel:
                 rows.append((y, second.value.standard(len(found), top)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64())], ["y", "x"])
 
-    found = sample.select("y", "text").mapInArrow(tidy(best), "y int, x double").toPandas()
+    found = sample.select("y", "text").mapInArrow(tidy(best), "y int, x double").toArrow()
     y, x = (found["y"].to_numpy() > 0).astype(float), found["x"].to_numpy()
     # x = rate * best - log(n) so far: the likeliest K is the inverse mean of exp(-x)
     model.size = float(1 / max(np.exp(-x[y == 0]).mean(), 1e-9))
     model.slope, model.offset = _best_fit(np.minimum(x - math.log(model.size), TOP), y)
-    first.destroy()
     second.destroy()
+    trim()
     return model
 
 
