@@ -215,6 +215,31 @@ def probabilities(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
     return raked.withColumn("probability", F.least(F.lit(1.0), ratio * low))
 
 
+def calibrated(cells: DataFrame, budget: float = BUDGET, local: int = LOCAL_CELLS) -> tuple[DataFrame, float]:
+    """cells (source, lang, topic, tokens) with the probability that meets the default targets, and the error that raking left.
+
+    The same steps in the driver's memory where the table is small, without a job for each.
+    """
+    if cells.count() > local:
+        raked, error = rake(cells, {d: targets(cells, d) for d in DIMS}, local=local)
+        return probabilities(raked, budget), error
+    here = cells.toArrow()
+    if not here.num_rows:
+        return cells.withColumn("probability", F.lit(0.0)), 0.0
+    tokens, goals = here["tokens"].to_numpy().astype(float), {}
+    for d in DIMS:
+        coded = here[d].combine_chunks().dictionary_encode(null_encoding="encode")
+        share = np.bincount(coded.indices.to_numpy(zero_copy_only=False), tokens) ** FLATTEN
+        goals[d] = dict(zip(coded.dictionary.to_pylist(), (share / share.sum()).tolist(), strict=True))
+    w, error = _rake_here(here, goals, TOLERANCE, ROUNDS)
+    ratio = w / tokens
+    low, high = budget * tokens.sum() / w.sum(), 1 / max(ratio[ratio > 0].min(), 1e-300)
+    for _ in range(200):
+        mid = (low * high) ** 0.5
+        low, high = (mid, high) if (tokens * np.minimum(1, ratio * mid)).sum() <= budget * tokens.sum() else (low, mid)
+    return cells.sparkSession.createDataFrame(here.append_column("probability", pa.array(np.minimum(1.0, ratio * low)))), error
+
+
 # -- documents ----------------------------------------------------------------------------------------------------
 
 
@@ -270,8 +295,8 @@ def fit_mix(docs: DataFrame, budget: float = BUDGET) -> Mix:
     mix.rows = settle(profiles.select("doc_id", "draw", "source", "lang", mix.topic(F.col("profile")).alias("topic"), "n_tokens"))
     forget(profiles)
     cells = settle(mix.rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
-    raked, mix.error = rake(cells, {d: targets(cells, d) for d in DIMS})
-    mix.cells = settle(probabilities(raked, budget).select(*(F.col(d).alias(f"c_{d}") for d in DIMS), "probability"))
+    known, mix.error = calibrated(cells, budget)
+    mix.cells = settle(known.select(*(F.col(d).alias(f"c_{d}") for d in DIMS), "probability"))
     return mix
 
 

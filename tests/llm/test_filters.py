@@ -158,11 +158,11 @@ def test_every_token_has_log_odds_of_its_own_or_of_a_stem_s(spark):
         return z, (math.log(q / (1 - q)) - math.log(share / (1 - share))) * min(z / toxic_segments.SURE, 1) ** toxic_segments.POWER
 
     for dt, dn in ((0, 0), (0, 1), (1, 1)):
-        scores = toxic_segments._Scores(model, dt, dn)
+        scores = model.scores(dt, dn)
         for w in ("badword", "badwords", "badge", "fine", "day", "unseen", "good"):
             z, want = max((odds(f, dt, dn) for f in kinds(w)), key=lambda x: x[0])
             assert math.isclose(scores[w.encode()] + model.shift, want, abs_tol=1e-5), (w, dt, dn)
-    whole = toxic_segments._Scores(model)
+    whole = model.scores()
     assert whole[b"badword"] > 0 > whole[b"good"]
 
 
@@ -208,6 +208,19 @@ def test_raking_meets_marginals_like_plain_numpy(spark):
         assert np.allclose([got[(a, b, c)] for a, b, c, _ in cells], want.ravel(), rtol=1e-3 if not local else 1e-5)
 
 
+def test_probabilities_are_the_same_in_memory_and_in_tables(spark):
+    rng = np.random.default_rng(6)
+    cells = [(f"s{a}", f"l{b}" if b else None, c, int(rng.integers(1, 1000))) for a, b, c in itertools.product(range(3), range(3), range(3)) if rng.random() < 0.8]
+    df = spark.createDataFrame(cells, "source string, lang string, topic int, tokens long")
+    found = []
+    for local in (1 << 17, 0):
+        known, error = mixing.calibrated(df, 0.4, local)
+        found.append({r[:3]: r.probability for r in known.select("source", "lang", "topic", "probability").collect()})
+        assert error < 1e-3 and math.isclose(sum(found[-1][c[:3]] * c[3] for c in cells), 0.4 * sum(c[3] for c in cells), rel_tol=1e-3)
+    assert all(math.isclose(found[0][c[:3]], found[1][c[:3]], rel_tol=5e-3) for c in cells)
+    assert mixing.calibrated(df.limit(0))[0].count() == 0
+
+
 def test_raking_says_what_it_could_not_meet(spark):
     df = spark.createDataFrame([("a", "x", 0, 10), ("b", "y", 0, 10)], "source string, lang string, topic int, tokens long")
     goal = lambda d, **v: spark.createDataFrame([(k, x) for k, x in v.items()], f"goal_{d} string, goal double")
