@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,7 @@ def settle(df: DataFrame) -> DataFrame:
         df.select("*").write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+        trim()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,7 +75,8 @@ def forget(df: DataFrame) -> None:
 
 
 def trim() -> None:
-    """Give what a worker has freed back to the system, where the C library can: the next task's worker is the same process."""
+    """Give what this process has freed back to the system: a worker serves the next task too, and the driver all steps."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):

@@ -185,7 +185,7 @@ def fit(stats: dict[str, np.ndarray], y: np.ndarray) -> RuleModel:
 def train(docs: DataFrame, labels: DataFrame) -> RuleModel:
     """Fits on a sample (labels.SAMPLE_ROWS) of labelled rows whose crc32(doc_id as text) mod 4 is not 2."""
     sample = labelled_sample(docs, labels, "quality", crc_mod(F.col("doc_id"), 4) != 2)
-    got = sample.select("doc_id", "y", text_stats(F.col("text")).alias("s")).select("doc_id", "y", *(F.col("s")[f].alias(f) for f in FIELDS)).toPandas().sort_values("doc_id")
+    got = sample.select("doc_id", "y", text_stats(F.col("text")).alias("s")).select("doc_id", "y", *(F.col("s")[f].alias(f) for f in FIELDS)).toArrow().sort_by("doc_id")
     return fit({f: got[f].to_numpy() for f in FIELDS}, (got["y"].to_numpy() > 0).astype(float))
 
 
