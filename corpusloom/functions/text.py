@@ -47,9 +47,20 @@ def title_from_name(name: Column) -> Column:
     return F.array_join(F.filter(pairs, lambda c: c.isNotNull()), "")
 
 
+def _holds(text: Column, *marks: str) -> Column:
+    out = text.contains(marks[0])
+    for m in marks[1:]:
+        out |= text.contains(m)
+    return out
+
+
 def _plain(text: Column, inline: bool) -> Column:
-    plain = F.regexp_replace(text, SYNTAX, "")
-    return F.regexp_replace(F.regexp_replace(plain, LINK_TARGET, "]"), INLINE, "") if inline else plain
+    """Most texts hold none of the marks, which plain searches tell sooner than the expressions."""
+    plain = F.when(_holds(text, "# ", "- ", "> "), F.regexp_replace(text, SYNTAX, "")).otherwise(text)
+    if not inline:
+        return plain
+    bare = F.when(plain.contains("]("), F.regexp_replace(plain, LINK_TARGET, "]")).otherwise(plain)
+    return F.when(_holds(bare, *"*`|\\[]•▪◦‣"), F.regexp_replace(bare, INLINE, "")).otherwise(bare)
 
 
 def words(text: Column, inline: bool = False) -> Column:
@@ -59,10 +70,12 @@ def words(text: Column, inline: bool = False) -> Column:
 
 
 def count_words(text: Column, inline: bool = False) -> Column:
-    """How many ``words`` a text has, without making them."""
+    """How many ``words`` a text has, without making them: each is put as one letter between what separates them."""
     plain = _plain(text, inline)
-    n = F.regexp_count(plain, F.lit(f"[^{SPACE}]+"))
-    return n - F.regexp_count(plain, F.lit(f"(?<![^{SPACE}])[-:]++(?![^{SPACE}])")) if inline else n
+    if inline:  # words of dashes and colons alone don't count
+        plain = F.when(_holds(plain, "-", ":"), F.regexp_replace(plain, f"(?<![^{SPACE}])[-:]++(?![^{SPACE}])", "")).otherwise(plain)
+    letters = F.regexp_replace(plain, f"[^{SPACE}]++", "w")
+    return F.length(letters) - F.length(F.replace(letters, F.lit("w"), F.lit("")))
 
 
 def split_words(text: Column) -> Column:
