@@ -9,10 +9,12 @@ from __future__ import annotations
 import email
 import email.policy
 import io
+import posixpath
 import re
 import struct
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
@@ -104,51 +106,172 @@ def _place(ref: str) -> tuple[int, int]:
     return int(row), col
 
 
-def xlsx_cells(content: bytes, limits: tuple[int, int] = LIMITS) -> list[tuple[str, int, int, str]]:
-    """(sheet, row, col, value) of all cells with a cached value, in the order of sheets."""
-    box = _open(content, limits)
-    shared = []
-    if "xl/sharedStrings.xml" in box.namelist():
-        shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in _xml(box, "xl/sharedStrings.xml").iter(f"{_S}si")]
+#: fixed values: number formats that are dates, times or both
+_DATES, _TIMES = frozenset(range(14, 18)) | {22}, frozenset({18, 19, 20, 21, 45, 46, 47})
+
+
+def _date_styles(box: zipfile.ZipFile) -> dict[int, bool]:
+    """Cell styles that show dates or times, and whether they show a date."""
+    if "xl/styles.xml" not in box.namelist():
+        return {}
+    root, out = _xml(box, "xl/styles.xml"), {}
+    custom = {int(x.get("numFmtId", -1)): re.sub(r'"[^"]*"|\\.|\[(?![hms]+\])[^\]]*\]', "", x.get("formatCode", "")).lower() for x in root.iter(f"{_S}numFmt")}
+    for style, x in enumerate(root.findall(f"{_S}cellXfs/{_S}xf")):
+        k = int(x.get("numFmtId", 0))
+        if k in _DATES or re.search("[yd]", custom.get(k, "")):
+            out[style] = True
+        elif k in _TIMES or re.search("[hs]", custom.get(k, "")):
+            out[style] = False
+    return out
+
+
+def _moment(serial: float, dated: bool, from_1904: bool) -> str:
+    """A day's number with its fraction as ISO text; without a date, below a day, the time alone."""
+    at = (datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30)) + timedelta(days=serial + (not from_1904 and 0 < serial < 60))
+    at = (at + timedelta(microseconds=500)).replace(microsecond=(at + timedelta(microseconds=500)).microsecond // 1000 * 1000)
+    return (at if dated or serial >= 1 else at.time()).isoformat()
+
+
+def _sheet_parts(box: zipfile.ZipFile) -> Iterator[tuple[str, str]]:
+    """Name and part of each sheet, in the workbook's order; sheets without a relationship are left out."""
     targets = {r.get("Id"): r.get("Target") for r in _xml(box, "xl/_rels/workbook.xml.rels")}
-    out = []
     for sheet in _xml(box, "xl/workbook.xml").iter(f"{_S}sheet"):
-        part = targets.get(sheet.get(f"{_R}id"))
-        if not part:
-            continue
-        for c in _xml(box, part.lstrip("/") if part.startswith("/") else f"xl/{part}").iter(f"{_S}c"):
-            kind, v = c.get("t"), c.find(f"{_S}v")
-            if kind == "inlineStr":
-                value = "".join(t.text or "" for t in c.iter(f"{_S}t"))
-            elif v is None or v.text is None:
-                continue
-            elif kind == "s":
-                value = shared[int(v.text)]
-            elif kind == "b":
-                value = "TRUE" if v.text == "1" else "FALSE"
-            elif kind in ("str", "e"):
-                value = v.text
-            else:
-                number = float(v.text)
-                value = str(int(number)) if number.is_integer() else repr(number)
-            out.append((sheet.get("name"), *_place(c.get("r")), value))
-    return out
+        if part := targets.get(sheet.get(f"{_R}id")):
+            yield sheet.get("name"), part.lstrip("/") if part.startswith("/") else f"xl/{part}"
 
 
-def pptx_slides(content: bytes, limits: tuple[int, int] = LIMITS) -> list[tuple[int, str]]:
-    """(number, text) of the slides in the deck's order; each paragraph is a line."""
+def xlsx_cells(content: bytes, limits: tuple[int, int] = LIMITS) -> list[tuple[str, int, int, str]]:
+    """(sheet, row, col, value) of all cells with a cached value, in the order of sheets; dates as ISO text."""
     box = _open(content, limits)
-    targets = {r.get("Id"): r.get("Target") for r in _xml(box, "ppt/_rels/presentation.xml.rels")}
-    ids = [x.get(f"{_R}id") for x in _xml(box, "ppt/presentation.xml").iter() if x.tag.endswith("}sldId")]
-    out = []
-    for n, rid in enumerate(ids, 1):
-        if rid not in targets:
+    shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in _xml(box, "xl/sharedStrings.xml").iter(f"{_S}si")] if "xl/sharedStrings.xml" in box.namelist() else []
+    dates = _date_styles(box)
+    from_1904 = any(x.get("date1904") in ("1", "true") for x in _xml(box, "xl/workbook.xml").iter(f"{_S}workbookPr"))
+
+    def number(text: str, style: int) -> str:
+        x = float(text)
+        if style in dates and x >= 0:
+            return _moment(x, dates[style], from_1904)
+        return str(int(x)) if x.is_integer() else repr(x)
+
+    def value(c: ET.Element) -> str | None:
+        kind, v = c.get("t"), c.find(f"{_S}v")
+        if kind == "inlineStr":
+            return "".join(t.text or "" for t in c.iter(f"{_S}t"))
+        if v is None or v.text is None:
+            return None
+        read = {"s": lambda t: shared[int(t)], "b": lambda t: "TRUE" if t == "1" else "FALSE", "str": str, "e": str, "d": str}
+        return read[kind](v.text) if kind in read else number(v.text, int(c.get("s", 0)))
+
+    cells = ((name, *_place(c.get("r")), value(c)) for name, part in _sheet_parts(box) for c in _xml(box, part).iter(f"{_S}c"))
+    return [x for x in cells if x[3] is not None]
+
+
+def xlsx_merges(content: bytes, limits: tuple[int, int] = LIMITS) -> list[tuple[str, int, int, int, int]]:
+    """(sheet, r1, c1, r2, c2) of the merged ranges."""
+    box, out = _open(content, limits), []
+    for name, part in _sheet_parts(box):
+        for x in _xml(box, part).iter(f"{_S}mergeCell"):
+            first, _, last = x.get("ref").partition(":")
+            out.append((name, *_place(first), *_place(last or first)))
+    return out
+
+
+#: fixed values: what a slide's shapes are besides text: elements of the drawing, and their names among its features
+_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
+_FEATURES = {f"{_P}pic": "picture", f"{_P}cxnSp": "connector", f"{_P}grpSp": "group"}
+_NOTES = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/notesSlide"
+
+
+def _paragraphs(shape: ET.Element) -> list[str]:
+    marks = {f"{_A}t": lambda x: x.text or "", f"{_A}br": lambda _: "\n", f"{_A}tab": lambda _: "\t"}
+    return [text for p in shape.iter(f"{_A}p") if (text := "".join(marks[x.tag](x) for x in p.iter() if x.tag in marks).strip())]
+
+
+def _shapes(tree: ET.Element, features: set[str]) -> Iterator[str]:
+    """Text of a drawing's shapes in its order, groups from inside; tables row by row."""
+    for x in tree:
+        if x.tag in _FEATURES:
+            features.add(_FEATURES[x.tag])
+        if x.tag == f"{_P}grpSp":
+            yield from _shapes(x, features)
+        elif x.tag == f"{_P}sp":
+            yield from _paragraphs(x)
+        elif x.tag == f"{_P}graphicFrame":
+            rows = [[" ".join(_paragraphs(c)) for c in r.iter(f"{_A}tc")] for r in x.iter(f"{_A}tr")]
+            features.add("table" if rows else "chart" if any(y.tag.endswith("}chart") for y in x.iter()) else "object")
+            yield from ("\t".join(r) for r in rows if any(r))
+
+
+def _resolve(owner: str, target: str) -> str:
+    return target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join(posixpath.dirname(owner), target))
+
+
+def _relations(box: zipfile.ZipFile, owner: str) -> dict[str, tuple[str, str]]:
+    """Kind and part of the internal relationships of a part, by id; the part must be there."""
+    folder, name = posixpath.split(owner)
+    rels = f"{folder}/_rels/{name}.rels"
+    out = {}
+    for r in _xml(box, rels) if rels in box.namelist() else ():
+        if r.get("TargetMode") != "External":
+            part = _resolve(owner, r.get("Target", ""))
+            if part not in box.namelist():
+                raise Refused("missing-internal-target")
+            if r.get("Id") in out:
+                raise Refused("ambiguous-relationship")
+            out[r.get("Id")] = (r.get("Type", ""), part)
+    return out
+
+
+def pptx_deck(content: bytes, limits: tuple[int, int] = LIMITS) -> list[dict]:
+    """The slides in the deck's order: number, slide_id, part, hidden, text, notes (null without) and sorted features."""
+    box, main = _open(content, limits), "ppt/presentation.xml"
+    relations, out, ids = _relations(box, main), [], set()
+    for number, x in enumerate(_xml(box, main).iter(f"{_P}sldId"), 1):
+        own, rid = int(x.get("id", 0)), x.get(f"{_R}id")
+        if rid not in relations:
             raise Refused("dangling-slide")
-        lines = ("".join(t.text or "" for t in p.iter(f"{_A}t")) for p in _xml(box, f"ppt/{targets[rid]}").iter(f"{_A}p"))
-        out.append((n, "\n".join(x for x in lines if x)))
+        if own in ids or not 256 <= own < 1 << 31:
+            raise Refused("invalid-slide-id")
+        ids.add(own)
+        part, features = relations[rid][1], set()
+        slide = _xml(box, part)
+        text = [line for tree in slide.iter(f"{_P}spTree") for line in _shapes(tree, features)]
+        notes = [line for kind, p in _relations(box, part).values() if kind == _NOTES for tree in _xml(box, p).iter(f"{_P}spTree") for line in _shapes(tree, set())]
+        has = any(kind == _NOTES for kind, _ in _relations(box, part).values())
+        out.append({"number": number, "slide_id": own, "part": part, "hidden": slide.get("show") in ("0", "false"), "text": "\n".join(text), "notes": "\n".join(notes) if has else None, "features": sorted(features)})
     return out
 
 
+def pptx_slides(content: bytes, limits: tuple[int, int] = LIMITS) -> list[tuple[int, str]]:
+    """(number, text) of the slides in the deck's order; each paragraph and each row of a table is a line."""
+    return [(x["number"], x["text"]) for x in pptx_deck(content, limits)]
+
+
+DECK = T.ArrayType(T.StructType([
+    T.StructField("number", T.IntegerType()), T.StructField("slide_id", T.LongType()), T.StructField("part", T.StringType()), T.StructField("hidden", T.BooleanType()), T.StructField("text", T.StringType()),
+    T.StructField("notes", T.StringType()), T.StructField("features", T.ArrayType(T.StringType())),
+]))
+
+
+def deck(content: Column, limits: tuple[int, int] = LIMITS) -> Column:
+    """array of a presentation's slides as ``pptx_deck`` gives them; null for what isn't one."""
+
+    def one(raw: bytes | None) -> list[dict] | None:
+        try:
+            return pptx_deck(raw, limits) if raw else None
+        except (Refused, ET.ParseError, zipfile.BadZipFile, ValueError):
+            return None
+
+    slide = pa.struct([("number", pa.int32()), ("slide_id", pa.int64()), ("part", pa.string()), ("hidden", pa.bool_()), ("text", pa.string()), ("notes", pa.string()), ("features", pa.list_(pa.string()))])
+
+    @F.arrow_udf(DECK)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([one(x.as_py()) for x in batch], pa.list_(slide))
+
+    return run(content)
+
+
 #: fixed values: the headers of a mail that its mirror shows, and what stands for a body without text
 SHOWN_HEADERS, NO_TEXT = ("From", "To", "Cc", "Subject", "Date"), "[no text on this page]"
 

@@ -161,3 +161,73 @@ def test_packages_and_compound_files_are_told_apart(spark):
     short = lambda x: x.rpartition(".")[2]
     assert [short(got[i]) for i in (1, 3)] == ["document", "sheet"] and got[2] == got[7] == "application/zip"
     assert got[4] == "application/vnd.ms-excel" and got[5] == got[10] == "application/x-ole-storage" and got[6] == "application/msword" and got[11] == "message/rfc822"
+
+
+def parts(**texts):
+    """A package from exact part names."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in texts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+P = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def text_shape(*lines):
+    return "<p:sp><p:txBody>" + "".join(f"<a:p><a:r><a:t>{x}</a:t></a:r></a:p>" for x in lines) + "</p:txBody></p:sp>"
+
+
+def a_deck(**more):
+    row = lambda *cells: "<a:tr>" + "".join(f"<a:tc><a:txBody><a:p><a:r><a:t>{c}</a:t></a:r></a:p></a:txBody></a:tc>" for c in cells) + "</a:tr>"
+    first = f'<p:sld {P} show="0"><p:cSld><p:spTree>{text_shape("Title", "")}<p:grpSp>{text_shape("in group")}<p:grpSp>{text_shape("deeper")}</p:grpSp></p:grpSp><p:pic/><p:graphicFrame><a:graphic><a:graphicData><a:tbl>{row("a", "b")}{row("c", "")}</a:tbl></a:graphicData></a:graphic></p:graphicFrame>{text_shape("last")}</p:spTree></p:cSld></p:sld>'
+    files = {
+        "ppt/presentation.xml": f'<p:presentation {P}><p:sldIdLst><p:sldId id="300" r:id="r2"/><p:sldId id="256" r:id="r1"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": f'<Relationships><Relationship Id="r1" Type="{REL}/slide" Target="slides/s1.xml"/><Relationship Id="r2" Type="{REL}/slide" Target="/ppt/slides/s2.xml"/></Relationships>',
+        "ppt/slides/s1.xml": first,
+        "ppt/slides/s2.xml": f"<p:sld {P}><p:cSld><p:spTree/></p:cSld></p:sld>",
+        "ppt/slides/_rels/s1.xml.rels": f'<Relationships><Relationship Id="n" Type="{REL}/notesSlide" Target="../notes/n1.xml"/><Relationship Id="w" Type="{REL}/hyperlink" Target="https://x" TargetMode="External"/></Relationships>',
+        "ppt/notes/n1.xml": f"<p:notes {P}><p:cSld><p:spTree>{text_shape('say this')}</p:spTree></p:cSld></p:notes>",
+    }
+    return parts(**(files | more))
+
+
+def test_decks_with_groups_tables_notes_and_order(spark):
+    slides = office.pptx_deck(a_deck())
+    assert [(x["number"], x["slide_id"], x["part"], x["hidden"]) for x in slides] == [(1, 300, "ppt/slides/s2.xml", False), (2, 256, "ppt/slides/s1.xml", True)]
+    assert slides[1]["text"] == "Title\nin group\ndeeper\na\tb\nc\t\nlast" and slides[1]["notes"] == "say this" and slides[1]["features"] == ["group", "picture", "table"]
+    assert slides[0]["text"] == "" and slides[0]["notes"] is None
+    for broken, code in (({"ppt/slides/_rels/s1.xml.rels": f'<Relationships><Relationship Id="n" Type="{REL}/notesSlide" Target="../notes/lost.xml"/></Relationships>'}, "missing-internal-target"), ({"ppt/presentation.xml": f'<p:presentation {P}><p:sldIdLst><p:sldId id="300" r:id="r9"/></p:sldIdLst></p:presentation>'}, "dangling-slide"), ({"ppt/presentation.xml": f'<p:presentation {P}><p:sldIdLst><p:sldId id="5" r:id="r1"/></p:sldIdLst></p:presentation>'}, "invalid-slide-id")):
+        try:
+            office.pptx_deck(a_deck(**broken))
+        except office.Refused as fault:
+            assert str(fault) == code
+        else:
+            raise AssertionError(code)
+    df = spark.createDataFrame([(1, a_deck()), (2, b"junk"), (3, None), (4, b"")], "i int, content binary")
+    got = {r.i: r.d for r in df.select("i", office.deck(F.col("content")).alias("d")).collect()}
+    assert [x.text for x in got[1]] == [x["text"] for x in slides] and got[2] is got[3] is got[4] is None
+
+
+def test_deck_to_mirror_and_back(spark):
+    from corpusloom.operators import packages
+
+    df = spark.createDataFrame([(7, a_deck())], "deck int, content binary").withColumn("s", F.explode(office.deck(F.col("content")))).select("deck", "s.*").withColumn("digest", F.lit("0" * 64)).withColumn("title", F.lit("T"))
+    mapped = packages.slide_map(df.withColumn("notes_policy", F.lit("include")).withColumn("notes_included", F.lit(True)), "deck", "title")
+    body = "# T" + "".join(r.section for r in mapped.orderBy("number").collect())
+    for r in mapped.collect():
+        assert body[r.content_start : r.content_end] == r.text and body[: r.end_].endswith("```")
+    assert packages.slide_problems(mapped.withColumn("body", F.lit(body)), "deck", "body").count() == 0
+    changed = body.replace("deeper", "deepest")
+    assert packages.slide_problems(mapped.withColumn("body", F.lit(changed)), "deck", "body").where("problems LIKE '%framing%'").count() == 1
+
+
+def test_sheets_with_dates_and_merges():
+    styles = f'<styleSheet {S}><numFmts><numFmt numFmtId="164" formatCode="&quot;day&quot; 0.0"/><numFmt numFmtId="165" formatCode="[h]:mm"/><numFmt numFmtId="166" formatCode="yyyy\\-mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="166"/></cellXfs></styleSheet>'
+    cells = '<c r="A1" s="1"><v>46024</v></c><c r="B1" s="1"><v>46056.25</v></c><c r="C1" s="2"><v>46024</v></c><c r="D1" s="3"><v>0.5</v></c><c r="E1" s="4"><v>59</v></c><c r="F1"><v>12.5</v></c><c r="G1" t="e"><v>#DIV/0!</v></c><c r="H1"/>'
+    book = lambda extra="": parts(**{"xl/workbook.xml": f'<workbook {S}>{extra}<sheets><sheet name="L" r:id="a"/><sheet name="lost" r:id="b"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="a" Target="/xl/worksheets/s.xml"/></Relationships>', "xl/styles.xml": styles, "xl/worksheets/s.xml": f'<worksheet {S}><sheetData><row>{cells}</row></sheetData><mergeCells><mergeCell ref="A7:C7"/><mergeCell ref="B9"/></mergeCells></worksheet>'})
+    assert [v for *_, v in office.xlsx_cells(book())] == ["2026-01-02T00:00:00", "2026-02-03T06:00:00", "46024", "12:00:00", "1900-02-28T00:00:00", "12.5", "#DIV/0!"]
+    assert office.xlsx_cells(book('<workbookPr date1904="1"/>'))[0][3] == "2030-01-03T00:00:00"
+    assert office.xlsx_merges(book()) == [("L", 7, 1, 7, 3), ("L", 9, 2, 9, 2)]
