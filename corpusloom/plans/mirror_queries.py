@@ -188,9 +188,10 @@ _SYNTAX = r"regexp_replace({0}, '(?m)^(?:#{{1,6}} |- |> )', '', 'g')"
 _W = lambda x: f"len(list_filter(regexp_split_to_array({x}, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda w: w <> ''))"
 
 ORACLES = {
-    "flagship_mirror_documents": f"""{_MIRROR} SELECT doc_id, 'sha256:' || sha256(text) AS content_hash, strlen(text) AS byte_size, 'processable' AS outcome, title,
-      CAST(length('# ' || title || chr(10) || chr(10) || rtrim(ltrim(text, chr(10)), chr(10)) || chr(10)) AS INTEGER) AS body_length,
-      {_W(_SYNTAX.format("'# ' || title || chr(10) || chr(10) || text"))} AS n_words, '' AS flags, '' AS problems FROM f""",
+    "flagship_mirror_documents": f"""{_MIRROR}, b AS (SELECT *, '# ' || title || chr(10) || chr(10) || rtrim(ltrim(text, chr(10)), chr(10)) || chr(10) AS body, contains(hex(encode(text)), '00') AND regexp_matches(hex(encode(text)), '^(..)*00') AS nul FROM f),
+      w AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(body, '^# [^\\n]*\\n\\n', ''), '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '') = list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '') AS same FROM b)
+      SELECT doc_id, 'sha256:' || sha256(text) AS content_hash, strlen(text) AS byte_size, CASE WHEN nul THEN 'deferred' ELSE 'processable' END AS outcome, title, CAST(length(body) AS INTEGER) AS body_length,
+      {_W(_SYNTAX.format("body"))} AS n_words, CASE WHEN nul THEN 'binary-content' ELSE '' END AS flags, CASE WHEN same THEN '' ELSE 'words-changed' END AS problems FROM w""",
     "str01_slug_documents": "SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'document') AS slug FROM documents",
     "str02_title_documents": f"{_MIRROR} SELECT doc_id, title FROM f",
     "str03_newlines_documents": "SELECT doc_id, sha256(text) AS digest, length(text) AS n FROM documents",
@@ -203,8 +204,9 @@ ORACLES = {
       SELECT doc_id, list_filter(regexp_split_to_array({_SYNTAX.format('text')}, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda w: w <> '') AS w FROM documents)""",
     "hsh01_hash_documents": "SELECT doc_id, 'sha256:' || sha256(text) AS content_hash, CAST(strlen(text) AS INTEGER) AS byte_size, 'pdf-' || sha256(text) || '-page-000007' AS anchor FROM documents",
     "set06_duplicate_bytes_documents": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "src08_text_flags_documents": """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'deferred' ELSE 'processable' END AS outcome, CASE WHEN doc_id % 7 = 0 THEN 'binary-content' WHEN doc_id % 5 = 0 THEN 'text-decode-lossy' ELSE '' END AS flags,
-      strlen(text) + CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 1 ELSE 0 END AS byte_size, CASE WHEN doc_id % 7 = 0 THEN 4 ELSE 0 END AS exit_code FROM documents""",
+    "src08_text_flags_documents": r"""WITH b AS (SELECT doc_id, encode(text) || CASE WHEN doc_id % 7 = 0 THEN '\x00'::BLOB WHEN doc_id % 5 = 0 THEN '\xFF'::BLOB ELSE ''::BLOB END AS c FROM documents),
+      k AS (SELECT doc_id, octet_length(c) AS n, regexp_matches(hex(c), '^(..)*00') AS nul, regexp_matches(hex(c), '^(..)*(C0|C1|F[5-9A-F])') AS lossy FROM b)
+      SELECT doc_id, CASE WHEN nul THEN 'deferred' ELSE 'processable' END AS outcome, CASE WHEN nul THEN 'binary-content' WHEN lossy THEN 'text-decode-lossy' ELSE '' END AS flags, n AS byte_size, CASE WHEN nul THEN 4 ELSE 0 END AS exit_code FROM k""",
     "src10_html_pages": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script\b.*?</script\s*>', '', 'g') AS t FROM pages),
       b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?is)<style\b.*?</style\s*>', '', 'g'), '(?is)<head\b.*?</head\s*>', '', 'g') AS t FROM a),
       c AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)</?(p|div|br|tr|li|h[1-6]|blockquote|table|ul|ol|hr)\b[^>]*>', chr(10), 'g'), '<[a-zA-Z/!][^>]*>', '', 'g') AS t FROM b),
@@ -213,15 +215,26 @@ ORACLES = {
       SELECT page_id, trim(t, ' ' || chr(10)) AS text FROM e""",
     "str05_page_body_documents": f"{_PAGES} SELECT doc_id, sha256(string_agg('## Page ' || number || chr(10) || chr(10) || CASE WHEN trim(text) = '' THEN '[no text on this page]' ELSE text END, chr(10) || chr(10) ORDER BY number)) AS digest FROM p GROUP BY 1",
     "win03_page_map_documents": f"{_PAGES} SELECT doc_id, number, CAST(e - length(text) AS BIGINT) AS start, CAST(e AS BIGINT) AS end_ FROM (SELECT *, sum(length('## Page ' || number) + 2 + length(text) + CASE WHEN number > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY number ROWS UNBOUNDED PRECEDING) AS e FROM p)",
-    "val03_map_verify_documents": f"{_PAGES} SELECT doc_id, number, 'text' AS problems FROM (SELECT *, max(number) OVER (PARTITION BY doc_id) AS last FROM p) WHERE doc_id % 11 = 0 AND number < last",
+    "val03_map_verify_documents": f"""{_PAGES}, m AS (SELECT *, sum(length('## Page ' || number) + 2 + length(text) + CASE WHEN number > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY number ROWS UNBOUNDED PRECEDING) AS e FROM p),
+      n AS (SELECT doc_id, number, text, e - length(text) AS start, e + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS end_, row_number() OVER (PARTITION BY doc_id ORDER BY number) AS place FROM m),
+      b AS (SELECT doc_id, string_agg('## Page ' || number || chr(10) || chr(10) || CASE WHEN trim(text) = '' THEN '[no text on this page]' ELSE text END, chr(10) || chr(10) ORDER BY number) AS body FROM p GROUP BY 1),
+      q AS (SELECT n.doc_id, number, concat_ws(',', CASE WHEN place <> number THEN 'ordinal' END, CASE WHEN start < lag(end_) OVER (PARTITION BY n.doc_id ORDER BY number) THEN 'overlap' END, CASE WHEN end_ < start THEN 'negative' END, CASE WHEN substr(body, CAST(start AS INTEGER) + 1, CAST(end_ - start AS INTEGER)) <> text THEN 'text' END) AS problems FROM n JOIN b ON b.doc_id = n.doc_id)
+      SELECT * FROM q WHERE problems <> ''""",
     "flt08_page_select_documents": f"{_PAGES} SELECT doc_id, number, (length(text) % 100) / 100.0::DOUBLE AS coverage FROM p WHERE trim(text) = '' OR (length(text) % 100) / 100.0::DOUBLE >= 0.5",
     "jon01_native_recovered_documents": f"{_PAGES} SELECT doc_id, count(*) AS n_pages, count(*) FILTER (number % 3 = 0) AS n_recovered, CAST(sum(length(text || CASE WHEN number % 3 = 0 THEN '!' ELSE '' END)) AS BIGINT) AS n_chars, true AS complete FROM p GROUP BY 1",
     "flt09_native_pages_documents": f"{_PAGES} SELECT doc_id, count(*) AS n_native FROM p WHERE number % 3 <> 0 GROUP BY 1",
-    "jon21_verify_documents": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'missing-source' ELSE 'hash,size' END AS problems FROM documents WHERE doc_id % 10 = 0 OR doc_id % 9 = 0",
+    "jon21_verify_documents": """WITH m AS (SELECT doc_id, sha256(text) AS h, strlen(text) AS n FROM documents), s AS (SELECT doc_id, sha256(text || CASE WHEN doc_id % 9 = 0 THEN '!' ELSE '' END) AS h, strlen(text) + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS n FROM documents WHERE doc_id % 10 <> 0),
+      j AS (SELECT m.doc_id, concat_ws(',', CASE WHEN s.doc_id IS NULL THEN 'missing-source' END, CASE WHEN s.h <> m.h THEN 'hash' END, CASE WHEN s.n <> m.n THEN 'size' END) AS problems FROM m LEFT JOIN s ON s.doc_id = m.doc_id) SELECT * FROM j WHERE problems <> ''""",
     "snk03_names_documents": "SELECT source || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.txt.md' END AS target, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "jon15_manifest_diff_documents": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'deleted' WHEN doc_id % 5 = 0 THEN 'modified' ELSE 'mode-changed' END AS change FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 3 = 0 UNION ALL SELECT doc_id + 100000000, 'added' FROM documents WHERE doc_id % 50 = 0",
-    "flt01_sniff_documents": """SELECT doc_id, ['text/plain', 'application/pdf', 'application/zip', 'image/png', 'application/octet-stream', 'application/pdf'][doc_id % 6 + 1] AS media_type, CASE WHEN doc_id % 6 = 4 THEN 'media-type-unknown' ELSE '' END AS flags, doc_id % 6 NOT IN (2, 4) AS supported FROM documents""",
-    "flt05_mail_documents": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'message/rfc822' ELSE 'text/plain' END AS media_type FROM documents",
+    "jon15_manifest_diff_documents": """WITH b AS (SELECT doc_id, sha256(text) AS digest, '100644' AS mode FROM documents),
+      a AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE digest END AS digest, CASE WHEN doc_id % 3 = 0 THEN '100755' ELSE mode END AS mode FROM b WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id + 100000000, digest, mode FROM b WHERE doc_id % 50 = 0),
+      j AS (SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'deleted' WHEN a.digest <> b.digest THEN 'modified' WHEN a.mode <> b.mode THEN 'mode-changed' END AS change FROM b FULL JOIN a ON a.doc_id = b.doc_id) SELECT * FROM j WHERE change IS NOT NULL""",
+    "flt01_sniff_documents": r"""WITH b AS (SELECT doc_id, substr(hex(unhex(['', '255044462D', '504B0304', '89504E470D0A1A0A', '0001', '0A0A255044462D'][doc_id % 6 + 1]) || encode(text)), 1, 2048) AS x FROM documents),
+      k AS (SELECT doc_id, CASE WHEN starts_with(x, '255044462D') THEN 'application/pdf' WHEN starts_with(x, '504B0304') THEN 'application/zip' WHEN starts_with(x, '89504E470D0A1A0A') THEN 'image/png' WHEN regexp_matches(x, '^(..)*255044462D') THEN 'application/pdf' WHEN NOT regexp_matches(x, '^(..)*00') THEN 'text/plain' END AS kind FROM b)
+      SELECT doc_id, coalesce(kind, 'application/octet-stream') AS media_type, CASE WHEN kind IS NULL THEN 'media-type-unknown' ELSE '' END AS flags, coalesce(kind, '') NOT IN ('application/zip', '') AS supported FROM k""",
+    "flt05_mail_documents": r"""WITH t AS (SELECT doc_id, string_split(substr(CASE doc_id % 4 WHEN 0 THEN 'From: a@b' || chr(10) || 'To: c@d' || chr(10) || 'Subject: x' || chr(10) || ' y' || chr(10) || chr(10) WHEN 1 THEN 'From: a@b' || chr(10) || 'To: c@d' || chr(10) || chr(10) ELSE '' END || text, 1, 8192), chr(10) || chr(10))[1] AS head FROM documents),
+      l AS (SELECT doc_id, string_split(head, chr(10)) AS lines FROM t)
+      SELECT doc_id, CASE WHEN len(list_filter(lines, lambda x: NOT contains(x, ':') AND NOT regexp_matches(x, '^[ \t]'))) = 0 AND len(list_intersect(list_transform(list_filter(lines, lambda x: contains(x, ':')), lambda x: lower(split_part(x, ':', 1))), ['from', 'to', 'subject', 'date', 'message-id', 'received', 'mime-version'])) >= 3 THEN 'message/rfc822' ELSE 'text/plain' END AS media_type FROM l""",
     "flt06_outcomes_documents": "SELECT doc_id, ['ok', 'password-required', 'zero-page', 'malformed-pdf'][doc_id % 4 + 1] AS code, ['processable', 'blocked', 'blocked', 'failed'][doc_id % 4 + 1] AS outcome, CAST([0, 3, 3, 5][doc_id % 4 + 1] AS INTEGER) AS exit_code FROM documents",
-    "set01_flags_documents": "SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'binary-content' END, CASE WHEN doc_id % 3 = 0 THEN 'media-type-unknown' END, CASE WHEN doc_id % 2 = 0 THEN 'ocr-pending' END) AS flags FROM documents",
+    "set01_flags_documents": """SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_filter([CASE WHEN doc_id % 2 = 0 THEN 'ocr-pending' END, CASE WHEN doc_id % 3 = 0 THEN 'media-type-unknown' END], lambda x: x IS NOT NULL), list_filter([CASE WHEN doc_id % 4 = 0 THEN 'ocr-pending' END, CASE WHEN doc_id % 5 = 0 THEN 'binary-content' END], lambda x: x IS NOT NULL)))), ',') AS flags FROM documents""",
 }
