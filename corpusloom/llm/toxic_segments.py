@@ -101,6 +101,15 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - l) for a, b, l, r in zip(start, stop, left, right, strict=True)]
 
 
+COUNTS_OF = ("toxic", "all", "toxic_tokens", "tokens")
+
+
+def _dense(n: int, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, np.float32)
+    out[at] = x
+    return out
+
+
 @dataclass
 class ToxicModel:
     """toxic, all: documents by slot, toxic ones and all; toxic_tokens, tokens: their tokens; n_toxic, n_all, share: documents and the share of toxic ones' tokens; shift: taken off each score; rate: lambda; size: K; then the logistic fit of the standardised maximum."""
@@ -118,6 +127,14 @@ class ToxicModel:
     slope: float = 1.0
     offset: float = 0.0
 
+    def __getstate__(self) -> dict:
+        """Only slots that hold something travel."""
+        at = np.flatnonzero(self.all) if self.all is not None else None
+        return vars(self) | {n: (None if x is None else (len(x), at, x[at])) for n, x in vars(self).items() if n in COUNTS_OF}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update({n: x if n not in COUNTS_OF or x is None else _dense(*x) for n, x in state.items()})
+
     def log_odds(self, less_toxic: int = 0, less: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Of each slot, as it counts, and how many standard deviations its documents are from the background; if wished without a document that holds it."""
         n = np.maximum(self.all.astype(float) - less, 0)
@@ -170,12 +187,14 @@ def toxicity(text: Column, model: ToxicModel) -> Column:
     and empty texts have no segments: x is that of score 0.
     """
 
-    odds = SparkSession.active().sparkContext.broadcast(tuple(x.astype(np.float32) for x in model.log_odds()))
+    held = np.flatnonzero(model.all)
+    odds = SparkSession.active().sparkContext.broadcast((len(model.all), held.astype(np.uint32), *(x[held].astype(np.float32) for x in model.log_odds())))
     law = replace(model, toxic=None, all=None, toxic_tokens=None, tokens=None)  # the counts needn't travel
 
     @F.arrow_udf(RESULT)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, scores = law, _Scores(*odds.value, law.shift)
+        n, held, *each = odds.value
+        model, scores = law, _Scores(*(_dense(n, held, x) for x in each), law.shift)
         tail = lambda x: -math.expm1(-math.exp(min(-x, 700)))
         for batch in batches:
             score, xs, ps, passages = [], [], [], []

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import pickle
 import time
 import zlib
 
@@ -162,6 +163,8 @@ def test_every_token_has_log_odds_of_its_own_or_of_a_stem_s(spark):
         for w in ("badword", "badwords", "badge", "fine", "day", "unseen", "good"):
             z, want = max((odds(f, dt, dn) for f in kinds(w)), key=lambda x: x[0])
             assert math.isclose(scores[w.encode()] + model.shift, want, abs_tol=1e-5), (w, dt, dn)
+    again = pickle.loads(pickle.dumps(model))  # only held slots travel
+    assert all(np.array_equal(getattr(again, n), getattr(model, n)) for n in toxic_segments.COUNTS_OF) and again.share == model.share
     whole = model.scores()
     assert whole[b"badword"] > 0 > whole[b"good"]
 
