@@ -194,9 +194,20 @@ def test_groups_are_opened_only_where_their_union_holds_enough(spark, monkeypatc
 
 def test_connected_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (0, 1)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).distinct().collect()}
-    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    r = random.Random(4)
+    edges += [(1000 + r.randrange(300), 1000 + r.randrange(300)) for _ in range(200)]
+    want = {}
+    for a, b in edges:
+        for x in (a, b):
+            want.setdefault(x, x)
+    for _ in range(300):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    want = {n: c for n, c in want.items() if any(a != b and n in (a, b) for a, b in edges)}
+    for few in (1 << 20, 10):  # in one task, and by steps
+        found = components(spark.createDataFrame(edges, "u long, v long").repartition(3), few).collect()
+        assert {x.node: x.component for x in found} == want and len(found) == len(want)
+        assert components(spark.createDataFrame([], "u long, v long"), few).count() == 0
 
 
 TALK = [
