@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.intervals import union_measure
+
 #: fixed values: how a verdict starts, what only its template says, how quoted files and searches look
 VERDICT = r"\A## Verdict: (APPROVED|REVISE)\s*\n"
 TEMPLATE = ("[Specific issue]", "[One or two sentences", "\n## Rules", "Followed in the `REVISE` case", "=== ")
@@ -108,6 +110,29 @@ def same_boot(left: Column, right: Column) -> Column:
     return F.coalesce(left == right, F.lit(False)) | F.coalesce(F.abs(seconds(left) - seconds(right)) <= BOOT_DRIFT, F.lit(False))
 
 
+def park_summary(parks: DataFrame, phase: str) -> DataFrame:
+    """phase, n_parks, open, method, exact, total of the parks of each phase.
+
+    parks: (phase, park, start_ns, end_ns, start_boot, end_boot, opened, closed), the last four null while a park is
+    open; opened and closed are calendar times in the same unit. With an open park there is no total. Where every park
+    began and ended in one boot, the total is the union within each boot, by its monotonic clock, over groups of boots
+    that are one within the drift, each led by the first that was seen; else it is the calendar union and not exact.
+    """
+    p = parks.withColumn("_one", same_boot(F.col("start_boot"), F.col("end_boot")))
+    state = p.groupBy(phase).agg(
+        F.count(F.lit(1)).alias("n_parks"), F.bool_or(F.col("closed").isNull()).alias("open"), F.bool_and("_one").alias("all_one"),
+        F.transform(F.array_sort(F.collect_set(F.struct("park", "start_boot"))), lambda x: x["start_boot"]).alias("boots"),
+    )
+    leaders = F.aggregate(F.array_distinct("boots"), F.array().cast("array<string>"), lambda acc, b: F.when(F.exists(acc, lambda x: same_boot(x, b)), acc).otherwise(F.concat(acc, F.array(b))))
+    whole = p.join(state.withColumn("leaders", leaders), phase).where("NOT open")
+    led = F.element_at(F.filter("leaders", lambda x: same_boot(x, F.col("start_boot"))), 1)
+    by = F.when(F.col("all_one"), F.struct(led.alias("boot"), F.col("start_ns").alias("st"), F.col("end_ns").alias("en"))).otherwise(F.struct(F.lit("").alias("boot"), F.col("opened").alias("st"), F.col("closed").alias("en")))
+    spans = whole.select(phase, F.col("park").alias("id"), by.alias("_s")).select(phase, "id", "_s.*")
+    total = union_measure(spans, [phase, "boot"], "part").groupBy(phase).agg(F.sum("part").alias("total"))
+    method = F.when(F.col("open"), "incomplete").when(F.col("all_one"), "monotonic-union").otherwise("calendar-union-cross-boot")
+    return state.join(total, phase, "left").select(phase, "n_parks", "open", method.alias("method"), (~F.col("open") & F.col("all_one")).alias("exact"), "total")
+
+
 def checkpoint_links(reports: DataFrame, expectations: DataFrame) -> DataFrame:
     """checkpoint, outer, n_children, work, missing: the project runs of each checkpoint's batch and the cycles that none of them closes.
 

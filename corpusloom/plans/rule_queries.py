@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import order as O  # noqa: E741
 from corpusloom.operators import mirror as M
 from corpusloom.operators import reviews as V
 from corpusloom.plans.mirror_queries import _PAGES, _pages
+from corpusloom.plans.span_queries import _union_sql
 
 read = lambda spark, d, t: spark.read.parquet(f"{d}/{t}.parquet")
 
@@ -131,10 +133,16 @@ def hsh02_derived_from_documents(spark, d):
     return x.select("doc_id", F.sha2(whole, 256).alias("derived_from"), F.sha2(F.regexp_replace(whole, r"\A---\n(?s:.*?)\n---\n", ""), 256).alias("derived_from_body"))
 
 
-def agg15_boots_events(spark, d):
-    """Pairs of events as parks: whether both ends are of one boot, by the time that boots started at."""
-    e = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.format_string("{ sec = %d, usec = 1 }", F.col("event_id") - F.col("event_id") % 20)).otherwise(F.concat(F.lit("uuid-"), (F.col("event_id") % 7).cast("string"))).alias("a"), F.when(F.col("event_id") % 6 < 4, F.format_string("{ sec = %d, usec = 9 }", F.col("event_id") - 8)).otherwise(F.concat(F.lit("uuid-"), (F.col("event_id") % 5).cast("string"))).alias("b"))
-    return e.select("event_id", V.same_boot(F.col("a"), F.col("b")).alias("same"))
+def agg15_park_summary_events(spark, d):
+    """Users' events in pairs as parks of phases (two for each user); boots start anew every 40 events of a user in even phases, times of one boot drift a little."""
+    e = read(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("w"))
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("w", "event_id"))
+    e = e.withColumn("n", n).withColumn("phase", F.col("user_id") * 2 + F.when(F.floor((F.col("n") - 1) / 2) % 2 == 0, 0).otherwise(1))
+    boot = F.format_string("{ sec = %d, usec = 1 }", 1000 * F.when(F.col("phase") % 2 == 0, F.floor((F.col("n") - 1) / 40)).otherwise(F.floor(F.col("n") / 62)) + F.col("n") % 3)
+    e = e.withColumn("park", F.floor((F.col("n") + 1) / 2)).withColumn("boot", boot)
+    when = lambda c, k: F.max(F.when(F.col("n") % 2 == k, F.col(c)))
+    p = e.groupBy("phase", "park").agg(when("w", 1).alias("opened"), when("w", 0).alias("closed"), when("boot", 1).alias("start_boot"), when("boot", 0).alias("end_boot"))
+    return V.park_summary(p.withColumn("start_ns", F.col("opened") % 10_000_000_000).withColumn("end_ns", F.col("start_ns") + F.col("closed") - F.col("opened")), "phase")
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] != "_" and callable(f) and getattr(f, "__module__", "") == __name__ and name != "read"}
@@ -181,6 +189,11 @@ ORACLES = {
       b AS (SELECT vec_id, list_transform(range(64), lambda k: CASE WHEN g[(k // 8) * 9 + k % 8 + 1] > g[(k // 8) * 9 + k % 8 + 2] THEN '1' ELSE '0' END) AS bits FROM e)
       SELECT vec_id, array_to_string(list_transform(range(16), lambda h: substr('0123456789ABCDEF', CAST(8 * bits[h * 4 + 1]::INTEGER + 4 * bits[h * 4 + 2]::INTEGER + 2 * bits[h * 4 + 3]::INTEGER + bits[h * 4 + 4]::INTEGER + 1 AS INTEGER), 1)), '') AS hash FROM b""",
     "hsh02_derived_from_documents": "SELECT doc_id, sha256('---' || chr(10) || 'mirror_of: ' || doc_id || chr(10) || '---' || chr(10) || text) AS derived_from, sha256(text) AS derived_from_body FROM documents",
-    "agg15_boots_events": """WITH e AS (SELECT event_id, event_id % 3 = 0 AS ad, event_id % 6 < 4 AS bd, event_id - event_id % 20 AS sa, event_id - 8 AS sb FROM events)
-      SELECT event_id, CASE WHEN ad AND bd THEN sb >= 0 AND abs(sa - sb) <= 5 WHEN NOT ad AND NOT bd THEN event_id % 7 = event_id % 5 ELSE false END AS same FROM e""",
+    "agg15_park_summary_events": f"""WITH a AS (SELECT user_id, epoch_us(ts) AS w, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events), b AS (SELECT *, user_id * 2 + ((n - 1) // 2) % 2 AS phase FROM a),
+      c AS (SELECT *, CASE WHEN phase % 2 = 0 THEN (n - 1) // 40 ELSE n // 62 END AS boot FROM b),
+      p AS (SELECT phase, (n + 1) // 2 AS park, max(w) FILTER (n % 2 = 1) AS opened, max(w) FILTER (n % 2 = 0) AS closed, max(boot) FILTER (n % 2 = 1) AS b1, max(boot) FILTER (n % 2 = 0) AS b2 FROM c GROUP BY 1, 2),
+      g AS (SELECT phase, count(*) AS n_parks, bool_or(closed IS NULL) AS open, coalesce(bool_and(b1 = b2), false) AS one FROM p GROUP BY 1),
+      s AS (SELECT p.phase, CASE WHEN one THEN b1 ELSE 0 END AS boot, park AS id, CASE WHEN one THEN opened % 10000000000 ELSE opened END AS st, CASE WHEN one THEN opened % 10000000000 + closed - opened ELSE closed END AS en FROM p JOIN g ON g.phase = p.phase WHERE NOT open),
+      t AS ({_union_sql("phase, boot", name="part")}), u AS (SELECT phase, CAST(sum(part) AS BIGINT) AS total FROM t GROUP BY 1)
+      SELECT g.phase, n_parks, open, CASE WHEN open THEN 'incomplete' WHEN one THEN 'monotonic-union' ELSE 'calendar-union-cross-boot' END AS method, NOT open AND one AS exact, total FROM g LEFT JOIN u ON u.phase = g.phase""",
 }

@@ -96,14 +96,6 @@ def jon11_park_pairs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.paired(_parks(spark, sf_dir), ["user_id", "park"])
 
 
-def agg15_park_summary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A phase (user) with an open park is incomplete and has no total; else the union of its parks."""
-    p = jon11_park_pairs_events(spark, sf_dir)
-    state = p.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_parks"), F.bool_or(F.col("closed").isNull()).alias("open"))
-    total = I.union_measure(p.where("closed IS NOT NULL").withColumn("id", F.col("park")), ["user_id"], "total", start="opened", end="closed")
-    return state.join(total, "user_id", "left").select("user_id", "n_parks", "open", F.when(F.col("open"), F.lit("incomplete")).otherwise(F.lit("monotonic-union")).alias("method"), F.when(~F.col("open"), F.coalesce("total", F.lit(0).cast("long"))).alias("total"))
-
-
 def jon10_span_depth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth in the hierarchy in which a span's parent is the one with a quarter of its id."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.when(F.col("event_id") > 0, F.floor(F.col("event_id") / 4)).alias("parent"))
@@ -154,7 +146,7 @@ def flt11_history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     agg08_union_events, agg09_peak_events, agg11_exclusive_events, agg16_timing_projection_events, agg10_trace_report_events, agg12_batch_metrics_events, agg14_attempts_events, jon11_park_pairs_events,
-    agg15_park_summary_events, jon10_span_depth_events, srt02_slowest_events, srt03_recent_events, win06_pass_number_events, val07_span_checks_events, agg13_dashboard_events, flt11_history_events,
+    jon10_span_depth_events, srt02_slowest_events, srt03_recent_events, win06_pass_number_events, val07_span_checks_events, agg13_dashboard_events, flt11_history_events,
 )}
 
 _ELAPSED = "CASE WHEN d // 1000 < 60000 THEN (d // 1000000) || '.' || lpad(CAST(d // 1000 % 1000 AS VARCHAR), 3, '0') || 's' WHEN d // 3600000000 > 0 THEN (d // 3600000000) || 'h ' || (d // 1000000 % 3600 // 60) || 'm ' || (d // 1000000 % 60) || 's' ELSE (d // 60000000) || 'm ' || (d // 1000000 % 60) || 's' END"
@@ -174,9 +166,6 @@ ORACLES = {
       SELECT *, summed_work - active AS overlap, CASE WHEN committed > 0 THEN "window" // committed END AS wall_per_committed, CASE WHEN committed = 0 THEN 'no committed members' END AS reason FROM b JOIN a USING (trace) JOIN p USING (trace)""",
     "agg14_attempts_events": f"{_SPANS} SELECT category, user_id, count(*) AS n, max(attempt) AS max_attempt, count(*) FILTER (outcome <> 'success') AS failed, CAST(sum(en - st) AS BIGINT) AS total FROM s GROUP BY 1, 2 HAVING count(*) > 1 OR max(attempt) > 1",
     "jon11_park_pairs_events": f"{_PARKS} SELECT * FROM p WHERE opened IS NOT NULL",
-    "agg15_park_summary_events": f"""{_PARKS}, s AS (SELECT user_id, park AS id, opened AS st, closed AS en FROM p WHERE closed IS NOT NULL), t AS ({_union_sql('user_id', name='total')}),
-      g AS (SELECT user_id, count(*) AS n_parks, bool_or(closed IS NULL) AS open FROM p GROUP BY 1)
-      SELECT user_id, n_parks, open, CASE WHEN open THEN 'incomplete' ELSE 'monotonic-union' END AS method, CASE WHEN NOT open THEN coalesce(total, 0) END AS total FROM g LEFT JOIN t USING (user_id)""",
     "jon10_span_depth_events": "WITH RECURSIVE d AS (SELECT event_id AS id, event_id AS root, CAST(0 AS BIGINT) AS depth FROM events WHERE event_id = 0 UNION ALL SELECT e.event_id, d.root, d.depth + 1 FROM events e JOIN d ON e.event_id > 0 AND e.event_id // 4 = d.id) SELECT id, root, depth FROM d",
     "srt02_slowest_events": f"{_SPANS} SELECT trace, CAST(rank AS INTEGER) AS rank, id, category, d AS duration, {_ELAPSED} AS elapsed FROM (SELECT *, en - st AS d, row_number() OVER (PARTITION BY trace ORDER BY en - st DESC, id) AS rank FROM s) WHERE rank <= 10",
     "srt03_recent_events": f"{_SPANS} SELECT st, id, CASE WHEN outcome = 'error' THEN 'incomplete' ELSE 'report' END AS kind FROM s ORDER BY st DESC, id DESC, kind DESC LIMIT 20",
