@@ -38,9 +38,8 @@ def flt16_usage_customer(spark, d):
     """Customers as quota windows of nations: shared, of a model, inactive or broken."""
     c = read(spark, d, "customer").withColumn("k", F.col("c_custkey"))
     name = F.element_at(F.array(*map(F.lit, ("five_hour", "seven_day", "seven_day_opus", "seven_day_sonnet", "extra"))), (F.col("k") % 5 + 1).cast("int"))
-    w = c.select(F.col("c_nationkey").alias("nation"), F.when(F.col("k") % 401 == 0, "seven_day_other").otherwise(name).alias("name"), F.when(F.col("k") % 3 == 0, "primary").otherwise("reviewer").alias("role"), F.lit("opus").alias("model"), (F.col("k") % 4 != 0).alias("active"), F.when(F.col("k") % 307 == 0, -1.0).otherwise(F.floor(F.col("c_acctbal") / 110)).cast("double").alias("utilization"), F.when(F.col("k") % 5 == 0, 18_000).otherwise(604_800).alias("seconds"))
-    w = w.withColumn("utilization", F.when((F.col("utilization") < 0) & (F.col("utilization") > -1), 0.0).otherwise(F.greatest(F.col("utilization"), F.lit(-1.0))))
-    return V.usage_state(V.usage_windows(w.where("utilization >= 0 OR utilization = -1"), ["nation"], "model"), ["nation"], "role")
+    w = c.select(F.col("c_nationkey").alias("nation"), F.when(F.col("k") % 401 == 0, "seven_day_other").otherwise(name).alias("name"), F.when(F.col("k") % 3 == 0, "primary").otherwise("reviewer").alias("role"), F.lit("opus").alias("model"), (F.col("k") % 4 != 0).alias("active"), F.when(F.col("k") % 307 == 0, -1.0).otherwise(F.greatest(F.floor(F.col("c_acctbal") / 100), F.lit(0))).cast("double").alias("utilization"), F.when(F.col("k") % 5 == 0, 18_000).otherwise(604_800).alias("seconds"))
+    return V.usage_state(V.usage_windows(w, ["nation"], "model"), ["nation"], "role")
 
 
 def src18_ledger_events(spark, d):
@@ -138,7 +137,7 @@ def agg15_park_summary_events(spark, d):
     e = read(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("w"))
     n = F.row_number().over(W.partitionBy("user_id").orderBy("w", "event_id"))
     e = e.withColumn("n", n).withColumn("phase", F.col("user_id") * 2 + F.when(F.floor((F.col("n") - 1) / 2) % 2 == 0, 0).otherwise(1))
-    boot = F.format_string("{ sec = %d, usec = 1 }", 1000 * F.when(F.col("phase") % 2 == 0, F.floor((F.col("n") - 1) / 40)).otherwise(F.floor(F.col("n") / 62)) + F.col("n") % 3)
+    boot = F.format_string("{ sec = %d, usec = 1 }", 1000 * F.when(F.col("phase") % 2 == 0, F.floor((F.col("n") - 1) / 40)).otherwise(F.floor(F.col("n") / 60)) + F.col("n") % 3)
     e = e.withColumn("park", F.floor((F.col("n") + 1) / 2)).withColumn("boot", boot)
     when = lambda c, k: F.max(F.when(F.col("n") % 2 == k, F.col(c)))
     p = e.groupBy("phase", "park").agg(when("w", 1).alias("opened"), when("w", 0).alias("closed"), when("boot", 1).alias("start_boot"), when("boot", 0).alias("end_boot"))
@@ -157,8 +156,8 @@ ORACLES = {
     "flt12_verdicts_orders": f"{_BLOCKS} SELECT k, genuine, kind FROM c",
     "set07_verdict_identities_orders": _BLOCKS + r""", x AS (SELECT sha1(substr(regexp_replace(findings || block, '\s+', ' ', 'g'), 1, 1500)) AS key, k, regexp_extract(block, '(APPROVED|REVISE)', 1) AS verdict, kind FROM c WHERE genuine)
       SELECT key, min(k) AS first, count(*) AS n, arg_min(verdict, k) AS verdict, arg_min(kind, k) AS kind FROM x GROUP BY 1""",
-    "flt16_usage_customer": """WITH a AS (SELECT c_nationkey AS nation, c_custkey AS k, CASE WHEN c_custkey % 401 = 0 THEN 'seven_day_other' ELSE ['five_hour', 'seven_day', 'seven_day_opus', 'seven_day_sonnet', 'extra'][c_custkey % 5 + 1] END AS name, CASE WHEN c_custkey % 307 = 0 THEN -1 ELSE greatest(floor(c_acctbal / 110), -1) END AS u FROM customer),
-      b AS (SELECT * FROM a WHERE (u >= 0 OR u = -1) AND (name IN ('five_hour', 'seven_day') OR (name IN ('extra', 'seven_day_opus', 'seven_day_other') AND k % 4 <> 0))),
+    "flt16_usage_customer": """WITH a AS (SELECT c_nationkey AS nation, c_custkey AS k, CASE WHEN c_custkey % 401 = 0 THEN 'seven_day_other' ELSE ['five_hour', 'seven_day', 'seven_day_opus', 'seven_day_sonnet', 'extra'][c_custkey % 5 + 1] END AS name, CASE WHEN c_custkey % 307 = 0 THEN -1 ELSE greatest(floor(c_acctbal / 100), 0) END AS u FROM customer),
+      b AS (SELECT * FROM a WHERE (name IN ('five_hour', 'seven_day') OR (name IN ('extra', 'seven_day_opus', 'seven_day_other') AND k % 4 <> 0))),
       c AS (SELECT nation, bool_or(name = 'seven_day_other' OR u < 0) AS bad, bool_or(k % 3 = 0 AND u >= 95) AS refuse, bool_or(k % 3 <> 0 AND k % 5 <> 0 AND u > 95) AS fall FROM b GROUP BY 1)
       SELECT nation, CASE WHEN bad THEN 'invalid' WHEN refuse THEN 'refused' WHEN fall THEN 'fallback' ELSE 'clear' END AS state FROM c""",
     "src18_ledger_events": """WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN event_id % 211 = 0 THEN NULL WHEN event_id % 97 = 0 THEN 'same' ELSE event_id::VARCHAR END AS t FROM events),
@@ -190,7 +189,7 @@ ORACLES = {
       SELECT vec_id, array_to_string(list_transform(range(16), lambda h: substr('0123456789ABCDEF', CAST(8 * bits[h * 4 + 1]::INTEGER + 4 * bits[h * 4 + 2]::INTEGER + 2 * bits[h * 4 + 3]::INTEGER + bits[h * 4 + 4]::INTEGER + 1 AS INTEGER), 1)), '') AS hash FROM b""",
     "hsh02_derived_from_documents": "SELECT doc_id, sha256('---' || chr(10) || 'mirror_of: ' || doc_id || chr(10) || '---' || chr(10) || text) AS derived_from, sha256(text) AS derived_from_body FROM documents",
     "agg15_park_summary_events": f"""WITH a AS (SELECT user_id, epoch_us(ts) AS w, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events), b AS (SELECT *, user_id * 2 + ((n - 1) // 2) % 2 AS phase FROM a),
-      c AS (SELECT *, CASE WHEN phase % 2 = 0 THEN (n - 1) // 40 ELSE n // 62 END AS boot FROM b),
+      c AS (SELECT *, CASE WHEN phase % 2 = 0 THEN (n - 1) // 40 ELSE n // 60 END AS boot FROM b),
       p AS (SELECT phase, (n + 1) // 2 AS park, max(w) FILTER (n % 2 = 1) AS opened, max(w) FILTER (n % 2 = 0) AS closed, max(boot) FILTER (n % 2 = 1) AS b1, max(boot) FILTER (n % 2 = 0) AS b2 FROM c GROUP BY 1, 2),
       g AS (SELECT phase, count(*) AS n_parks, bool_or(closed IS NULL) AS open, coalesce(bool_and(b1 = b2), false) AS one FROM p GROUP BY 1),
       s AS (SELECT p.phase, CASE WHEN one THEN b1 ELSE 0 END AS boot, park AS id, CASE WHEN one THEN opened % 10000000000 ELSE opened END AS st, CASE WHEN one THEN opened % 10000000000 + closed - opened ELSE closed END AS en FROM p JOIN g ON g.phase = p.phase WHERE NOT open),
