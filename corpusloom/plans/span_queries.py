@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions import order as O  # noqa: E741
 from corpusloom.functions.text import elapsed
 from corpusloom.operators import intervals as I
 
@@ -116,8 +117,9 @@ def srt03_recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win06_pass_number_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spans(spark, sf_dir)
-    return s.select("trace", "category", "id", F.row_number().over(W.partitionBy("trace", "category").orderBy("st", "id")).alias("pass_number"))
+    """Spans of a trace and category numbered in order; one with most of the spans is spread over tasks."""
+    s = spans(spark, sf_dir).select("trace", "category", "id", "st")
+    return O.ranked_within(s, ["trace", "category"], ["st", "id"], "pass_number").select("trace", "category", "id", F.col("pass_number").cast("int").alias("pass_number"))
 
 
 def val07_span_checks_events(spark: SparkSession, sf_dir: str) -> DataFrame:
