@@ -6,6 +6,7 @@ keeps few of them; the kept rules and weights become one Spark column expression
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,8 +18,6 @@ from corpusloom.llm.labels import labelled_sample
 from corpusloom.llm.stats import FIELDS, text_stats
 
 N_TREES, DEPTH, SHRINK, MIN_LEAF, BINS = 40, 3, 0.3, 20, 48
-#: rules that one generated method sums up: more would pass the 64 KB that a method may have
-STEP = 16
 
 #: statistic: (numerator, denominator), 0 where the denominator is; a denominator of None is the count itself
 FEATURES = {
@@ -68,18 +67,19 @@ class RuleModel:
         return 1.0 / (1.0 + F.exp(-z))
 
     def add_score(self, df: DataFrame, stats: Column, name: str) -> DataFrame:
-        """df with the same score as a column ``name``, STEP rules to a projection."""
-        z = fresh(df, "rule_sum")
-        names = {f: fresh(df, f"rule_{f}") for f in FEATURES}
-        # 0, but not known beforehand: a filter on the score would else be pushed down, with all rules in one expression
+        """df with the same score as a column ``name``: the rules are a constant table that one small expression adds up.
+
+        As a sum of as many conditions they would be a class of generated code that a driver can hardly compile.
+        """
+        x, order = fresh(df, "rule_features"), list(FEATURES)
+        # an array of its own, and not known beforehand: else it would be made anew for each term, also in a filter on the score
         start = F.lit(float(self.intercept)) + 0.0 * F.spark_partition_id()
-        out = df.withColumns({names[f]: c for f, c in feature_columns(stats).items()} | {z: start})
-        x = {f: F.col(name) for f, name in names.items()}
-        for at in range(0, len(self.weights), STEP):
-            step = sum((F.when(rule.column(x), F.lit(float(w))).otherwise(F.lit(0.0)) for w, rule in self.weights[at : at + STEP]), F.lit(0.0))
-            # the sum so far is referred to twice, else the optimizer would merge all steps into one
-            out = out.withColumn(z, F.when(F.isnan(z), F.col(z)).otherwise(F.col(z) + step))
-        return out.withColumn(name, 1.0 / (1.0 + F.exp(-F.col(z)))).drop(z, *names.values())
+        out = df.withColumn(x, F.array(*feature_columns(stats).values(), start))
+        rules = [{"w": float(w), "terms": [{"i": order.index(n) + 1, "above": a, "at": float(t)} for n, a, t in rule.terms]} for w, rule in self.weights]
+        table = F.from_json(F.lit(json.dumps(rules)), "array<struct<w:double,terms:array<struct<i:int,above:boolean,at:double>>>>")
+        holds = lambda r: F.forall(r["terms"], lambda t: (F.element_at(x, t["i"]) > t["at"]) == t["above"])
+        z = F.aggregate(table, F.element_at(x, -1), lambda acc, r: acc + F.when(holds(r), r["w"]).otherwise(0.0))
+        return out.withColumn(name, 1.0 / (1.0 + F.exp(-z))).drop(x)
 
     def predict(self, x: dict[str, np.ndarray], n: int) -> np.ndarray:
         z = np.full(n, self.intercept)

@@ -75,11 +75,13 @@ def test_compiled_rules_are_the_model(spark):
     got = [r[0] for r in df.select(model.score(F.col("s"))).collect()]
     want = model.predict(rule_classifier.feature_arrays(stats), 500)
     assert model.weights and np.allclose(got, want)
-    model.weights *= 8  # many rules: none of the generated methods is too long
-    stepped = model.add_score(df.withColumn("rule_sum", F.lit(1)), F.col("s"), "q")
-    assert stepped.columns == ["s", "rule_sum", "q"]
-    assert stepped._jdf.queryExecution().optimizedPlan().toString().count("Project") >= len(model.weights) // rule_classifier.STEP
-    assert np.allclose([r.q for r in stepped.collect()], model.predict(rule_classifier.feature_arrays(stats), 500))
+    model.weights *= 8
+    scored = model.add_score(df.withColumn("rule_features", F.lit(1)), F.col("s"), "q")
+    assert scored.columns == ["s", "rule_features", "q"]
+    many = model.predict(rule_classifier.feature_arrays(stats), 500)
+    assert np.allclose([r.q for r in scored.collect()], many) and scored.where("q >= 0.7").count() == (many >= 0.7).sum()
+    model.weights = []
+    assert {round(r.q, 9) for r in model.add_score(df, F.col("s"), "q").collect()} == {round(1 / (1 + math.exp(-model.intercept)), 9)}
 
 
 def test_classifiers_without_labels_and_on_odd_rows(spark):
