@@ -6,6 +6,10 @@ by an id. All work is partitioned by the key, so the number of tasks is that of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,23 +39,85 @@ def peak_concurrency(spans: DataFrame, keys: list[str], start: str = "st", end:
     return edges.withColumn("_r", running).groupBy(*keys).agg(F.greatest(F.max("_r"), F.lit(0)).cast("long").alias("peak"))
 
 
+class _Largest:
+    """A value that sorts before all smaller ones; null sorts last."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value: object):
+        self.value = value
+
+    def __eq__(self, other: _Largest) -> bool:
+        return self.value == other.value
+
+    def __lt__(self, other: _Largest) -> bool:
+        return self.value is not None and (other.value is None or self.value > other.value)
+
+
+def _winners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, cell, a, z, order..., category) sorted by the first three to (key, category, exclusive): a heap holds the spans that are open.
+
+    Each time goes to the first of the open spans in their order; a span leaves the heap when it is first and over.
+    """
+    key, cell, now, held, sums = None, None, 0, [], {}
+
+    def pass_until(end: int | None) -> None:
+        nonlocal now
+        while held and (end is None or now < end):
+            z, category = held[0][-1], held[0][-2].value
+            if z <= now:
+                heappop(held)
+                continue
+            until = z if end is None else min(z, end)
+            sums[category] = sums.get(category, 0) + until - now
+            now = until
+
+    names, types = ["key", "category", "exclusive"], None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key] * len(sums), types[0]), pa.array(list(sums), types[1]), pa.array(list(sums.values()), pa.int64())], names)
+
+    for batch in batches:
+        types = batch.schema.field(0).type, batch.schema.field(7).type
+        for k, c, a, z, *order, category in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if c != cell or k != key:
+                pass_until(None)
+                if k != key and sums:
+                    yield out()
+                    sums.clear()
+                key, cell = k, c
+            pass_until(a)
+            now = a
+            heappush(held, (*order, _Largest(category), z))
+    pass_until(None)
+    if sums:
+        yield out()
+
+
 def exclusive(spans: DataFrame, key: str, category: str, start: str = "st", end: str = "en", depth: str = "depth", tie: str = "id") -> DataFrame:
     """key, category, exclusive: every covered instant counts for one span, the deepest, then the shortest, then the largest id.
 
-    Spans meet elementary segments of their own trace only; between two islands nothing is joined.
+    Depths and ids are whole numbers. A trace is cut into cells of time, each swept in one pass over the spans that start
+    or end there. Of those that last through a cell only the first in that order can win in it, so one travels.
     """
-    points = spans.select(key, F.explode(F.array(start, end)).alias("a")).distinct()
-    segments = points.withColumn("z", F.lead("a").over(W.partitionBy(key).orderBy("a"))).where("z IS NOT NULL")
-    s = spans.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(depth).alias("_d"), F.col(tie).alias("_i"), F.col(category).alias(category))
-    # a time bin besides the key keeps the join near its result: a span has a row for each bin that it touches
-    length = F.col("_e") - F.col("_s")
-    usual, longest = s.agg(F.percentile_approx(length, 0.9), F.max(length)).first()
-    width = max(usual or 1, (longest or 1) // 64, 1)  # so a span has 66 rows at most
-    binned = s.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor(F.col("_e") / width))))
-    cells = segments.withColumn("_b", F.floor(F.col("a") / width))
-    held = cells.join(binned, (F.col(key) == F.col("_k")) & (cells["_b"] == binned["_b"]) & (F.col("_s") <= F.col("a")) & (F.col("_e") >= F.col("z")))
-    best = held.groupBy(key, "a", "z").agg(F.max(F.struct("_d", (F.col("_s") - F.col("_e")).alias("short"), "_i", category)).alias("w"))
-    return best.groupBy(key, F.col(f"w.{category}").alias(category)).agg(F.sum(F.col("z") - F.col("a")).cast("long").alias("exclusive"))
+    s, e, length = F.col("_s"), F.col("_e"), F.col("_e") - F.col("_s")
+    of = spans.select(F.col(key).alias("_k"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"), F.col(depth).cast("long").alias("_d"), F.col(tie).cast("long").alias("_i"), F.col(category).alias("_c")).where("_k IS NOT NULL AND _e > _s")
+    usual, longest = of.agg(F.percentile_approx(length, 0.9), F.max(length)).first()
+    width = max(usual or 1, (longest or 1) // 64, 1)  # so a span touches 66 cells at most
+    first, last = s - F.pmod(s, F.lit(width)), e - 1 - F.pmod(e - 1, F.lit(width))
+    at = of.withColumn("_first", first).withColumn("_last", last)
+    best = F.struct("_d", (-length).alias("_short"), "_i", "_c").alias("_w")
+    piece = lambda cell, a, z: F.struct(cell.alias("cell"), a.alias("a"), z.alias("z"))
+    several = F.col("_last") > F.col("_first")
+    ends = F.array(piece(F.col("_first"), s, F.least(e, F.col("_first") + width)), F.when(several, piece(F.col("_last"), F.col("_last"), e)))
+    parts = at.select("_k", F.explode(ends).alias("_p"), best).where("_p IS NOT NULL").select("_k", "_p.cell", "_p.a", "_p.z", "_w")
+    through = at.where(F.col("_last") > F.col("_first") + width).select("_k", F.explode(F.sequence(F.col("_first") + width, F.col("_last") - width, F.lit(width))).alias("cell"), best)
+    through = through.groupBy("_k", "cell").agg(F.max("_w").alias("_w")).select("_k", "cell", F.col("cell").alias("a"), (F.col("cell") + width).alias("z"), "_w")
+    down = lambda c: F.coalesce(F.bitwise_not(F.col(c)), F.lit((1 << 63) - 1))  # noqa: E731  larger values first, null last
+    rows = parts.union(through).select("_k", "cell", "a", "z", down("_w._d").alias("d"), (-F.col("_w._short")).alias("length"), down("_w._i").alias("i"), F.col("_w._c").alias("c"))
+    types = dict(rows.dtypes)
+    swept = rows.repartition("_k", "cell").sortWithinPartitions("_k", "cell", "a").mapInArrow(_winners, f"key {types['_k']}, category {types['c']}, exclusive long")
+    return swept.groupBy(F.col("key").alias(key), F.col("category").alias(category)).agg(F.sum("exclusive").cast("long").alias("exclusive"))
 
 
 def depths(nodes: DataFrame, node: str, parent: str) -> DataFrame:

@@ -154,3 +154,24 @@ def test_rules_on_odd_records(spark):
     assert one(reviews.log_blocks(F.lit("nothing"))) == []
     assert not one(reviews.strict_json(F.lit(None).cast("string"))) and one(reviews.strict_json(F.lit('{"a": ["NaN"]}'))) and not one(reviews.strict_json(F.lit('{"a": Infinity}')))
     assert one(reviews.same_boot(F.lit("{ sec = 10, usec = 1 }"), F.lit("{ sec = 15, usec = 2 }"))) and not one(reviews.same_boot(F.lit("{ sec = 10 }"), F.lit("{ sec = 16 }"))) and not one(reviews.same_boot(F.lit(None).cast("string"), F.lit("a")))
+
+
+def test_exclusive_time_of_spans_within_spans_needs_no_pairs(spark):
+    """Each span holds all later ones, so spans and the segments between their ends make a square of pairs."""
+    n = 150
+    rng = random.Random(5)
+    spans = [("t", i, 10 * i, 20 * n - 10 * i, i % 7, f"c{i % 5}") for i in range(n)] + [("t", n + i, (a := rng.randrange(-500, 20 * n)), a + rng.choice([0, 3, 40, 200]), rng.randrange(9), None if i % 9 == 0 else f"c{i % 4}") for i in range(300)]
+    spans += [(None, 1, 5, 9, 1, "c0"), ("u", 2, None, 9, 1, "c0"), ("u", 3, 5, None, 1, "c0"), ("u", 4, 9, 5, 1, "c0"), ("u", None, -7, 4, None, "c0"), ("u", 5, -9, 3, None, "c1")]
+    df = spark.createDataFrame(spans, "k string, id long, st long, en long, depth long, cat string").repartition(3)
+    found = I.exclusive(df, "k", "cat")
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    held = {}
+    for key, i, a, z, depth, cat in spans:
+        if key and a is not None and z is not None:
+            for at in range(a, z):
+                held.setdefault((key, at), []).append((-1 if depth is None else depth, a - z, -1 if i is None else i, cat))
+    want = {}
+    for (key, _), over in held.items():
+        k = key, max(over, key=lambda x: x[:3])[3]
+        want[k] = want.get(k, 0) + 1
+    assert {(r.k, r.cat): r.exclusive for r in found.collect()} == want
