@@ -300,6 +300,19 @@ def linked(asks: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     return asking.withColumn("asks", F.lit(True)).union(there).join(sets, "rep").groupBy("g", "place").applyInArrow(tidy_group(_compare), "u long, v long")
 
 
+def met_groups(listed: DataFrame) -> DataFrame:
+    """The units of each list with the groups there that they may ask for, from (shingle, rep, cls, n, last, s, g), s the lists of rep.
+
+    Of two classes that of the larger number asks. No two units share more lists than each of them is in, so where that
+    is too few for a link they don't meet.
+    """
+    ranges = [f(c).alias(name) for c, f, name in (("cls", F.min, "lo"), ("s", F.max, "gs"), ("n", F.min, "least"), ("n", F.max, "most"), ("last", F.min, "first_last"), ("last", F.max, "last_last"))]
+    held = listed.groupBy("shingle", "g").agg(*ranges)
+    fits = (F.col("lo") < F.col("cls")) & (100 * F.col("most") >= PERCENT * F.col("n")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
+    of = [F.col(c) for c in ("n", "last", "least", "most", "first_last", "last_last")]
+    return listed.drop("g").join(held, "shingle").where(fits & enough(F.least("s", "gs"), *of))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text).
 
@@ -345,18 +358,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     placed = settle(lists.join(classes, F.col("rep") == F.col("node"), "left").select("shingle", "rep", "n", "last", "k", cls))
     mixed = placed.groupBy("shingle").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("shingle")
     open_ = settle(placed.join(mixed, "shingle"))
-    # groups: units whose longest list is the same, of about one size
-    anchor = open_.groupBy("rep").agg(F.max(F.struct("k", "shingle")).alias("a"), *(F.first(c).alias(c) for c in ("cls", "n", "last")))
+    # groups: units whose longest list is the same, of about one size, all or none in enough lists for a partner of their size
+    anchor = open_.groupBy("rep").agg(F.max(F.struct("k", "shingle")).alias("a"), F.count(F.lit(1)).alias("s"), *(F.first(c).alias(c) for c in ("cls", "n", "last")))
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("a.k") / GROUP))
-    members = settle(anchor.select("rep", "cls", "n", "last", F.xxhash64(F.col("a.shingle"), F.floor(F.log("n") / math.log(SIZE_STEP)), part).alias("g")))
-    ranges = [f(c).alias(name) for c, f, name in (("cls", F.min, "lo"), ("cls", F.max, "hi"), ("n", F.min, "least"), ("n", F.max, "most"), ("last", F.min, "first_last"), ("last", F.max, "last_last"))]
-    held = open_.join(members.select("rep", "g"), "rep").groupBy("shingle", "g").agg(*ranges)
-    other = (F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("cls"))
-    fits = (100 * F.col("most") >= PERCENT * F.col("n")) & (PERCENT * F.col("least") <= 100 * F.col("n"))
-    pairs = open_.join(held, "shingle").where(other & fits).groupBy("g", "rep", "cls", "n", "last").agg(
+    n, last = F.col("n"), F.col("last")
+    able = enough(F.col("s"), n, last, n, n, last, last)
+    members = settle(anchor.select("rep", "cls", "n", "last", "s", F.xxhash64(F.col("a.shingle"), F.floor(F.log("n") / math.log(SIZE_STEP)), part, able).alias("g")))
+    of = [F.col(c) for c in ("n", "last", "least", "most", "first_last", "last_last")]
+    pairs = met_groups(open_.join(members.select("rep", "g", "s"), "rep")).groupBy("g", "rep", "cls", "n", "last").agg(
         F.count(F.lit(1)).alias("c"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("first_last").alias("first_last"), F.max("last_last").alias("last_last")
     )
-    asks = settle(pairs.where(enough(*(F.col(c) for c in ("c", "n", "last", "least", "most", "first_last", "last_last")))).select("g", "rep", "cls"))
+    asks = settle(pairs.where(enough(F.col("c"), *of)).select("g", "rep", "cls"))
     opened = settle(members.join(asks.select("g").distinct(), "g", "left_semi").select("g", "rep", "cls"))
     lacking = asks.select("rep").union(opened.select("rep")).distinct().join(wanted, "rep", "left_anti")
     sets = sets.union(shingle_sets(docs, units.join(lacking, "rep")))

@@ -287,3 +287,12 @@ def test_no_python_on_the_path_of_quotes(spark):
     df = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string")
     plan = quote_links.reply_ordered(df)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow")) and math.isfinite(len(plan))
+
+
+def test_a_large_class_does_not_meet_the_groups_of_units_that_share_too_little(spark):
+    """20 lists hold a class of 300 units; 100 others, each a class, are in four of them, and 17 common shingles make a link."""
+    rows = [(x, u, 0, 146, 0, 20, u // 64) for x in range(20) for u in range(300)]
+    rows += [(x, u, u, 146, 0, 4, 9 + u // 64) for u in range(300, 400) for x in range(u % 16, u % 16 + 4)]
+    rows += [(x, 500, 500, 146, 0, 20, 8) for x in range(20)]  # one that may link
+    got = jaccard_join.met_groups(spark.createDataFrame(rows, "shingle long, rep long, cls long, n long, last long, s long, g long")).groupBy("rep").count().collect()
+    assert {r.rep: r["count"] for r in got} == {500: 20 * 5}
