@@ -2,7 +2,7 @@
 
 Texts with equal shingle sets are one unit. Two units can only link if they share one of the first shingles of each in
 a common order (the prefix that the threshold leaves). The order puts frequent shingles last, so most units share no
-prefix shingle with any other; which shingles are frequent is estimated on a sample, and any order gives the same
+prefix shingle with any other; which shingles are frequent is counted over all documents, and any order gives the same
 links. Units that share one are put into groups of similar ones, and the matrix, a stored table, has the union of each
 group's shingles. A unit asks for the groups that it shares enough prefix shingles with; it meets a group's row of the
 matrix first, and the members' sets travel, and are compared, only where the union holds enough of the unit's shingles.
@@ -34,8 +34,8 @@ from corpusloom.llm.shingles import Hashes, shingle_set
 
 #: least intersection in hundredths of the union
 PERCENT = 75
-#: one in so many documents is looked at for frequent shingles; of the most frequent the tasks get so many (8 bytes each)
-ORDER_SHARE, FREQUENT = 4, 1 << 18
+#: so many of the most frequent shingles go to the tasks (8 bytes each)
+FREQUENT = 1 << 18
 #: prefix shingles that a bucket holds, about, and bytes of one there, besides the bucket's own number
 BUCKET_ITEMS, KEPT = 1_000_000, 6
 #: units of a group, and units that one task compares with it
@@ -70,8 +70,10 @@ def _key(found: np.ndarray) -> tuple[int, int]:
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted shingles that most documents of a sample hold, FREQUENT at most, at least three: those that the order puts last."""
-    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SHARE)) == 0)
+    """Sorted shingles that most documents hold, FREQUENT at most, three documents at least: those that the order puts last.
+
+    Texts of one set count once for each batch that holds them.
+    """
     buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +92,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
         n = np.bincount(at, n, len(found)).astype(np.int64)
         return pa.table({"shingle": found[n > 2].view(np.int64), "n": n[n > 2]})
 
-    counted = settle(rows.select("text").mapInArrow(tidy(count), "bucket long, found binary, n binary").groupBy("bucket").applyInArrow(tidy_group(add), "shingle long, n long"))
+    counted = settle(docs.select("text").mapInArrow(tidy(count), "bucket long, found binary, n binary").groupBy("bucket").applyInArrow(tidy_group(add), "shingle long, n long"))
     # as many as a bound on the count lets through; a sort would bring every task's most frequent ones to the driver
     size = F.floor(8 * F.log2("n")).cast("int")
     held, least = 0, None

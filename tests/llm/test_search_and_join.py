@@ -296,3 +296,10 @@ def test_a_large_class_does_not_meet_the_groups_of_units_that_share_too_little(s
     rows += [(x, 500, 500, 146, 0, 20, 8) for x in range(20)]  # one that may link
     got = jaccard_join.met_groups(spark.createDataFrame(rows, "shingle long, rep long, cls long, n long, last long, s long, g long")).groupBy("rep").count().collect()
     assert {r.rep: r["count"] for r in got} == {500: 20 * 5}
+
+
+def test_frequent_shingles_are_counted_over_all_documents(spark):
+    """Each of 40 passages is in three documents, so none of their shingles may be missed."""
+    rows = [(i, f"{' '.join(f'p{i % 40}x{k}' for k in range(7))} own{i}") for i in range(120)] + [(200, "these words are in one text alone"), (None, None)]
+    got = set(jaccard_join.frequent_shingles(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).tolist())
+    assert got == {s for p in range(40) for s in jaccard_join.shingle_set(" ".join(f"p{p}x{k}" for k in range(7)), jaccard_join.Hashes()).tolist()}
