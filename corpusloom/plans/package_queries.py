@@ -236,9 +236,9 @@ def pol08_semantic_documents(spark, d):
 def agg22_refinements_conversations(spark, d):
     """Turns that paragraphs were proposed for, and proposals to move words, taken and refused."""
     c = read(spark, d, "conversations")
-    n = X.neighbours(c.withColumn("n_words", T.count_words(F.col("text"))), ["conv_id"], "turn", "role")
+    n = X.neighbours(c.withColumn("n_words", F.size(T.split_words(F.col("text")))), ["conv_id"], "turn", "role")
     refused = X.boundary_refused(F.col("turn") + 4, F.col("n_words"), F.col("role"), F.col("previous"))
-    return n.groupBy("conv_id").agg(F.count_if(T.is_long(F.col("text"))).alias("paragraphed_turns"), F.count_if(refused.isNull()).alias("proposals"), F.count_if(refused.isNotNull()).alias("refused"))
+    return n.groupBy("conv_id").agg(F.count_if(T.is_long(F.col("text"))).alias("paragraphed_turns"), F.count_if(refused.isNull() & F.col("role").isNotNull()).alias("proposals"), F.count_if(refused.isNotNull()).alias("refused"))
 
 
 def snk10_summary_documents(spark, d):
