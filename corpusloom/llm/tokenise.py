@@ -9,8 +9,6 @@ import numpy as np
 
 #: the id that ends a document
 END = 2
-#: units that a worker remembers the ids of, and the longest such unit
-MEMO, LONGEST = 300_000, 48
 
 
 def default_path() -> str:
@@ -30,9 +28,8 @@ def _byte_of() -> dict[str, int]:
 class Encoder:
     """The ids that ``tokenizers`` gives without special tokens; their strings in a text are ordinary text.
 
-    Text before merges is cut at least before every single space, so the units between spaces can be encoded one by
-    one, and most are in the memo. tiktoken, whose ranks are the same ids, encodes new units. A text with two spaces
-    in a row or with the string of a special token goes to ``tokenizers`` whole.
+    tiktoken, whose ranks are the same ids, encodes a text in one call. A text with two spaces in a row or with the
+    string of a special token goes to ``tokenizers``.
     """
 
     def __init__(self, path: str):
@@ -46,16 +43,7 @@ class Encoder:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in self.whole.get_vocab(with_added_tokens=False).items() if token not in self.special}
-        self.units = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.memo: dict[str, bytes] = {}
-
-    def _new(self, unit: str) -> bytes:
-        ids = np.array(self.units.encode_ordinary(unit), "<u4").tobytes()
-        if len(unit) <= LONGEST:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[unit] = ids
-        return ids
+        self.fast = tiktoken.Encoding("fast", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as unsigned 32-bit integers; none for a null or empty text."""
@@ -64,11 +52,7 @@ class Encoder:
         if "  " in text or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
         text = text.encode("utf-8", "replace").decode("utf-8")  # a lone surrogate would stop tiktoken
-        first, *rest = text.split(" ")
-        get, new = self.memo.get, self._new
-        parts = [self._new(first)] if first else []
-        parts += [get(u) or new(u) for u in map(" ".__add__, rest)]
-        return np.frombuffer(b"".join(parts), "<u4")
+        return np.array(self.fast.encode_ordinary(text), "<u4")
 
     def document(self, text: str | None) -> np.ndarray:
         """Ids and then END."""

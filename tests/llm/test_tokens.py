@@ -30,6 +30,20 @@ def test_ids_are_the_tokenizer_s(text):
     assert np.append(encoder(default_path()).encode(text), np.uint32(2)).tolist() == ids_of(text).tolist()
 
 
+def test_new_words_take_no_calls_of_their_own(monkeypatch):
+    e, calls = encoder(default_path()), []
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda text: calls.append(text) or getattr(fast, name)(text)
+
+    at, fast = next((name, x) for name, x in vars(e).items() if type(x).__module__.startswith("tiktoken"))
+    monkeypatch.setattr(e, at, Counted())
+    text = " ".join(f"neu{i}wort,\nX{i}é" for i in range(2000))
+    assert e.document(text).tolist() == ids_of(text).tolist()
+    assert len(calls) == 1
+
+
 @pytest.mark.parametrize("n, want", [(5, [(0, 5)]), (1024, [(0, 1024)]), (1025, [(0, 1), (1, 1024)]), (2048, [(0, 1024), (1024, 1024)])])
 def test_cuts(n, want):
     assert cuts(n, 1024) == want
