@@ -77,9 +77,9 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Hashes()
+        hashes = Hashes()
         for batch in batches:
-            sets = {s.tobytes() for s in (shingle_set(t.as_py(), memo) for t in batch.column(0))}
+            sets = {s.tobytes() for s in (shingle_set(t.as_py(), hashes) for t in batch.column(0))}
             found, n = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_counts=True)
             ends = [*np.searchsorted(found, np.arange(buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets)).tolist(), len(found)]
             parts = [slice(a, b) for a, b in zip(ends, ends[1:], strict=False)]
@@ -128,12 +128,12 @@ def _scan(frequent: np.ndarray, buckets: int):
     kinds = [pa.int64()] * 9 + [pa.binary()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Hashes()
+        hashes = Hashes()
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows, firsts, seen = [], [], set()
             for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-                found = shingle_set(text.as_py(), memo)
+                found = shingle_set(text.as_py(), hashes)
                 first, rare, last = _prefix(found, frequent) if len(found) else (found, 0, 0)
                 key = _key(found)
                 rows.append((base + i, doc_id, len(found), *key, rare, last))
@@ -216,12 +216,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     h = _bit_places()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Hashes()
+        hashes = Hashes()
         for batch in batches:
             a, b = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
             hit = _held(bits.value, a, b)
             hit |= batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            sets = [shingle_set(batch.column(3)[i].as_py(), memo) for i in np.flatnonzero(hit).tolist()]
+            sets = [shingle_set(batch.column(3)[i].as_py(), hashes) for i in np.flatnonzero(hit).tolist()]
             keys = [_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k1", "k2", "shingles"])
 

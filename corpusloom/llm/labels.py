@@ -42,9 +42,9 @@ def without_copies(sample: DataFrame) -> DataFrame:
 
     @F.arrow_udf("array<long>")
     def least(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memo = Hashes()
+        hashes = Hashes()
         for batch in batches:
-            sets = (shingle_set(t.as_py(), memo) for t in batch)
+            sets = (shingle_set(t.as_py(), hashes) for t in batch)
             yield pa.array([(s[:, None] * ORDERS).min(0).view(np.int64).tolist() if len(s) else None for s in sets], pa.list_(pa.int64()))
 
     rows = sample.select("doc_id", least(F.col("text")).alias("m")).toArrow().sort_by("doc_id")

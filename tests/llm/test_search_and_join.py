@@ -1,6 +1,7 @@
 """Top-k search, Jaccard join, components and quotation links against brute force."""
 
 import math
+import pickle
 import random
 from fractions import Fraction
 
@@ -8,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.llm import jaccard_join, quote_links, topk_search
+from corpusloom.llm import shingles as word_shingles
 from corpusloom.llm.components import components
 
 
@@ -303,3 +305,18 @@ def test_frequent_shingles_are_counted_over_all_documents(spark):
     rows = [(i, f"{' '.join(f'p{i % 40}x{k}' for k in range(7))} own{i}") for i in range(120)] + [(200, "these words are in one text alone"), (None, None)]
     got = set(jaccard_join.frequent_shingles(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).tolist())
     assert got == {s for p in range(40) for s in jaccard_join.shingle_set(" ".join(f"p{p}x{k}" for k in range(7)), jaccard_join.Hashes()).tolist()}
+
+
+def test_distinct_like_unique():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 50, 3000):
+        x = rng.integers(0, 60, n).astype(np.uint64) << np.uint64(58)
+        got = word_shingles.distinct(x)
+        assert np.array_equal(got, np.unique(x)) and got.dtype == np.uint64
+
+
+def test_hashes_remember_no_words():
+    hashes = word_shingles.Hashes()
+    before = len(pickle.dumps(hashes))
+    found = word_shingles.shingle_set(" ".join(f"W{i % 1500}" for i in range(3000)), hashes)
+    assert len(found) == 1500 and np.array_equal(found, np.unique(found)) and len(pickle.dumps(hashes)) == before
